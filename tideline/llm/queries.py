@@ -1,11 +1,15 @@
 """The registered queries of this subpackage, one for each operator, and their SQL."""
 
-from . import quality
+from . import mixing, quality, secrets
 
 QUERIES = {
+    "op7_secret_scans": secrets.op7,
+    "op9_source_mixing": mixing.op9,
     "op10_quality_rules": quality.op10,
 }
 
 ORACLES = {
+    "op7_secret_scans": secrets.ORACLE_SQL,
+    "op9_source_mixing": mixing.ORACLE_SQL,
     "op10_quality_rules": quality.ORACLE_SQL,
 }
