@@ -1,9 +1,11 @@
 """The registered queries of this subpackage, one for each operator, and their SQL."""
 
-from . import mixing, quality, secrets
+from . import line_dedup, mixing, ngram_join, quality, secrets
 
 QUERIES = {
+    "op3_ngram_jaccard": ngram_join.op3,
     "op7_secret_scans": secrets.op7,
+    "op8_line_dedup": line_dedup.op8,
     "op9_source_mixing": mixing.op9,
     "op10_quality_rules": quality.op10,
 }
