@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, one for each operator, and their SQL."""
 
-from . import line_dedup, mixing, ngram_join, quality, secrets
+from . import line_dedup, mixing, ngram_join, packing, quality, secrets
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1,
     "op3_ngram_jaccard": ngram_join.op3,
     "op7_secret_scans": secrets.op7,
     "op8_line_dedup": line_dedup.op8,
