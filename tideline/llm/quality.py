@@ -111,11 +111,13 @@ def keep(docs: DataFrame, text: str = "text", host: str = "source", host_limit:
     """The documents that judge() keeps, with all their columns. The counts are made twice, once for the host sums
     and once beside the rows, so that no text is shuffled or written."""
     scratch = Scratch(docs.sparkSession)
-    feats = features(docs.select(F.col(host).alias("source"), F.col(text).alias("text")), keep=("source",))
+    feats = scratch.table(features(docs.select(F.col(host).alias("source"), F.col(text).alias("text")), keep=("source",)), "quality")
     bad = scratch.table(bad_hosts(host_rates(feats), host_limit=host_limit), "bad_hosts")
     (row,) = fresh(docs, "__row")
     inner = docs.select(F.struct(*docs.columns).alias(row), F.col(host).alias("source"), F.col(text).alias("text"))
-    inner = features(inner, keep=(row, "source")).where(~base_failed())
+    inner = features(inner, keep=(row, "source"))
+    # not where(): the filter would be pushed below the counts, with a copy of their expressions
+    inner = inner.select(row, "source", F.explode(F.when(~base_failed(), F.array(F.lit(True)))).alias("__passed"))
     return lookup_join(inner, bad, "source", F.xxhash64(row)).where(F.col("__bad").isNull()).select(f"{row}.*")
 
 
