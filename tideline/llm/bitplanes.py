@@ -170,13 +170,13 @@ class _Write:
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.bp"
         writer = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
+            doc_ids = batch.column("doc_id").to_pylist()
+            for at, encoded in enc.batches(batch.column("text")):
                 if writer is None:
                     fs.create_dir(folder, recursive=True)
                     out = fs.open_output_stream(name)
                     writer = Writer(out, self.unit)
-                for d, ids in zip(b.column("doc_id").to_pylist(), enc.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
+                for d, ids in zip(doc_ids[at:], encoded, strict=False):
                     writer.add(d, ids + self.end)
         if writer:
             writer.close()

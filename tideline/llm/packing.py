@@ -41,10 +41,9 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str |
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
+            for at, encoded in enc.batches(batch.column("text")):
                 rows, cols = [], ([], [], [], [])
-                for row, ids in enumerate(enc.encode([t or "" for t in b.column("text").to_pylist()])):
+                for row, ids in enumerate(encoded, at):
                     ids += end
                     n = len(ids) // 4
                     for piece, start in enumerate(range(0, n, size)):
@@ -53,7 +52,7 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str |
                         for c, v in zip(cols, (piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])), strict=True):
                             c.append(v)
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), *map(pa.array, cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *map(pa.array, cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return d.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
