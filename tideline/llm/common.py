@@ -14,7 +14,7 @@ GAP = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 #: Largest side that is broadcast, in bytes as measured; larger sides are joined by a salted shuffle.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 32 << 20
 SALTS = 16
 
 
@@ -74,13 +74,17 @@ def words_of(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, GAP))
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, spread: Column) -> DataFrame:
-    """Left join to a table with one row per key: a broadcast if its measured size is in bounds, else salted.
+def lookup_join(big: DataFrame, small: DataFrame, key: str, spread: Column, more: int = 0) -> DataFrame:
+    """Left join to a table with one row per key: a broadcast if its measured size is in bounds, else a shuffle,
+    salted where the key is hot.
 
-    spread: any expression that varies over the rows of a hot key."""
+    spread: any expression that varies over the rows of a hot key, or the key itself where none is hot. more: bytes of
+    arrays in small."""
     size = small.select(F.sum(F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)) + F.lit(16 * len(small.columns)))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
+    if size + more <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), key, "left")
+    if str(spread) == str(F.col(key)):
+        return big.join(small, key, "left")
     (salt,) = fresh(big, "__salt")
     salted = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return big.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, salt], "left").drop(salt)

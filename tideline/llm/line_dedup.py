@@ -94,30 +94,14 @@ def _rows(batch: pa.RecordBatch, held: list[tuple[int, int, str]]) -> pa.RecordB
 
 
 def _load(docs: DataFrame):
-    """Brings the shingle sets of candidate lines; a document's text is fetched once for all its candidates."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k", "comp", "blocks", "weight", "items"]
-        schema = pa.schema([("k", pa.int64()), ("comp", pa.int64()), ("blocks", pa.int32()), ("weight", pa.int64()), ("items", pa.binary())])
-        for batch in batches:
-            out = {n: [] for n in names}
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                lines = text.split("\n")
-                for w in wanted:
-                    for n in names[:-1]:
-                        out[n].append(w[n])
-                    out["items"].append(line_shingles(lines[w["line"]].strip(BLANKS)).tobytes())
-                if len(out["k"]) > 2000:
-                    yield pa.RecordBatch.from_pydict(out, schema)
-                    out = {n: [] for n in names}
-            yield pa.RecordBatch.from_pydict(out, schema)
+    """Brings candidate lines; a document's text is fetched once for all of its candidates."""
 
     def load(items: DataFrame) -> DataFrame:
-        scratch = Scratch(items.sparkSession)
-        by_doc = items.groupBy("key").agg(F.collect_list(F.struct("k", "comp", "blocks", "weight", "line")).alias("wanted"))
-        by_doc = scratch.table(by_doc, "wanted_lines")
-        both = lookup_join(docs, by_doc, "key", F.col("key")) if items.count() <= 100_000 else docs.join(by_doc, "key")
-        return both.where("wanted is not null").select("text", "wanted").mapInArrow(sets, "k long, comp long, blocks int, weight long, items binary")
+        wanted = F.collect_list(F.struct("k", "comp", "blocks", "weight", "line"))
+        by_doc = Scratch(items.sparkSession).table(items.groupBy("key").agg(wanted.alias("wanted")), "wanted_lines")
+        both = lookup_join(docs, by_doc, "key", F.col("key"), 40 * items.count()).where("wanted is not null")
+        lines = both.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+        return lines.select("w.k", "w.comp", "w.blocks", "w.weight", F.btrim(F.get("lines", F.col("w.line")), F.lit(BLANKS)).alias("text"))
 
     return load
 
@@ -131,7 +115,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     first = seen.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"))
     items = scratch.table(first.select(F.monotonically_increasing_id().alias("k"), "id", "place", row_key(F.col("place.doc_id"), F.col("place.th")).alias("key"), "place.line", "weight", "bands"), "line_items")
     texts = d.select(row_key(F.col("doc_id"), F.col("th")).alias("key"), "text")
-    linked = neardup.similar(items.select("k", "key", "line", "weight", "bands"), _load(texts), scratch).select("k", "root")
+    linked = neardup.similar(items.select("k", "key", "line", "weight", "bands"), _load(texts), line_shingles, scratch).select("k", "root")
     own = items.select("id", "k", "place", "weight").join(linked, "k", "left").where("root is not null or weight > 1").withColumn("grp", F.coalesce("root", "k"))
     keeper = own.groupBy("grp").agg(F.min("place").alias("keeper"))
     own = scratch.table(own.join(keeper, "grp").select("id", "keeper"), "keepers")
@@ -150,7 +134,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: b
     gone = repeats(docs, doc_id, text).select(F.col("key").alias(key), F.col("drop").alias(drop))
     body = docs.withColumn(key, row_key(F.col(doc_id), F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
     lists = gone.agg(F.coalesce(F.sum(F.size(drop)), F.lit(0))).first()[0]
-    body = lookup_join(body, gone, key, F.col(key)) if lists <= 1_000_000 else body.join(gone, key, "left")
+    body = lookup_join(body, gone, key, F.col(key), 4 * lists)
     lines = F.split(F.col(text), "\n")
     left = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(drop)))
     new = F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(all_lines), i)), "\n"))

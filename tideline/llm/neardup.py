@@ -1,7 +1,8 @@
 """MinHash banding, exact verification in blocks and distributed union-find, for documents and for lines.
 
-Items are distinct sets (equal ones are collapsed before). An item's band keys are shuffled; the smallest item of a
-bucket leads it, and every other member gets one edge to its leader, so the edges are linear in the bands. The
+Items are distinct sets (equal ones are collapsed before). An item's band keys are range-sorted, so that a bucket is a
+run of rows and a hot one spreads over ranges; the first item of a run leads it, every other gets one edge to it, and
+the few runs that cross ranges are joined after, so the edges are linear in the bands. The
 components of these edges hold all pairs that share a band. Each component is cut into blocks by hash; every pair
 of blocks is one group, in which all pairs are verified on the full sets. A group returns one row per linked item:
 how many items it links to there, and its root in a union-find over the group's links. The roots are joined by a
@@ -29,9 +30,10 @@ def banding(similarity: float, recall: float, most: int) -> tuple[int, int]:
     """Bands and rows: the most rows for which bands that reach the recall at the similarity need `most` hashes or fewer."""
     best = (1, 1)
     for rows in range(1, most + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
-        if bands * rows <= most:
-            best = (bands, rows)
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(similarity**rows)))
+        if bands * rows > most:
+            break
+        best = (bands, rows)
     return best
 
 
@@ -106,7 +108,7 @@ def _joined(held: list[pa.RecordBatch]) -> dict[str, pa.Array]:
     return {n: t.column(n).chunk(0) if t.column(n).num_chunks else t.column(n) for n in t.column_names}
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], decode: Callable[[str], np.ndarray]) -> Iterator[pa.RecordBatch]:
     ks, links, roots = [], [], []
 
     def out() -> pa.RecordBatch:
@@ -117,7 +119,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = g["k"].to_numpy(zero_copy_only=False)
         if len(k) < 2:
             continue
-        got = _group(k, g["weight"].to_numpy(zero_copy_only=False), g["block"].to_numpy(zero_copy_only=False), [np.frombuffer(s, np.uint64) for s in g["items"].to_pylist()])
+        got = _group(k, g["weight"].to_numpy(zero_copy_only=False), g["block"].to_numpy(zero_copy_only=False), [decode(t) for t in g["text"].to_pylist()])
         if got is not None:
             for to, x in zip((ks, links, roots), got, strict=True):
                 to.append(x)
@@ -168,16 +170,39 @@ def _group(k: np.ndarray, weight: np.ndarray, block: np.ndarray, sets: list[np.n
     return (k[some], links[some], k[[find(i) for i in some]]) if len(some) else None
 
 
-def similar(items: DataFrame, load: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by band: an edge from every item to the first of its band in this range, and, as rows without
+    an edge, the first item of the first and of the last band, which may go on in other ranges."""
+    names = ["a", "b", "band"]
+    batch = lambda a, b, band: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, band)], names)
+    last, leader, first = None, 0, None
+    for x in batches:
+        if not x.num_rows:
+            continue
+        band, k = x.column("band").to_numpy(), x.column("k").to_numpy()
+        new = np.concatenate([[last is None or band[0] != last], band[1:] != band[:-1]])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+        lead = np.where(at < 0, leader, k[at])
+        first = (lead[0], band[0]) if first is None else first
+        last, leader = band[-1], lead[-1]
+        if (other := lead != k).any():
+            pairs = np.unique(np.stack([k[other], lead[other]], axis=1), axis=0)
+            yield batch(pairs[:, 0], pairs[:, 1], [None] * len(pairs))
+    if first is not None:
+        yield batch([None] * 2, [first[0], leader], [first[1], last])
+
+
+def similar(items: DataFrame, load: Callable[[DataFrame], DataFrame], decode: Callable[[str], np.ndarray], scratch: Scratch) -> DataFrame:
     """(k, links, root) of every item that is similar to another: links sums the weights of the items it is similar
     to, and root is the same throughout a component.
 
     items: a written table (k long, bands array<long>, weight long, ...), k unique. load: takes items with comp and
-    blocks added and gives (k, comp, blocks, weight, items: the set as packed 64-bit values)."""
-    rows = items.select("k", F.explode("bands").alias("band"))
-    leaders = rows.groupBy("band").agg(F.min("k").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "b")
-    edges = rows.join(leaders, "band").where("k != b").select(F.col("k").alias("a"), "b")
-    comps = connected_components(edges, scratch)
+    blocks added and gives (k, comp, blocks, weight, text). decode: the set of a text, as sorted 64-bit values."""
+    rows = items.select("k", F.explode("bands").alias("band")).repartitionByRange("band", "k").sortWithinPartitions("band", "k")
+    runs = scratch.table(rows.mapInArrow(_runs, "a long, b long, band long"), "runs")
+    ends = runs.where("a is null")
+    across = ends.select("b", "band").join(ends.groupBy("band").agg(F.min("b").alias("a")), "band").select("a", "b")  # two rows for each range
+    comps = connected_components(runs.where("a is not null").select("a", "b").unionByName(across), scratch)
     sizes = comps.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     sizes = scratch.table(sizes, "blocks")
     c = lookup_join(comps, sizes, "root", F.col("node")).select(F.col("node").alias("k"), F.col("root").alias("comp"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
@@ -185,11 +210,11 @@ def similar(items: DataFrame, load: Callable[[DataFrame], DataFrame], scratch: S
     sets = load(wanted)
     block = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
     spread = sets.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("comp", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "k", "weight", "items")
+    spread = spread.select("comp", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "k", "weight", "text")
     spread = spread.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y")
-    found = scratch.table(spread.mapInArrow(_verify, "k long, links long, root long"), "links")
+    found = scratch.table(spread.mapInArrow(lambda b: _verify(b, decode), "k long, links long, root long"), "links")
     roots = connected_components(found.select(F.col("k").alias("a"), F.col("root").alias("b")), scratch)
     out = found.groupBy("k").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "k"), "k")
     out = scratch.table(out, "similar")
-    scratch.drop(comps, sizes, wanted, found, roots)
+    scratch.drop(runs, comps, sizes, wanted, found, roots)
     return out

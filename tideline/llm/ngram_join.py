@@ -79,18 +79,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _load(docs: DataFrame):
-    """Brings the n-gram sets of candidates, from their texts."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                packed = pa.array([ngrams(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("k", "comp", "blocks", "weight")], packed], ["k", "comp", "blocks", "weight", "items"])
+    """Brings the texts of candidates."""
 
     def load(items: DataFrame) -> DataFrame:
         wanted = lookup_join(docs, items.select("key", "k", "comp", "blocks", "weight"), "key", F.col("key")).where("k is not null")
-        return wanted.select("k", "comp", "blocks", "weight", "text").mapInArrow(sets, "k long, comp long, blocks int, weight long, items binary")
+        return wanted.select("k", "comp", "blocks", "weight", "text")
 
     return load
 
@@ -113,7 +106,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     key = row_key(F.col("doc_id"), F.col("th"))
     first = narrow.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"), F.min(key).alias("key"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"))
     items = scratch.table(first.withColumn("k", F.monotonically_increasing_id()), "items")
-    linked = neardup.similar(items, _load(d.select("key", "text")), scratch)
+    linked = neardup.similar(items, _load(d.select("key", "text")), ngrams, scratch)
     own = items.select("id", "k", "least", "weight").join(linked, "k", "left").where("root is not null or weight > 1")
     own = own.select("id", "least", F.coalesce("root", "k").alias("grp"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     own = own.join(own.groupBy("grp").agg(F.min("least").alias("class_id")), "grp").select("id", "grp", "class_id", "n_links")

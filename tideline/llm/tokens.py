@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE = 800_000
-TOGETHER = 16_000_000
+CACHE = 500_000
+TOGETHER = 6_000_000
 #: Letters, then ASCII punctuation but no apostrophe, which may begin a suffix.
 _ENDINGS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
