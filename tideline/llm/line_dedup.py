@@ -25,8 +25,10 @@ from .common import BLANKS, Scratch, fresh, lookup_join, words_of
 from .ngram_join import row_key
 
 SHINGLE = 8
-BINS = 32
+BINS = 64
 RECALL = 0.998
+#: Lines of a block, about; they are shorter than documents.
+BLOCK = 2048
 BANDS, ROWS = neardup.banding(neardup.NUM / neardup.DEN, RECALL, BINS)
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, 2**i, 2**64)) for i in range(3)]
 _EMPTY = np.uint64(np.iinfo(np.uint64).max)
@@ -52,10 +54,19 @@ def line_shingles(text: str) -> np.ndarray:
     return np.unique(_shingle_hashes([text])[0])
 
 
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    h, line, _ = _shingle_hashes(lines)
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    return np.split(h[new], np.cumsum(np.bincount(line[new], minlength=len(lines)))[:-1])
+
+
 def _signatures(lines: list[str]) -> np.ndarray:
     h, line, _ = _shingle_hashes(lines)
     sig = np.full(len(lines) * BINS, _EMPTY, np.uint64)
-    np.minimum.at(sig, line * BINS + (h >> np.uint64(59)).astype(np.int64), h & np.uint64((1 << 59) - 1))
+    np.minimum.at(sig, line * BINS + (h >> np.uint64(58)).astype(np.int64), h & np.uint64((1 << 58) - 1))
     sig = sig.reshape(len(lines), BINS)
     step = 1
     while step < BINS:
@@ -115,7 +126,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     first = seen.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"))
     items = scratch.table(first.select(F.monotonically_increasing_id().alias("k"), "id", "place", row_key(F.col("place.doc_id"), F.col("place.th")).alias("key"), "place.line", "weight", "bands"), "line_items")
     texts = d.select(row_key(F.col("doc_id"), F.col("th")).alias("key"), "text")
-    linked = neardup.similar(items.select("k", "key", "line", "weight", "bands"), _load(texts), line_shingles, scratch).select("k", "root")
+    linked = neardup.similar(items.select("k", "key", "line", "weight", "bands"), _load(texts), shingle_sets, scratch, BLOCK).select("k", "root")
     own = items.select("id", "k", "place", "weight").join(linked, "k", "left").where("root is not null or weight > 1").withColumn("grp", F.coalesce("root", "k"))
     keeper = own.groupBy("grp").agg(F.min("place").alias("keeper"))
     own = scratch.table(own.join(keeper, "grp").select("id", "keeper"), "keepers")

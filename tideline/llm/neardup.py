@@ -55,12 +55,33 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range's edges (a, b) as edges from each node to the smallest one that they connect it to."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array([find(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], ["a", "b"])
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for each node of edges (a, b): roots are equal iff nodes are connected.
 
-    Each round hooks every node to its smallest neighbour, jumps pointers once, and contracts the edges; it ends when
+    Tasks first contract the edges that they hold, dealt by one end and then by the other. Each round hooks every node to its smallest neighbour, jumps pointers once, and contracts the edges; it ends when
     no edge is left. All steps are joins and pre-aggregated groupings on narrow rows, each written to the shared folder."""
-    e = scratch.table(edges.where(F.col("a") != F.col("b")).distinct(), "edges")
+    e = edges.where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    for end in ("a", "b", "a"):
+        e = e.repartition(end).mapInArrow(_contract, "a long, b long").where("a != b")
+    e = scratch.table(e, "edges")
     labels, own = None, [e]
     while True:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -108,7 +129,7 @@ def _joined(held: list[pa.RecordBatch]) -> dict[str, pa.Array]:
     return {n: t.column(n).chunk(0) if t.column(n).num_chunks else t.column(n) for n in t.column_names}
 
 
-def _verify(batches: Iterator[pa.RecordBatch], decode: Callable[[str], np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], decode: Callable[[list[str]], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     ks, links, roots = [], [], []
 
     def out() -> pa.RecordBatch:
@@ -119,7 +140,7 @@ def _verify(batches: Iterator[pa.RecordBatch], decode: Callable[[str], np.ndarra
         k = g["k"].to_numpy(zero_copy_only=False)
         if len(k) < 2:
             continue
-        got = _group(k, g["weight"].to_numpy(zero_copy_only=False), g["block"].to_numpy(zero_copy_only=False), [decode(t) for t in g["text"].to_pylist()])
+        got = _group(k, g["weight"].to_numpy(zero_copy_only=False), g["block"].to_numpy(zero_copy_only=False), decode(g["text"].to_pylist()))
         if got is not None:
             for to, x in zip((ks, links, roots), got, strict=True):
                 to.append(x)
@@ -192,24 +213,25 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch([None] * 2, [first[0], leader], [first[1], last])
 
 
-def similar(items: DataFrame, load: Callable[[DataFrame], DataFrame], decode: Callable[[str], np.ndarray], scratch: Scratch) -> DataFrame:
+def similar(items: DataFrame, load: Callable[[DataFrame], DataFrame], decode: Callable[[list[str]], list[np.ndarray]], scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """(k, links, root) of every item that is similar to another: links sums the weights of the items it is similar
     to, and root is the same throughout a component.
 
     items: a written table (k long, bands array<long>, weight long, ...), k unique. load: takes items with comp and
-    blocks added and gives (k, comp, blocks, weight, text). decode: the set of a text, as sorted 64-bit values."""
+    blocks added and gives (k, comp, blocks, weight, text). decode: the sets of texts, as
+    sorted 64-bit values. block: items of a block, about."""
     rows = items.select("k", F.explode("bands").alias("band")).repartitionByRange("band", "k").sortWithinPartitions("band", "k")
     runs = scratch.table(rows.mapInArrow(_runs, "a long, b long, band long"), "runs")
     ends = runs.where("a is null")
     across = ends.select("b", "band").join(ends.groupBy("band").agg(F.min("b").alias("a")), "band").select("a", "b")  # two rows for each range
     comps = connected_components(runs.where("a is not null").select("a", "b").unionByName(across), scratch)
-    sizes = comps.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    sizes = comps.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
     sizes = scratch.table(sizes, "blocks")
     c = lookup_join(comps, sizes, "root", F.col("node")).select(F.col("node").alias("k"), F.col("root").alias("comp"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
     wanted = scratch.table(items.drop("bands").join(c, "k"), "candidates")
     sets = load(wanted)
-    block = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
-    spread = sets.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    number = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
+    spread = sets.withColumn("block", number).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("comp", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "k", "weight", "text")
     spread = spread.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y")
     found = scratch.table(spread.mapInArrow(lambda b: _verify(b, decode), "k long, links long, root long"), "links")

@@ -106,7 +106,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     key = row_key(F.col("doc_id"), F.col("th"))
     first = narrow.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"), F.min(key).alias("key"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"))
     items = scratch.table(first.withColumn("k", F.monotonically_increasing_id()), "items")
-    linked = neardup.similar(items, _load(d.select("key", "text")), ngrams, scratch)
+    linked = neardup.similar(items, _load(d.select("key", "text")), lambda texts: [ngrams(t) for t in texts], scratch)
     own = items.select("id", "k", "least", "weight").join(linked, "k", "left").where("root is not null or weight > 1")
     own = own.select("id", "least", F.coalesce("root", "k").alias("grp"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     own = own.join(own.groupBy("grp").agg(F.min("least").alias("class_id")), "grp").select("id", "grp", "class_id", "n_links")
