@@ -24,6 +24,8 @@ from .common import Scratch, lookup_join
 NUM, DEN = 4, 5
 #: Items of a block, about.
 BLOCK = 512
+#: Groups of so many items or fewer are verified without arrays.
+FEW = 8
 
 
 def banding(similarity: float, recall: float, most: int) -> tuple[int, int]:
@@ -105,50 +107,71 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, pa.Array]]:
-    """The columns of each run of rows with equal keys, of batches sorted by them; one group at a time in memory."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 2048) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Of batches sorted by keys, tables of whole groups of about so many rows or of one group, and where each group
+    begins, with the table's end."""
     held: list[pa.RecordBatch] = []
     last = None
+
+    def cut() -> Iterator[tuple[pa.Table, np.ndarray]]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        k = np.stack([t.column(n).to_numpy() for n in keys], axis=1)
+        ends = np.concatenate([np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [len(k)]])
+        at, done = 0, 0
+        while at < len(k):
+            upto = max(np.searchsorted(ends, at + rows, side="right"), done + 1)
+            yield t.slice(at, ends[upto - 1] - at), np.concatenate([[0], ends[done:upto] - at])
+            at, done = ends[upto - 1], upto
+
     for batch in batches:
         if not batch.num_rows:
             continue
         k = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in keys], axis=1)
-        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-        for start, end in zip([0, *cuts], [*cuts, len(k)], strict=True):
-            if last is not None and (k[start] != last).any():
-                yield _joined(held)
-                held = []
-            held.append(batch.slice(start, end - start))
-            last = k[start]
+        new = np.concatenate([[last is not None and (k[0] != last).any()], (k[1:] != k[:-1]).any(axis=1)])
+        last = k[-1]
+        if new.any():
+            start = np.flatnonzero(new)[-1]
+            held.append(batch.slice(0, start))
+            yield from cut()
+            held = [batch.slice(start)]
+        else:
+            held.append(batch)
     if held:
-        yield _joined(held)
-
-
-def _joined(held: list[pa.RecordBatch]) -> dict[str, pa.Array]:
-    t = pa.Table.from_batches(held).combine_chunks()
-    return {n: t.column(n).chunk(0) if t.column(n).num_chunks else t.column(n) for n in t.column_names}
+        yield from cut()
 
 
 def _verify(batches: Iterator[pa.RecordBatch], decode: Callable[[list[str]], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    ks, links, roots = [], [], []
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in (ks, links, roots)], ["k", "links", "root"])
-
-    held = 0
-    for g in grouped(batches, ["comp", "x", "y"]):
-        k = g["k"].to_numpy(zero_copy_only=False)
-        if len(k) < 2:
-            continue
-        got = _group(k, g["weight"].to_numpy(zero_copy_only=False), g["block"].to_numpy(zero_copy_only=False), decode(g["text"].to_pylist()))
-        if got is not None:
-            for to, x in zip((ks, links, roots), got, strict=True):
-                to.append(x)
-            held += len(got[0])
-            if held > 10_000:
-                yield out()
-                ks, links, roots, held = [], [], [], 0
-    yield out()
+    for t, cuts in whole_groups(batches, ["comp", "x", "y"]):
+        k, weight, block = (t.column(n).to_numpy() for n in ("k", "weight", "block"))
+        sets = decode(t.column("text").to_pylist())
+        found = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > 1:
+                got = (_few if b - a <= FEW else _group)(k[a:b], weight[a:b], block[a:b], sets[a:b])
+                if got is not None:
+                    found.append(got)
+        cols = [np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["k", "links", "root"])
+
+
+def _few(k: np.ndarray, weight: np.ndarray, block: np.ndarray, sets: list[np.ndarray]):
+    """What _group gives, for groups so small that plain sets are faster."""
+    at = list({x: i for i, x in enumerate(k.tolist())}.values())
+    own = [set(sets[i].tolist()) for i in at]
+    across = len(set(block.tolist())) > 1
+    links, up = [0] * len(at), list(range(len(at)))
+    for q in range(len(at)):
+        for p in range(q):
+            less, more = sorted((len(own[p]), len(own[q])))
+            if NUM * more > DEN * less or across and block[at[p]] == block[at[q]]:
+                continue
+            shared = len(own[p] & own[q])
+            if DEN * shared >= NUM * (less + more - shared):
+                links[p] += weight[at[q]]
+                links[q] += weight[at[p]]
+                up = [up[p] if u == up[q] else u for u in up]
+    some = [i for i, n in enumerate(links) if n]
+    return (k[[at[i] for i in some]], np.array([links[i] for i in some]), k[[at[up[i]] for i in some]]) if some else None
 
 
 def _group(k: np.ndarray, weight: np.ndarray, block: np.ndarray, sets: list[np.ndarray]):
@@ -213,23 +236,63 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch([None] * 2, [first[0], leader], [first[1], last])
 
 
-def similar(items: DataFrame, load: Callable[[DataFrame], DataFrame], decode: Callable[[list[str]], list[np.ndarray]], scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """(k, links, root) of every item that is similar to another: links sums the weights of the items it is similar
-    to, and root is the same throughout a component.
+def minhash(grams: np.ndarray, hashes: int) -> np.ndarray:
+    """The least value of a set under each of so many hash functions."""
+    a = mix64(np.arange(1, hashes + 1, dtype=np.uint64)) | np.uint64(1)
+    b = mix64(np.arange(1001, 1001 + hashes, dtype=np.uint64))
+    sig = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(grams), 2048):
+        np.minimum(sig, (a[:, None] * grams[None, i : i + 2048] + b[:, None]).min(axis=1), out=sig)
+    return sig
 
-    items: a written table (k long, bands array<long>, weight long, ...), k unique. load: takes items with comp and
-    blocks added and gives (k, comp, blocks, weight, text). decode: the sets of texts, as
-    sorted 64-bit values. block: items of a block, about."""
-    rows = items.select("k", F.explode("bands").alias("band")).repartitionByRange("band", "k").sortWithinPartitions("band", "k")
+
+def _finer(batches: Iterator[pa.RecordBatch], decode: Callable[[list[str]], list[np.ndarray]], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Band keys of texts under bands of more rows, kept apart by component."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            b = batch.slice(at, 512)
+            sets = decode(b.column("text").to_pylist())
+            keys = band_keys(np.stack([minhash(s, bands * rows) for s in sets]), bands, rows).view(np.uint64)
+            keys = mix64(keys ^ mix64(b.column("comp").to_numpy().view(np.uint64))[:, None]).view(np.int64)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("k"), lists], ["k", "bands"])
+
+
+def _candidates(banded: DataFrame, block: int, scratch: Scratch) -> DataFrame:
+    """(k, comp, blocks) of the items (k, bands) that share a band with another; comp is the same for all that do so."""
+    rows = banded.select("k", F.explode("bands").alias("band")).repartitionByRange("band", "k").sortWithinPartitions("band", "k")
     runs = scratch.table(rows.mapInArrow(_runs, "a long, b long, band long"), "runs")
     ends = runs.where("a is null")
     across = ends.select("b", "band").join(ends.groupBy("band").agg(F.min("b").alias("a")), "band").select("a", "b")  # two rows for each range
     comps = connected_components(runs.where("a is not null").select("a", "b").unionByName(across), scratch)
+    scratch.drop(runs)
     sizes = comps.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
     sizes = scratch.table(sizes, "blocks")
-    c = lookup_join(comps, sizes, "root", F.col("node")).select(F.col("node").alias("k"), F.col("root").alias("comp"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    wanted = scratch.table(items.drop("bands").join(c, "k"), "candidates")
-    sets = load(wanted)
+    return lookup_join(comps, sizes, "root", F.col("node")).select(F.col("node").alias("k"), F.col("root").alias("comp"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+
+
+def similar(items: DataFrame, load: Callable[[DataFrame], DataFrame], decode: Callable[[list[str]], list[np.ndarray]], scratch: Scratch, block: int = BLOCK, finer: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+    """(k, links, root) of every item that is similar to another: links sums the weights of the items it is similar
+    to, and root is the same throughout a component.
+
+    items: a written table (k long, bands array<long>, weight long, ...), k unique. load: takes items with comp and
+    blocks added and gives (k, comp, blocks, weight, text). decode: the sets of texts, as
+    sorted 64-bit values. block: items of a block, about. finer: (bands, rows) under which the items of components of
+    more than one block are banded again, one after the other, as far as such components are left: bands of few rows
+    join sets that are far apart, the more the larger the corpus, and what hangs together only so falls apart again."""
+    wanted = scratch.table(items.drop("bands").join(_candidates(items, block, scratch), "k"), "candidates")
+    parts = [scratch.table(load(wanted), "sets")]
+    for bands, rows in finer:
+        large = parts[-1].where("blocks > 1")
+        if large.isEmpty():
+            break
+        banded = large.select("k", "comp", "text").mapInArrow(lambda b, n=bands, r=rows: _finer(b, decode, n, r), "k long, bands array<long>")
+        banded = scratch.table(banded, "finer_bands")
+        again = large.drop("comp", "blocks").join(_candidates(banded, block, scratch), "k")
+        parts[-1:] = [parts[-1].where("blocks = 1"), scratch.table(again, "sets")]
+    sets = parts[0]
+    for x in parts[1:]:
+        sets = sets.unionByName(x)
     number = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
     spread = sets.withColumn("block", number).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("comp", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "k", "weight", "text")
@@ -238,5 +301,5 @@ def similar(items: DataFrame, load: Callable[[DataFrame], DataFrame], decode: Ca
     roots = connected_components(found.select(F.col("k").alias("a"), F.col("root").alias("b")), scratch)
     out = found.groupBy("k").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "k"), "k")
     out = scratch.table(out, "similar")
-    scratch.drop(runs, comps, sizes, wanted, found, roots)
+    scratch.drop(wanted, found, roots)
     return out

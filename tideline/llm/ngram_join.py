@@ -27,8 +27,6 @@ N = 5
 RECALL = 0.999
 BANDS, ROWS = neardup.banding(neardup.NUM / neardup.DEN, RECALL, 128)
 _STEP = np.uint64(0xA24BAED4963EE407)
-_A = neardup.mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-_B = neardup.mix64(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64))
 _words = re.compile(WORD).findall
 
 
@@ -60,20 +58,13 @@ def ngrams(text: str | None) -> np.ndarray:
     return np.unique(neardup.mix64(h))
 
 
-def _signature(grams: np.ndarray) -> np.ndarray:
-    sig = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(grams), 2048):
-        np.minimum(sig, (_A[:, None] * grams[None, i : i + 2048] + _B[:, None]).min(axis=1), out=sig)
-    return sig
-
-
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             b = batch.slice(at, 512)
             sets = [ngrams(t) for t in b.column("text").to_pylist()]
             ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            keys = neardup.band_keys(np.stack([_signature(s) for s in sets]), BANDS, ROWS)
+            keys = neardup.band_keys(np.stack([neardup.minhash(s, BANDS * ROWS) for s in sets]), BANDS, ROWS)
             bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(ids, pa.binary()), bands], ["doc_id", "th", "id", "bands"])
 
