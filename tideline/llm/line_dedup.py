@@ -29,8 +29,10 @@ BINS = 64
 RECALL = 0.998
 #: Lines of a block, about; they are shorter than documents.
 BLOCK = 2048
+#: Components of more lines are banded again.
+ABOVE = 256
 BANDS, ROWS = neardup.banding(neardup.NUM / neardup.DEN, RECALL, BINS)
-#: Bands and rows for components of more than one block, about 8 and 12 rows at a higher recall.
+#: Bands and rows for large components, about 8 and 12 rows at a higher recall.
 FINER = tuple(neardup.banding(neardup.NUM / neardup.DEN, 0.9995, most) for most in (350, 1300))
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, 2**i, 2**64)) for i in range(3)]
 _EMPTY = np.uint64(np.iinfo(np.uint64).max)
@@ -128,7 +130,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     first = seen.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"))
     items = scratch.table(first.select(F.monotonically_increasing_id().alias("k"), "id", "place", row_key(F.col("place.doc_id"), F.col("place.th")).alias("key"), "place.line", "weight", "bands"), "line_items")
     texts = d.select(row_key(F.col("doc_id"), F.col("th")).alias("key"), "text")
-    linked = neardup.similar(items.select("k", "key", "line", "weight", "bands"), _load(texts), shingle_sets, scratch, BLOCK, FINER).select("k", "root")
+    linked = neardup.similar(items.select("k", "key", "line", "weight", "bands"), _load(texts), shingle_sets, scratch, BLOCK, FINER, ABOVE).select("k", "root")
     own = items.select("id", "k", "place", "weight").join(linked, "k", "left").where("root is not null or weight > 1").withColumn("grp", F.coalesce("root", "k"))
     keeper = own.groupBy("grp").agg(F.min("place").alias("keeper"))
     own = scratch.table(own.join(keeper, "grp").select("id", "keeper"), "keepers")

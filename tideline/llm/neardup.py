@@ -259,7 +259,8 @@ def _finer(batches: Iterator[pa.RecordBatch], decode: Callable[[list[str]], list
 
 
 def _candidates(banded: DataFrame, block: int, scratch: Scratch) -> DataFrame:
-    """(k, comp, blocks) of the items (k, bands) that share a band with another; comp is the same for all that do so."""
+    """(k, comp, blocks) of the items (k, bands) that share a band with another; comp is the same for all that do so,
+    and blocks is the number of blocks of so many items that they fill."""
     rows = banded.select("k", F.explode("bands").alias("band")).repartitionByRange("band", "k").sortWithinPartitions("band", "k")
     runs = scratch.table(rows.mapInArrow(_runs, "a long, b long, band long"), "runs")
     ends = runs.where("a is null")
@@ -271,16 +272,17 @@ def _candidates(banded: DataFrame, block: int, scratch: Scratch) -> DataFrame:
     return lookup_join(comps, sizes, "root", F.col("node")).select(F.col("node").alias("k"), F.col("root").alias("comp"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
 
 
-def similar(items: DataFrame, load: Callable[[DataFrame], DataFrame], decode: Callable[[list[str]], list[np.ndarray]], scratch: Scratch, block: int = BLOCK, finer: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+def similar(items: DataFrame, load: Callable[[DataFrame], DataFrame], decode: Callable[[list[str]], list[np.ndarray]], scratch: Scratch, block: int = BLOCK, finer: tuple[tuple[int, int], ...] = (), above: int = 0) -> DataFrame:
     """(k, links, root) of every item that is similar to another: links sums the weights of the items it is similar
     to, and root is the same throughout a component.
 
     items: a written table (k long, bands array<long>, weight long, ...), k unique. load: takes items with comp and
     blocks added and gives (k, comp, blocks, weight, text). decode: the sets of texts, as
     sorted 64-bit values. block: items of a block, about. finer: (bands, rows) under which the items of components of
-    more than one block are banded again, one after the other, as far as such components are left: bands of few rows
+    more than `above` items (a block's, if 0) are banded again, one after the other, as far as such components are left: bands of few rows
     join sets that are far apart, the more the larger the corpus, and what hangs together only so falls apart again."""
-    wanted = scratch.table(items.drop("bands").join(_candidates(items, block, scratch), "k"), "candidates")
+    above = above or block
+    wanted = scratch.table(items.drop("bands").join(_candidates(items, above, scratch), "k"), "candidates")
     parts = [scratch.table(load(wanted), "sets")]
     for bands, rows in finer:
         large = parts[-1].where("blocks > 1")
@@ -288,11 +290,12 @@ def similar(items: DataFrame, load: Callable[[DataFrame], DataFrame], decode: Ca
             break
         banded = large.select("k", "comp", "text").mapInArrow(lambda b, n=bands, r=rows: _finer(b, decode, n, r), "k long, bands array<long>")
         banded = scratch.table(banded, "finer_bands")
-        again = large.drop("comp", "blocks").join(_candidates(banded, block, scratch), "k")
+        again = large.drop("comp", "blocks").join(_candidates(banded, above, scratch), "k")
         parts[-1:] = [parts[-1].where("blocks = 1"), scratch.table(again, "sets")]
     sets = parts[0]
     for x in parts[1:]:
         sets = sets.unionByName(x)
+    sets = sets.withColumn("blocks", F.ceil(F.col("blocks") * F.lit(above) / F.lit(block)).cast("int"))
     number = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
     spread = sets.withColumn("block", number).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("comp", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "k", "weight", "text")
