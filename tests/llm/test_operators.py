@@ -1,5 +1,6 @@
 """The training-data operators on small tables with nulls, empty and long texts, ties, repeats and odd columns."""
 
+import bisect
 import hashlib
 import io
 import random
@@ -101,6 +102,26 @@ def test_packing_many(spark):
         assert len(out) <= 1.03 * best + 2
 
 
+def test_packing_as_sequential_best_fit(spark):
+    r = random.Random(8)
+    few_long = [2100] * 1000 + [32] * 100_000
+    own_gaps = [1366] * 400 + [1300] * 200 + [1100] * 200  # gaps that the first band opens itself take its smaller pieces
+    for sizes in (few_long, own_gaps, [r.randint(1, 4096) for _ in range(2000)]):
+        got = packing.pack(spark.createDataFrame([(n,) for n in sizes], "length long").repartition(3))
+        places = {}
+        for x in got.collect():
+            places.setdefault(x.sequence_id, []).append((x.offset, x.length))
+        for p in places.values():
+            assert [o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:i]) for i in range(len(p))]
+        assert Counter(n for p in places.values() for _, n in p) == Counter(sizes)
+        rooms = []
+        for n in sorted(sizes, reverse=True):
+            i = bisect.bisect_left(rooms, n)
+            room = rooms.pop(i) if i < len(rooms) else 4096
+            bisect.insort(rooms, room - n)
+        assert sorted(4096 - sum(n for _, n in p) for p in places.values()) == rooms
+
+
 def test_warc(spark):
     rows = [(1, "http://a/", "<p>" + "x" * 200), (2, None, "<p>" + "x" * 200), (3, "http://b/\r\n", "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (2, None, "<p>" + "x" * 200), (1, "http://a/", "<p>" + "x" * 200), (None, "u", "<p>" + "x" * 200), (7, "u", "é" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("salt", F.lit(1)).withColumn("payload_digest", F.lit("z"))

@@ -1,13 +1,12 @@
-"""Best-fit packing of token sequences in bulk-synchronous rounds (operator 1).
+"""Best-fit packing of token sequences, longest pieces first (operator 1).
 
-Documents become pieces of at most `SIZE` ids. Pieces over half a sequence open one each; the others follow in bands
-of halving lengths. In a round, the gaps of open sequences and the pieces of the band are range-sorted by size. A sweep
-from the largest down keeps the gaps passed so far on a stack, so that each piece finds its successor: the smallest
-gap that is not smaller and not taken by a larger piece. The sweep is distributed: each range reports its net count
-and lowest point, the stack's depth at the start of every range follows from these few numbers, and a piece matches
-the last gap before it of the same depth (its rank). Sizes are whole numbers up to SIZE, so one depth holds at most
-two rows for each size. Matched gaps shrink and return. When a round places few, the pieces that are left open
-sequences in sorted order, each range filling its own.
+Documents become pieces of at most `SIZE` ids. Each piece, from the longest down, goes to the smallest gap of an open
+sequence that takes it; a sequence is opened only when no gap does. Pieces of one length and gaps of one size are alike,
+so where they go follows from the number of pieces of each length alone: of the gaps of the smallest size that takes a
+length, each is filled with as many such pieces as it holds before the next. The driver gets these numbers, at most
+`SIZE` and one for each range of a sort by length, and plans runs: consecutive pieces of the sort that fill consecutive
+sequences alike. Each length splits a few groups of sequences at most, so the runs don't grow with the rows. Tasks then
+find each piece's run by its place in the sort. The result is that of sequential best fit, whatever the input.
 
 Defined cases: null and empty texts are one piece, the end id alone; repeated rows are packed one by one; an empty
 table gives an empty result; further columns are ignored."""
@@ -15,12 +14,13 @@ table gives an empty result; further columns are ignored."""
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, shared_dir
@@ -28,9 +28,8 @@ from .tokens import encoder, vocabulary
 
 SIZE = 4096
 END_ID = 1
-#: Rows of a range, about, and the share of a band that a round must place for another one like it.
+#: Rows of a range, about.
 RANGE_ROWS = 250_000
-WORTH = 0.25
 
 
 def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
@@ -58,115 +57,88 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str |
     return d.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    net = low = 0
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, length, n) of a range."""
+    found: dict[int, int] = {}
     for b in batches:
-        if b.num_rows:
-            s = net + np.cumsum(1 - 2 * b.column("kind").to_numpy(zero_copy_only=False).astype(np.int64))
-            net, low = int(s[-1]), min(low, int(s.min()))
-    yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "net": [net], "low": [low]})
-
-
-def _levels(starts: dict[int, int], opening: bool, round_no: int, size: int):
-    """Rows (level, at, kind, id, size, seq): gaps (0) and pieces (1) with the stack's depth; level 0 is unmatched.
-    When opening, pieces without a gap come out placed (2) and the sequences opened for them as gaps (3)."""
+        for length, n in zip(*np.unique(b.column("length").to_numpy(zero_copy_only=False), return_counts=True), strict=True):
+            found[int(length)] = found.get(int(length), 0) + int(n)
+    part = TaskContext.get().partitionId()
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([part] * len(found), list(found), list(found.values()))], ["part", "length", "n"])
+
+
+def plan(counts: dict[int, int], size: int = SIZE) -> np.ndarray:
+    """Runs (first, seq, each, offset): from place `first` of the pieces sorted by falling length, sequences from `seq`
+    on take `each` pieces at `offset`. counts: the number of pieces of each length."""
+    runs, place, opened = [], 0, 0
+    rooms: list[int] = []  # sizes of gaps, sorted
+    gaps: dict[int, list[tuple[int, int]]] = {}  # by size: first sequence and number of sequences
+
+    def add(room: int, seq: int, n: int) -> None:
+        if room and n:
+            if room not in gaps:
+                insort(rooms, room)
+                gaps[room] = []
+            gaps[room].append((seq, n))
+
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        while left:
+            i = bisect_left(rooms, length)
+            if i < len(rooms):
+                room = rooms[i]
+                seq, n = gaps[room].pop()
+                if not gaps[room]:
+                    del gaps[room], rooms[i]
+            else:
+                room, seq, n = size, opened, -(-left // (size // length))
+                opened += n
+            each = room // length
+            taken = min(left, n * each)
+            runs.append((place, seq, each, size - room))
+            full, more = divmod(taken, each)
+            add(room - each * length, seq, full)
+            if more:
+                add(room - more * length, seq + full, 1)
+            add(room, seq + full + (more > 0), n - full - (more > 0))
+            place, left = place + taken, left - taken
+    return np.array(runs, np.int64).reshape(-1, 4)
+
+
+def _places(starts: dict[int, int], runs: np.ndarray):
+    """Rows (pid, sequence_id, offset) of the sorted pieces; starts: the place of each range's first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        depth, done = starts.get(part, 0), 0
-        fill, opened = size, 0
-        first_seq = -(((round_no + 1) << 54) + (part << 30))  # below zero: no piece's number
+        place = starts.get(TaskContext.get().partitionId(), 0)
         for b in batches:
             if not b.num_rows:
                 continue
-            kind, ids, sizes = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("kind", "id", "size"))
-            s = depth + np.cumsum(1 - 2 * kind)
-            after = s - np.minimum(0, np.minimum.accumulate(s))
-            before = np.concatenate([[depth], after[:-1]])
-            level = np.where(kind == 0, after, before)
-            at = (part << 36) + done + np.arange(len(kind))
-            seq = np.zeros(len(kind), np.int64)
-            depth, done = int(after[-1]), done + len(kind)
-            extra: list[tuple] = []
-            if opening:
-                for i in np.flatnonzero((kind == 1) & (level == 0)):
-                    if fill + sizes[i] > size:
-                        if opened:
-                            extra.append((0, 0, 3, first_seq - opened, size - fill, 0))
-                        opened, fill = opened + 1, 0
-                    kind[i], seq[i], at[i] = 2, first_seq - opened, fill
-                    fill += int(sizes[i])
-            yield _rows([level, at, kind, ids, sizes, seq])
-            if extra:
-                yield _rows(list(np.array(extra, np.int64).T))
-        if opened:
-            yield _rows(list(np.array([(0, 0, 3, first_seq - opened, size - fill, 0)], np.int64).T))
+            at = place + np.arange(b.num_rows)
+            place += b.num_rows
+            first, seq, each, offset = runs[np.searchsorted(runs[:, 0], at, "right") - 1].T
+            nth, within = np.divmod(at - first, each)
+            offset = offset + within * b.column("length").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column("pid"), pa.array(seq + nth, pa.int64()), pa.array(offset, pa.int64())], ["pid", "sequence_id", "offset"])
 
     return run
 
 
-def _rows(cols: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in cols], ["level", "at", "kind", "id", "size", "seq"])
-
-
-def _round(gaps: DataFrame | None, pieces: DataFrame, n: int, opening: bool, round_no: int, size: int, scratch: Scratch) -> DataFrame:
-    """One sweep. Rows (kind, id, seq, size, offset): placed pieces (1), open gaps (0) and pieces left (2)."""
-    u = pieces.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("id"))
-    if gaps is not None:
-        u = u.unionByName(gaps.select(F.col("room").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("id")))
-    order = [F.col("size").desc(), F.col("kind"), F.col("id")]
-    ranges = max(1, -(-n // RANGE_ROWS))
-    u = u.repartitionByRange(ranges, *order).sortWithinPartitions(*order).checkpoint()  # the two passes must see the same ranges
-    depth, starts = 0, {}
-    for r in sorted(u.mapInArrow(_summary, "part long, net long, low long").collect()):  # a row for each range
-        starts[r.part] = depth
-        depth = max(depth + r.net, r.net - r.low)
-    x = u.mapInArrow(_levels(starts, opening, round_no, size), "level long, at long, kind long, id long, size long, seq long")
-    w = Window.partitionBy("level").orderBy("at")
-    met = x.where("level > 0 and kind < 2")
-    met = met.select("kind", "id", "size", F.lag("id").over(w).alias("gap"), F.lag("size").over(w).alias("room"), F.lead("size").over(w).alias("taken"))
-    placed = met.where("kind = 1").select(F.lit(1).alias("kind"), "id", F.col("gap").alias("seq"), "size", (size - F.col("room")).alias("offset"))
-    left_gaps = met.where("kind = 0").select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), F.col("id").alias("seq"), (F.col("size") - F.coalesce("taken", F.lit(0))).alias("size"), F.lit(0).cast("long").alias("offset"))
-    alone = x.where("level = 0 or kind > 1")
-    again = F.when(F.col("kind") == 1, 2).when(F.col("kind") == 2, 1).otherwise(0)
-    alone = alone.select(again.alias("kind"), F.when(F.col("kind") < 3, F.col("id")).otherwise(F.lit(0)).alias("id"), F.when(F.col("kind") == 3, F.col("id")).otherwise(F.col("seq")).alias("seq"), "size", F.when(F.col("kind") == 2, F.col("at")).otherwise(F.lit(0)).alias("offset"))
-    return scratch.table(placed.unionByName(left_gaps).unionByName(alone).where("kind > 0 or size > 0"), "packing_round")
-
-
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """pieces with sequence_id and offset. pieces: any DataFrame with a column length, from 1 to size."""
     scratch = Scratch(pieces.sparkSession)
     if pieces.sparkSession.sparkContext.getCheckpointDir() is None:
         pieces.sparkSession.sparkContext.setCheckpointDir(shared_dir(pieces.sparkSession))
     t = scratch.table(pieces.withColumn("pid", F.monotonically_increasing_id()), "pieces")
-    half = size // 2
-    own = t.where(F.col("length") > half).select("pid", F.col("pid").alias("seq"), F.lit(0).cast("long").alias("offset"))
-    placed = [own]
-    open_gaps = [t.where((F.col("length") > half) & (F.col("length") < size)).select(F.col("pid").alias("seq"), (size - F.col("length")).alias("room"))]
-    bands, high = [], half
-    while high > 64:
-        bands.append((high // 2, high))
-        high //= 2
-    bands.append((0, high))
-    counts = t.agg(*[F.count_if((F.col("length") > lo) & (F.col("length") <= hi)).alias(f"n{lo}") for lo, hi in bands], F.count_if((F.col("length") > half) & (F.col("length") < size)).alias("gaps")).first()
-    n_gaps, round_no, gaps = counts["gaps"], 0, open_gaps[0]
-    for lo, hi in bands:
-        left, n = t.where((F.col("length") > lo) & (F.col("length") <= hi)).select("pid", "length"), counts[f"n{lo}"]
-        opening = lo == half // 2 or not n_gaps  # no gap takes two of the first band
-        while n:
-            able = gaps.where(F.col("room") > lo) if n_gaps else None
-            r = _round(able, left, n + n_gaps, opening, round_no, size, scratch)
-            rest = gaps.where(F.col("room") <= lo)
-            gaps = scratch.table(rest.unionByName(r.where("kind = 0").select("seq", F.col("size").alias("room"))), "gaps")
-            placed.append(r.where("kind = 1").select(F.col("id").alias("pid"), "seq", "offset"))
-            left = r.where("kind = 2").select(F.col("id").alias("pid"), F.col("size").alias("length"))
-            was, round_no = n, round_no + 1
-            n, n_gaps = left.count(), gaps.count()
-            opening = was - n < WORTH * was
-    every = placed[0]
-    for p in placed[1:]:
-        every = every.unionByName(p)
-    return t.join(every, "pid").drop("pid").withColumnRenamed("seq", "sequence_id")
+    order = [F.col("length").desc(), F.col("pid")]
+    u = t.select("pid", F.col("length").cast("long").alias("length"))
+    u = u.repartitionByRange(max(1, -(-t.count() // RANGE_ROWS)), *order).sortWithinPartitions(*order).checkpoint()  # the two passes must see the same ranges
+    starts, counts, place = {}, {}, 0
+    for r in sorted(u.mapInArrow(_lengths, "part long, length long, n long").collect(), key=lambda r: (r.part, -r.length)):
+        starts.setdefault(r.part, place)
+        counts[r.length] = counts.get(r.length, 0) + r.n
+        place += r.n
+    placed = u.mapInArrow(_places(starts, plan(counts, size)), "pid long, sequence_id long, offset long")
+    return t.join(placed, "pid").drop("pid")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
