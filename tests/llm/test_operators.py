@@ -284,6 +284,20 @@ def test_main_text(spark):
     assert html_text.vote(PAGE) == html_text.vote(PAGE.replace("post-12", "post-99")) == "html>body>div.wrap>div.content.post-#"
 
 
+def test_main_text_in_several_containers(spark):
+    a, b, c = ("".join(f"<p>{w}{i} " + "text " * 20 for i in range(n)) for w, n in (("a", 7), ("b", 3), ("c", 3)))
+    top, end = '<body><div class="nav"><a href=1>x</a></div>', '<div class="legal"><p>All rights</div><div class="footer">foot</div></body>'
+    bodies = [
+        f"<section>{a}</section><section>{b}</section>", f"<section>{a}</section><section>{b}</section><section>{c}</section>", f'<section class="x">{a}</section><section class="y">{b}</section>',
+        f'<div class="w">{a}</div><div class="w">{b}</div>', f"<p>First words</p><section>{a}</section>", f"<div><section>{a}</section></div><div><section>{b}</section></div>", f"<section>{a}</section>",
+    ]
+    pages = [f'{top}<div class="post">{x}</div>{end}' for x in bodies] + [f"<article>{a}</article><article>{b}</article>"]
+    got = dict(html_text.main_text(spark.createDataFrame([(i, "http://h.com", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).select("page_id", "text").collect())
+    for i, x in enumerate([*bodies, pages[-1]]):
+        assert got[i] == html_text.Page(x).text(None)
+    assert html_text.vote(pages[0]) == html_text.vote(pages[3]) == "html>body>div.post"
+
+
 def test_secrets(docs, empty):
     got = {r.doc_id: r for r in secrets.digest(secrets.scan(docs)).collect()}
     assert sum(1 for _ in secrets.scan(docs).collect()) == len(ROWS)

@@ -1,10 +1,11 @@
 """Main text of web pages by consensus host paths (operator 6).
 
 1. Each page's containers are scored by the text that lies in them outside links; the best one (or the article or main
-   element around it) votes for its path: the tags from the root with their classes, digits generalised.
+   element around it) votes for its path: the tags from the root with their classes, digits generalised. Where it is
+   one of several parts of a text in a common parent, the parent does; of the body's own parts, like ones are one text.
 2. Votes are counted per host in Spark; the paths with at least `SHARE` of a host's votes win.
 3. Pages are extracted again: of the host's winning paths that a page has, the best container; without one, or if it
-   holds less than `WEAK` of the page's best score, the page's own best.
+   holds less than `WEAK` of the page's best score, the page's own best; again the parent for one of several parts.
 
 From the container's text go menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts
 and reader comments, told by element, role or class; nothing else is left out. Character references are decoded and
@@ -46,13 +47,25 @@ _OUT_CLASSES = frozenset(
     "comment comments commentlist disqus respond reply replies share sharing social related recommended widget widgets pagination pager toolbar search skip hidden".split()
 )
 _GOOD = ("article", "main")
+#: Parts of what they lie in, whatever their classes.
+_PARTS = frozenset("section blockquote center td".split())
+_WORD = re.compile(r"\w")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "parent", "out", "score", "start", "end")
+    __slots__ = ("tag", "path", "parent", "out", "score", "start", "end", "own", "kids", "words")
 
     def __init__(self, tag, path, parent, out, start):
         self.tag, self.path, self.parent, self.out, self.score, self.start, self.end = tag, path, parent, out, 0.0, start, -1
+        self.own = self.words = False  # text with a word outside links: not in a container within, or at all
+        self.kids: list[_Node] = []
+
+    def holder(self):
+        """The container around, or the root."""
+        up = self.parent
+        while up and up.tag not in _CONTAINERS and up.parent:
+            up = up.parent
+        return up
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -98,6 +111,7 @@ class Page:
         while len(self.stack) > 1:
             self._pop()
         root.end = len(self.pieces)
+        root.words = root.own or any(k.words for k in root.kids)
         self.nodes.append(root)
 
     def _text(self, text: str) -> None:
@@ -113,11 +127,9 @@ class Page:
         while near.tag not in _CONTAINERS and near.parent:
             near = near.parent
         near.score += n
+        near.own = near.own or n > 0 and _WORD.search(text) is not None
         if near.parent and n > 0:
-            far = near.parent
-            while far.tag not in _CONTAINERS and far.parent:
-                far = far.parent
-            far.score += n / 2
+            near.holder().score += n / 2
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "html":
@@ -168,6 +180,8 @@ class Page:
             self.pieces.append(None)
         if node.tag in _CONTAINERS and not node.out:
             self.nodes.append(node)
+            node.words = node.own or any(k.words for k in node.kids)
+            node.holder().kids.append(node)
 
     def _close_within(self, tag: str, stops: tuple[str, ...]) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -193,6 +207,20 @@ class Page:
             around = around.parent
         return top
 
+    def whole(self, node: _Node | None) -> _Node | None:
+        """The container that holds all parts of a text of which node is one: what lies beside it in a common parent,
+        but directly in the body only like containers and bare text. Article and main are joined by like ones only."""
+        top = at = node
+        while at is not None and (up := at.holder()) is not None:
+            more = [k for k in up.kids if k is not at and k.words]
+            like = any(k.path == at.path or at.tag in _PARTS and k.tag in _PARTS for k in more)
+            if like or at.tag not in _GOOD and (up.own or more and up.tag not in ("body", "html")):
+                top = up
+            elif more or up.own:
+                break
+            at = up
+        return top
+
     def text(self, node: _Node | None) -> str:
         pieces = self.pieces if node is None else self.pieces[node.start : node.end]
         return " ".join("".join(" " if x is None else x for x in pieces).split())
@@ -200,17 +228,17 @@ class Page:
 
 def vote(html: str | None) -> str | None:
     page = Page(html or "")
-    node = page.best()
+    node = page.whole(page.best())
     return node.path if node else None
 
 
 def extract(html: str | None, paths: list[str] | None) -> str:
     page = Page(html or "")
-    own = page.best()
+    own = page.whole(page.best())
     if own is None:  # all that there is was left out, or there is no container
         text = page.text(None)
         return text or Page(html or "", by_class=False).text(None)
-    chosen = page.best(paths) if paths else None
+    chosen = page.whole(page.best(paths)) if paths else None
     if chosen is not None and chosen is not own:
         total = sum(len(x) for x in page.pieces[own.start : own.end] if x)
         if sum(len(x) for x in page.pieces[chosen.start : chosen.end] if x) >= WEAK * total:
