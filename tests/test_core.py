@@ -171,6 +171,17 @@ def test_merge():
     assert [X.absorb(blocks, t) for t in ("a\nb\nc\nd", "b\nc\nd\ne", "", "x\ny")] == [0, 0, 1, 2]
 
 
+def test_merge_like_lines():
+    assert X.merge("a\nb\nc", "  b\nc  \nd") == "a\nb\nc\nd"
+    assert X.coverage("a\n b\nc", "a\nb \nc") == 1
+    blocks = []
+    assert [X.absorb(blocks, t) for t in ("a\nb\nc\nd", "  b\n  c\n  d\n  e")] == [0, 0] and blocks == ["a\nb\nc\nd\n  e"]
+    old, new = "top\nthe first line\nthe second line", "the f1rst line\nthe second l1ne\nend"
+    assert X.merge(old, new) == f"{old}\n{new}"
+    assert X.merge(old, new, 0.9) == f"{old}\nend"
+    assert X.same_line("kitten", " sitting", 0.57) and not X.same_line("kitten", "sitting", 0.58)
+
+
 def test_prices(spark):
     from tideline.plans import lifecycle as P
 

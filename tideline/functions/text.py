@@ -92,22 +92,43 @@ def lines(text: str) -> list[str]:
     return parts[:-1] if parts[-1] == "" else parts
 
 
-def _parts(old: list[str], new: list[str]) -> tuple[int, int]:
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def same_line(a: str, b: str, least: float = 1.0) -> bool:
+    """Whether two lines are the same but for blanks around them, or have a line similarity of `least`."""
+    a, b = a.strip(), b.strip()
+    if a == b or least >= 1:
+        return a == b
+    longest = max(len(a), len(b))
+    return 1 - abs(len(a) - len(b)) / longest >= least and 1 - _distance(a, b) / longest >= least
+
+
+def _parts(old: list[str], new: list[str], like: float = 1.0) -> tuple[int, int]:
     """How many lines at the top and at the bottom are the same in both."""
     least = min(len(old), len(new))
-    top = next((i for i in range(least) if old[i] != new[i]), least)
-    end = next((i for i in range(least - top) if old[-1 - i] != new[-1 - i]), least - top)
+    top = next((i for i in range(least) if not same_line(old[i], new[i], like)), least)
+    end = next((i for i in range(least - top) if not same_line(old[-1 - i], new[-1 - i], like)), least - top)
     return top, end
 
 
-def _common_run(old: list[str], new: list[str]) -> tuple[int, int]:
+def _common_run(old: list[str], new: list[str], like: float = 1.0) -> tuple[int, int]:
     """Where in new the longest run of lines begins that old has too, and its length; of equal runs the first in old."""
     at: dict[str, list[int]] = {}
     for j, y in enumerate(new):
-        at.setdefault(y, []).append(j)
+        at.setdefault(y.strip(), []).append(j)
+    found: dict[str, list[int]] = {}
     best, start, before = 0, 0, {}
-    for x in old:
-        here = {j: before.get(j - 1, 0) + 1 for j in at.get(x, ())}
+    for x in (x.strip() for x in old):
+        if x not in found:
+            found[x] = at.get(x, []) if like >= 1 else sorted(j for y, js in at.items() if same_line(x, y, like) for j in js)
+        here = {j: before.get(j - 1, 0) + 1 for j in found[x]}
         for j, n in here.items():
             if n > best:
                 best, start = n, j + 1 - n
@@ -115,51 +136,54 @@ def _common_run(old: list[str], new: list[str]) -> tuple[int, int]:
     return start, best
 
 
-def coverage(block: str, reading: str) -> float:
+def coverage(block: str, reading: str, like: float = 1.0) -> float:
     """How much of a reading a block holds already."""
     old, new = lines(block), lines(reading)
     if not new:
         return 0.0
-    top, end = _parts(old, new)
+    top, end = _parts(old, new, like)
     if top + end == len(new) or (old and top + end == len(old)):
         return 1.0
     same = (top + end) / len(new)
     if same >= STABLE:
         return same
-    return _common_run(old[top : len(old) - end], new[top : len(new) - end])[1] / (len(new) - top - end)
+    return _common_run(old[top : len(old) - end], new[top : len(new) - end], like)[1] / (len(new) - top - end)
 
 
-def merge(block: str, reading: str) -> str:
+def merge(block: str, reading: str, like: float = 1.0) -> str:
     """The block with what a reading adds, above the lines that stay at the bottom."""
     old, new = lines(block), lines(reading)
-    top, end = _parts(old, new)
+    top, end = _parts(old, new, like)
     added = new[top : len(new) - end]
     if not added:
         return block
-    start, n = _common_run(old[top : len(old) - end], added)
+    start, n = _common_run(old[top : len(old) - end], added, like)
     return "\n".join([*old[: len(old) - end], *added[:start], *added[start + n :], *old[len(old) - end :]])
 
 
-def absorb(blocks: list[str], reading: str) -> int:
+def absorb(blocks: list[str], reading: str, like: float = 1.0) -> int:
     """Adds a reading to the latest blocks' best match, of equal ones the last, or as a block; says which."""
     if reading.strip():
         first = max(0, len(blocks) - HISTORY)
-        scores = [(coverage(b, reading), i) for i, b in enumerate(blocks[first:], first)]
+        scores = [(coverage(b, reading, like), i) for i, b in enumerate(blocks[first:], first)]
         if scores and max(scores)[0] >= SAME_BLOCK:
             best = max(scores)[1]
-            blocks[best] = merge(blocks[best], reading)
+            blocks[best] = merge(blocks[best], reading, like)
             return best
     blocks.append(reading)
     return len(blocks) - 1
 
 
-def blocks_of(readings: DataFrame) -> DataFrame:
-    """(stream_id, block, text): the readings (stream_id, seq, text) of each stream folded in order."""
+def blocks_of(readings: DataFrame, like: float = 1.0) -> DataFrame:
+    """(stream_id, block, text): the readings (stream_id, seq, text) of each stream folded in order. like: the line
+    similarity from which lines are the same, 1 for equal ones; blanks around lines never count."""
+    if not 0 < like <= 1:
+        raise ValueError(f"like must be in (0, 1], got {like}")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         blocks: list[str] = []
         for t in pdf.sort_values("seq")["text"]:
-            absorb(blocks, t or "")
+            absorb(blocks, t or "", like)
         return pd.DataFrame({"stream_id": pdf["stream_id"].iloc[0], "block": range(len(blocks)), "text": blocks})
 
     return readings.groupBy("stream_id").applyInPandas(fold, "stream_id long, block long, text string")
