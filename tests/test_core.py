@@ -88,6 +88,30 @@ def test_windows(spark):
     assert L.segment_windows(back, 600 * SEC, 0).first().e == 1000 * SEC
 
 
+def test_windows_with_controls(spark):
+    s = spark.createDataFrame([(1, d, i, at * SEC) for d in (1, 2) for i, at in enumerate((0, 10, 30, 50, 70, 90, 110))], "session_id long, display_id long, id long, at long")
+    c = [(20, "pause", "Idle", None), (25, "pause", "UserOff", None), (40, "resume_if_automatic", None, None), (60, "resume", None, None), (80, "interval", None, 600 * SEC), (85, "interval", None, 600 * SEC)]
+    c = [(1, None, i, at * SEC, *x) for i, (at, *x) in enumerate(c)] + [(1, 2, 9, 100 * SEC, "remove", None, None), (1, None, 10, 120 * SEC, "stop", None, None)]
+    c = spark.createDataFrame(c, "session_id long, display_id long, id long, at long, kind string, cause string, interval long")
+    got = [(r.display_id, r.sequence, r.s // SEC, r.e // SEC, r.sample_count, r.reason) for r in L.segment_windows(s, 900 * SEC, controls=c).orderBy("display_id", "sequence").collect()]
+    first = [(0, 0, 20, 2, "Paused"), (1, 70, 80, 1, "IntervalChanged")]
+    assert got == [(1, *x) for x in [*first, (2, 90, 120, 2, "Stopped")]] + [(2, *x) for x in [*first, (2, 90, 100, 1, "DisplayRemoved"), (3, 110, 120, 1, "Stopped")]]
+
+
+def test_pause_causes():
+    for first, then, resumed in (("Idle", "Locked", True), ("Idle", "SourceEnded", False), ("UserOff", "Idle", False), ("SourceOccluded", None, True)):
+        w = L.OpenWindow(900)
+        w.control(0, "pause", first)
+        if then:
+            w.control(1, "pause", then)
+        w.control(2, "resume_if_automatic")
+        assert (w.paused is None) == resumed
+    w = L.OpenWindow(900)
+    w.control(0, "pause", "UserOff")
+    w.control(1, "pause", "SourceEnded")
+    assert w.paused == "UserOff"
+
+
 def test_windows_stream_like_batch(spark, tmp_path):
     from tideline.sources import adapters as A
     from tideline.streaming.segments import segment_windows

@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 
 WINDOWS = "session_id long, display_id long, sequence long, s long, e long, sample_count long, last_sample long, reason string"
 
+#: Control events and the reason with which they close a window. A pause of any cause but these is automatic.
+CONTROLS = {"pause": "Paused", "resume": None, "resume_if_automatic": None, "interval": "IntervalChanged", "remove": "DisplayRemoved", "stop": "Stopped"}
+DELIBERATE = ("UserOff", "SourceEnded")
+
 
 class OpenWindow:
     """The open window of one display. It opens on its first sample, not on a clock boundary; a sample that comes
-    `interval` after the start closes it and counts in the next. A clock that runs backwards never closes one."""
+    `interval` after the start closes it and counts in the next. A clock that runs backwards never closes one.
+    While paused no sample counts; after it the next sample opens a window."""
 
-    def __init__(self, interval: int, start: int | None = None, count: int = 0, last: int | None = None, sequence: int = 0):
-        self.interval, self.start, self.count, self.last, self.sequence = interval, start, count, last, sequence
+    def __init__(self, interval: int, start: int | None = None, count: int = 0, last: int | None = None, sequence: int = 0, paused: str | None = None):
+        self.interval, self.start, self.count, self.last, self.sequence, self.paused = interval, start, count, last, sequence, paused
 
     def sample(self, at: int) -> tuple | None:
+        if self.paused is not None:
+            return None
         closed = None
         if self.start is None:
             self.start, self.count = at, 0
@@ -26,6 +33,22 @@ class OpenWindow:
         self.count, self.last = self.count + 1, at
         return closed
 
+    def control(self, at: int, kind: str, cause: str | None = None, interval: int | None = None) -> tuple | None:
+        """A control event; the window that it closes, if any."""
+        reason = CONTROLS[kind]
+        if kind == "pause":
+            if self.paused is not None:
+                self.paused = cause if cause in DELIBERATE and self.paused not in DELIBERATE else self.paused
+                return None
+            self.paused = cause
+        elif kind == "interval":
+            if interval == self.interval:
+                return None
+            self.interval = interval
+        elif kind in ("resume", "stop") or kind == "resume_if_automatic" and self.paused not in DELIBERATE:
+            self.paused = None
+        return self.close(at, reason) if reason and self.start is not None else None
+
     def close(self, at: int, reason: str) -> tuple:
         """(sequence, s, e, sample_count, last_sample, reason); an end before the start is the start."""
         row = (self.sequence, self.start, max(at, self.start), self.count, self.last if self.count else None, reason)
@@ -33,14 +56,28 @@ class OpenWindow:
         return row
 
 
-def segment_windows(samples: DataFrame, interval: int, stop_at: int | None = None) -> DataFrame:
+def with_controls(samples: DataFrame, controls: DataFrame) -> DataFrame:
+    """The samples and each display's control events, told by kind."""
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("cause", "string"), ("interval", "long"))]
+    own = samples.select("session_id", "display_id", "id", "at", *none)
+    shown = samples.select("session_id", "display_id").distinct()
+    c = controls.withColumnRenamed("display_id", "only").join(shown, "session_id").where("only is null or only = display_id")
+    return own.unionByName(c.select("session_id", "display_id", "id", "at", "kind", "cause", F.col("interval").cast("long").alias("interval")))
+
+
+def segment_windows(samples: DataFrame, interval: int, stop_at: int | None = None, controls: DataFrame | None = None) -> DataFrame:
     """The closed windows of every session's displays, in the order of their samples; at stop_at the open ones close
-    as Stopped. samples: (session_id, display_id, id, at), times in microseconds."""
+    as Stopped. samples: (session_id, display_id, id, at), times in microseconds. controls: (session_id, display_id, id,
+    at, kind, cause, interval), kinds as in CONTROLS, display_id null for all displays; at equal times samples come first."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"])
         w = OpenWindow(interval)
-        rows = [r for at in pdf["at"].tolist() if (r := w.sample(at))]
+        if "kind" in pdf:
+            pdf = pdf.assign(late=pdf["kind"].notna()).sort_values(["at", "late", "id"])
+            events = zip(pdf["at"].tolist(), pdf["kind"].tolist(), pdf["cause"].tolist(), pdf["interval"].tolist(), strict=True)
+            rows = [r for at, k, c, i in events if (r := w.control(at, k, c, int(i) if pd.notna(i) else None) if isinstance(k, str) else w.sample(at))]
+        else:
+            rows = [r for at in pdf.sort_values(["at", "id"])["at"].tolist() if (r := w.sample(at))]
         if stop_at is not None and w.start is not None:
             rows.append(w.close(stop_at, "Stopped"))
         out = pd.DataFrame(rows, columns=["sequence", "s", "e", "sample_count", "last_sample", "reason"])
@@ -48,7 +85,8 @@ def segment_windows(samples: DataFrame, interval: int, stop_at: int | None = Non
         out.insert(1, "display_id", pdf["display_id"].iloc[0])
         return out
 
-    return samples.groupBy("session_id", "display_id").applyInPandas(fold, WINDOWS)
+    events = samples if controls is None else with_controls(samples, controls)
+    return events.groupBy("session_id", "display_id").applyInPandas(fold, WINDOWS)
 
 
 def idle_transitions(polls: DataFrame, threshold: int, dwell: int) -> DataFrame:
