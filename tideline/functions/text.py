@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.folds import ordered_fold
+
 #: Control characters, line separators and the marks that change direction.
 CONTROLS = r"[\p{Cc}  ‪-‮⁦-⁩]"
+#: The categories of an activity.
 CATEGORIES = ("coding", "docs", "comms", "browsing", "meeting", "idle", "other")
 
 #: Words of a request that say nothing about its target.
@@ -41,7 +46,7 @@ def category_from(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
+    return F.array_remove(F.split(text, r"(?U)\s+"), "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -65,7 +70,7 @@ def content_words(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Values of key= and tokens that begin as API keys do."""
-    return F.regexp_replace(F.regexp_replace(text, r"key=[^&\s\"]+", "key=<redacted>"), r"AIza[0-9A-Za-z_-]+", "<redacted>")
+    return F.regexp_replace(F.regexp_replace(text, r"key=[0-9A-Za-z_-]*", "key=<redacted>"), r"AIza[0-9A-Za-z_-]*", "<redacted>")
 
 
 def is_uuid4(text: Column) -> Column:
@@ -84,6 +89,8 @@ def line_similarity(a: Column, b: Column) -> Column:
 
 # -- readings of a screen that scrolls --------------------------------------------------------------------------------
 
+#: Blocks that a reading is compared with, the coverage from which it joins one, and the share of the frame
+#: from which only the frame counts.
 HISTORY, SAME_BLOCK, STABLE = 5, 0.65, 0.9
 
 
@@ -110,68 +117,98 @@ def same_line(a: str, b: str, least: float = 1.0) -> bool:
     return 1 - abs(len(a) - len(b)) / longest >= least and 1 - _distance(a, b) / longest >= least
 
 
-def _parts(old: list[str], new: list[str], like: float = 1.0) -> tuple[int, int]:
-    """How many lines at the top and at the bottom are the same in both."""
-    least = min(len(old), len(new))
-    top = next((i for i in range(least) if not same_line(old[i], new[i], like)), least)
-    end = next((i for i in range(least - top) if not same_line(old[-1 - i], new[-1 - i], like)), least - top)
-    return top, end
-
-
-def _common_run(old: list[str], new: list[str], like: float = 1.0) -> tuple[int, int]:
-    """Where in new the longest run of lines begins that old has too, and its length; of equal runs the first in old."""
-    at: dict[str, list[int]] = {}
-    for j, y in enumerate(new):
-        at.setdefault(y.strip(), []).append(j)
-    found: dict[str, list[int]] = {}
-    best, start, before = 0, 0, {}
-    for x in (x.strip() for x in old):
-        if x not in found:
-            found[x] = at.get(x, []) if like >= 1 else sorted(j for y, js in at.items() if same_line(x, y, like) for j in js)
-        here = {j: before.get(j - 1, 0) + 1 for j in found[x]}
-        for j, n in here.items():
-            if n > best:
-                best, start = n, j + 1 - n
-        before = here
-    return start, best
+@dataclass(frozen=True)
+class Overlap:
+    """How a reading lies over a block: the lines of both; how many are the same at the top and at the bottom, the frame
+    that stays while the middle scrolls; and the longest run of lines between that both have, where it begins in the
+    reading's middle, and its length (of equal runs the first in the block)."""
+
+    old: list[str]
+    new: list[str]
+    top: int
+    end: int
+    start: int
+    run: int
+
+    @property
+    def added(self) -> list[str]:
+        """The reading's lines between top and bottom."""
+        return self.new[self.top : len(self.new) - self.end]
+
+    @property
+    def coverage(self) -> float:
+        """How much of the reading the block holds already."""
+        frame, n = self.top + self.end, len(self.new)
+        if n == 0:
+            return 0.0
+        whole = frame == n or 0 < len(self.old) == frame
+        return 1.0 if whole else frame / n if frame / n >= STABLE else self.run / (n - frame)
+
+    def merged(self) -> list[str]:
+        """The block with what the reading adds to it, above the lines that stay at the bottom."""
+        cut = len(self.old) - self.end
+        return self.old[:cut] + self.added[: self.start] + self.added[self.start + self.run :] + self.old[cut:]
+
+
+def overlap(block: str, reading: str, like: float = 1.0) -> Overlap:
+    old, new = lines(block), lines(reading)
+    number: dict[str, int] = {}
+    ids = [np.array([number.setdefault(x.strip(), len(number)) for x in side], np.int64) for side in (old, new)]
+    same = ids[0][:, None] == ids[1][None, :]
+    if like < 1:
+        kinds = list(number)
+        near = np.array([[same_line(x, y, like) for y in kinds] for x in kinds], bool).reshape(len(kinds), len(kinds))
+        same = near[ids[0][:, None], ids[1][None, :]]
+    m = min(len(old), len(new))
+    steps = np.arange(m)
+    leading = lambda flags: len(flags) if flags.all() else int(flags.argmin())
+    top = leading(same[steps, steps])
+    end = leading(same[len(old) - 1 - steps, len(new) - 1 - steps][: m - top])
+    middle = same[top : len(old) - end, top : len(new) - end]
+    length, best, start = np.zeros(middle.shape[1] + 1, np.int64), 0, 0  # of the runs that end at a line of the block and each of the reading
+    for row in middle:
+        length[1:] = np.where(row, length[:-1] + 1, 0)
+        if (n := int(length.max())) > best:
+            best, start = n, int(length.argmax()) - n
+    return Overlap(old, new, top, end, start, best)
 
 
 def coverage(block: str, reading: str, like: float = 1.0) -> float:
-    """How much of a reading a block holds already."""
-    old, new = lines(block), lines(reading)
-    if not new:
-        return 0.0
-    top, end = _parts(old, new, like)
-    if top + end == len(new) or (old and top + end == len(old)):
-        return 1.0
-    same = (top + end) / len(new)
-    if same >= STABLE:
-        return same
-    return _common_run(old[top : len(old) - end], new[top : len(new) - end], like)[1] / (len(new) - top - end)
+    return overlap(block, reading, like).coverage
 
 
 def merge(block: str, reading: str, like: float = 1.0) -> str:
-    """The block with what a reading adds, above the lines that stay at the bottom."""
-    old, new = lines(block), lines(reading)
-    top, end = _parts(old, new, like)
-    added = new[top : len(new) - end]
-    if not added:
-        return block
-    start, n = _common_run(old[top : len(old) - end], added, like)
-    return "\n".join([*old[: len(old) - end], *added[:start], *added[start + n :], *old[len(old) - end :]])
+    o = overlap(block, reading, like)
+    return "\n".join(o.merged()) if o.added else block
 
 
 def absorb(blocks: list[str], reading: str, like: float = 1.0) -> int:
     """Adds a reading to the latest blocks' best match, of equal ones the last, or as a block; says which."""
-    if reading.strip():
-        first = max(0, len(blocks) - HISTORY)
-        scores = [(coverage(b, reading, like), i) for i, b in enumerate(blocks[first:], first)]
-        if scores and max(scores)[0] >= SAME_BLOCK:
-            best = max(scores)[1]
-            blocks[best] = merge(blocks[best], reading, like)
-            return best
-    blocks.append(reading)
-    return len(blocks) - 1
+    place = {i: overlap(blocks[i], reading, like) for i in range(max(0, len(blocks) - HISTORY), len(blocks))} if reading.strip() else {}
+    best = max(place, key=lambda i: (place[i].coverage, i), default=None)
+    if best is None or place[best].coverage < SAME_BLOCK:
+        blocks.append(reading)
+        return len(blocks) - 1
+    if place[best].added:
+        blocks[best] = "\n".join(place[best].merged())
+    return best
+
+
+class _Blocks:
+    """A stream's blocks; one that no further reading can join is given out."""
+
+    def __init__(self, like: float):
+        self.like, self.blocks, self.gone = like, [], 0
+
+    def step(self, seq, text):
+        absorb(self.blocks, text or "", self.like)
+        more = len(self.blocks) - HISTORY
+        out = [(self.gone + i, b) for i, b in enumerate(self.blocks[: max(more, 0)])]
+        self.gone, self.blocks = self.gone + len(out), self.blocks[len(out) :]
+        return out
+
+    def end(self):
+        return [(self.gone + i, b) for i, b in enumerate(self.blocks)]
 
 
 def blocks_of(readings: DataFrame, like: float = 1.0) -> DataFrame:
@@ -179,26 +216,24 @@ def blocks_of(readings: DataFrame, like: float = 1.0) -> DataFrame:
     similarity from which lines are the same, 1 for equal ones; blanks around lines never count."""
     if not 0 < like <= 1:
         raise ValueError(f"like must be in (0, 1], got {like}")
+    return ordered_fold(readings.select("stream_id", "seq", "text"), ["stream_id"], ["seq"], lambda: _Blocks(like), "stream_id long, block long, text string")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks: list[str] = []
-        for t in pdf.sort_values("seq")["text"]:
-            absorb(blocks, t or "", like)
-        return pd.DataFrame({"stream_id": pdf["stream_id"].iloc[0], "block": range(len(blocks)), "text": blocks})
 
-    return readings.groupBy("stream_id").applyInPandas(fold, "stream_id long, block long, text string")
+class _Repeats:
+    def __init__(self, limit: float):
+        self.limit, self.last = limit, None
 
+    def step(self, seq, text):
+        words = set((text or "").split())
+        if not words or self.last is not None and len(words & self.last) / len(words | self.last) > self.limit:
+            return []
+        self.last = words
+        return [(seq,)]
 
-def drop_repeats(readings: DataFrame, limit: float = 0.85) -> DataFrame:
-    """(stream_id, seq) of the readings to keep: blank ones go, and those whose tokens are too like the last kept one's."""
+    def end(self):
+        return []
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, kept = None, []
-        for seq, t in pdf.sort_values("seq")[["seq", "text"]].itertuples(index=False):
-            words = set((t or "").split())
-            if words and (last is None or len(words & last) / len(words | last) <= limit):
-                last = words
-                kept.append(seq)
-        return pd.DataFrame({"stream_id": pdf["stream_id"].iloc[0], "seq": kept})
 
-    return readings.groupBy("stream_id").applyInPandas(fold, "stream_id long, seq long")
+def drop_repeats(readings: DataFrame, limit: float = 0.85) -> DataFrame:
+    """(stream_id, seq) of the readings to keep: blank ones go, and those whose tokens are too like the last kept one's."""
+    return ordered_fold(readings.select("stream_id", "seq", "text"), ["stream_id"], ["seq"], lambda: _Repeats(limit), "stream_id long, seq long")
