@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import io
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -152,8 +153,17 @@ def test_warc_damage():
         assert sorted(found) in ([0, 1, 3, 4], [0, 1, 2, 3, 4][:2] + [3, 4])
 
 
+def brute_ngrams(text):
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", text or "") if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_shingles(line):
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))}
+
+
 def brute_classes(rows):
-    sets = [set(ngram_join.ngrams(t).tolist()) for _, t in rows]
+    sets = [brute_ngrams(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(i):
@@ -261,6 +271,16 @@ def test_top_k(spark):
         q, qi = v[rng.integers(0, n, m)], rng.integers(0, 2 * n, m)
         want = [(i, ids[j], s[j]) for x, i in zip(q, qi, strict=True) for s in [v @ x] for j in [j for j in np.lexsort((ids, -s)) if ids[j] != i][:k]]
         assert list(zip(*topk.threshold_top(v, ids, q, qi, k), strict=True)) == want
+    few = rng.integers(-(1 << 21), 1 << 21, (40, 4))[rng.integers(0, 40, 8000)]  # many ties of large scores
+    for big in (1, 1 << 6, 1 << 8):
+        v, ids, q = few * big, rng.permutation(8000), few[:20] * big
+        got = list(zip(*topk.threshold_top(v, ids, q, np.full(20, -1), 20), strict=True))
+        assert got == [(-1, ids[j], s[j]) for x in q for s in [v @ x] for j in np.lexsort((ids, -s))[:20]]
+        least = np.array([np.sort(v @ x)[-20] for x in q])
+        assert list(zip(*topk.threshold_top(v, ids, q, np.full(20, -1), 20, least), strict=True)) == got
+        assert not len(topk.threshold_top(v, ids, q, np.full(20, -1), 20, least * 0 + (1 << 62))[0])
+    with pytest.raises(ValueError):
+        topk.threshold_top(few << 12, ids, few << 12, ids, 20)
     rows = [(0, [0.5, -0.25]), (20, [0.1, 0.1]), (1, [0.5, -0.25]), (1, [0.5, -0.25]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0]), (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (7, [])]
     t = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("dim", F.lit(1)).withColumn("v", F.lit(2))
     got = [tuple(r) for r in topk.top_k(topk.quantised(t), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
@@ -268,6 +288,22 @@ def test_top_k(spark):
     assert topk.top_k(topk.quantised(t.limit(0)), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "VALUES", 400)
+    rng = np.random.default_rng(3)
+    v = rng.integers(-9, 9, (300, 6)) / 4
+    t = spark.createDataFrame([(i if i % 50 else 0, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = Counter(tuple(r) for r in topk.top_k(topk.quantised(t), F.col("vec_id") % 20 == 0, 5).collect())
+    w = np.floor(64 * v).astype(int)
+    ids = np.array([i if i % 50 else 0 for i in range(300)])
+    want = Counter()
+    for i in sorted({x for x in ids if x % 20 == 0}):
+        x = np.array(min(w[ids == i].tolist()))
+        for rank, j in enumerate([j for j in np.lexsort((ids, -(w @ x))) if ids[j] != i][:5], 1):
+            want[i, rank, ids[j], (w @ x)[j]] += 1
+    assert got == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header class="top">Site</header><div id="menu"><a href=1>x</a></div>
 <div class="wrap"><div class="sidebar">side text that is rather long</div><div class="content post-12"><h1>Title &amp; x</h1><p>Para one<br>two <b>bo</b>ld, a &lt;tag&gt; 3 < 4.</p><div class="ad">BUY</div>
 <p>Second&nbsp;para.<ul><li>one<li>two</ul><form><p>Name<input></form><pre>a
@@ -326,7 +362,7 @@ def brute_lines(rows):
     for key, i, x in sorted(spots, key=lambda s: s[:2]):
         first.setdefault(x, (key, i))
     texts = list(first)
-    sets = [set(line_dedup.line_shingles(x).tolist()) for x in texts]
+    sets = [brute_shingles(x) for x in texts]
     keep = {x: first[x] for x in texts}
     for _ in texts:
         changed = False
@@ -414,3 +450,21 @@ def test_pipeline(spark):
             assert {r.doc_id for r in new.select("doc_id").collect()} == want
         kept = new
     assert kept.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(kept.columns)
+
+
+def test_read_backs_are_spread(spark):
+    from pyspark.sql.functions import spark_partition_id
+
+    rows = [(None if i % 2 else 7, text_of(i, 40), "en", "a", 1) for i in range(600)] + [(7, "same text", "en", "a", 1)] * 600
+    docs = spark.createDataFrame(rows, DOCS).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    try:
+        manifest = bitplanes.write(docs, scratch_path(spark, "bp"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.where("n_docs < 900").count() > 1  # neither the doc_id of 900 rows nor its 600 equal ones make one file
+    got = bitplanes.read(manifest, split_ids=4000)
+    assert got.count() == len(rows) and got.select(spark_partition_id().alias("p")).distinct().count() > 3
+    pages = docs.select(F.monotonically_increasing_id().alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    records = warc.read(warc.write(pages, scratch_path(spark, "warc")), 20_000)
+    assert records.count() == len(rows) and records.select(spark_partition_id().alias("p")).distinct().count() > 3

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, and the white space between words: space and the characters 9 to 13.
@@ -15,23 +16,47 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 #: Largest side that is broadcast, in bytes as measured; larger sides are joined by a salted shuffle.
 BROADCAST_BYTES = 32 << 20
-SALTS = 16
+#: Rows of one key that a task takes in a join; keys with more are salted.
+HOT_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one in the warehouse."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tideline-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
         sc.setCheckpointDir(folder)
     return folder if "://" in folder else "file://" + folder if folder.startswith("/") else folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tideline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tideline/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+#: Folders that scratch tables were written to and are still there, oldest first.
+_written: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch tables and files that were written within, at its end; results must have been written by then.
+    Operators return DataFrames that still read theirs, so it is the caller who knows when they can go."""
+    before = set(_written)
+    yield
+    for path in [p for p in _written if p not in before]:
+        _delete(spark, path)
 
 
 class Scratch:
@@ -49,12 +74,10 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
             _, path = self.paths.pop(id(t), (None, None))
             if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                _delete(self.spark, path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -74,28 +97,23 @@ def words_of(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, GAP))
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, spread: Column, more: int = 0) -> DataFrame:
-    """Left join to a table with one row per key: a broadcast if its measured size is in bounds, else a shuffle,
-    salted where the key is hot.
+def lookup_join(big: DataFrame, small: DataFrame, key: str, spread: Column | None, more: int = 0, counts: DataFrame | None = None) -> DataFrame:
+    """Left join to a table with one row per key: a broadcast if its measured size is in bounds, else a shuffle, where
+    keys with more than `HOT_ROWS` rows of big are dealt over as many salts as their counts call for.
 
-    spread: any expression that varies over the rows of a hot key, or the key itself where none is hot. more: bytes of
-    arrays in small."""
+    spread: any expression that varies over the rows of a hot key, or None where no key is hot (or only by repeated rows,
+    which Spark's own splitting of skewed joins covers). more: bytes of arrays in small. counts: (key, n), the rows of
+    big with each key, if known."""
     size = small.select(F.sum(F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)) + F.lit(16 * len(small.columns)))).first()[0] or 0
     if size + more <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), key, "left")
-    if str(spread) == str(F.col(key)):
+    if spread is None:
         return big.join(small, key, "left")
-    (salt,) = fresh(big, "__salt")
-    salted = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, salt], "left").drop(salt)
-
-
-def with_offsets(df: DataFrame, part: str, order: list[Column], amount: Column, out: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Adds the running total of amount over all rows before, across partitions that a range sort has laid out.
-
-    df: a written table whose column part numbers its ranges in order. Only one row per range is summed in one place."""
-    totals = df.groupBy(part).agg(F.sum(amount).alias("__n"))
-    base = totals.select(part, (F.sum("__n").over(Window.orderBy(part)) - F.col("__n")).alias("__base"))
-    base = scratch.table(base, "offsets")
-    own = F.sum(amount).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - amount
-    return df.withColumn(out, own).join(F.broadcast(base) if base.count() <= 100_000 else base, part).withColumn(out, F.col(out) + F.col("__base")).drop("__base"), base
+    salt, salts = fresh(big, "__salt", "__salts")
+    n = big.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = Scratch(big.sparkSession).table(n.where(F.col("n") > HOT_ROWS).select(key, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias(salts)), "hot_keys")
+    if not 0 < hot.count() * 100 <= BROADCAST_BYTES:
+        return big.join(small, key, "left")
+    split = small.join(F.broadcast(hot), key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1))).drop(salts)
+    dealt = big.join(F.broadcast(hot), key, "left").withColumn(salt, F.pmod(F.xxhash64(spread), F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)
+    return dealt.join(split, [key, salt], "left").drop(salt)

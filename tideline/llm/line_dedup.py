@@ -3,9 +3,9 @@
 Lines are split at \\n and stripped of white space; blank lines are left alone. Equal lines are collapsed by a
 128-bit hash. A line's set is its character shingles of `SHINGLE` characters (a shorter line has one, itself). One
 hash of each shingle falls into one of `BINS` bins, the least of each bin makes the signature, and empty bins borrow
-from their neighbours; bands of few rows give high recall. Large components of candidates are banded again with
-more rows. Candidates are verified on the full shingle sets: lines with a Jaccard similarity of 0.8 or more are linked, and of each component of links only the first line stays, by
-doc_id, then text hash, then place.
+from their neighbours; bands of few rows give high recall. Lines that share a band are verified on their full shingle
+sets: those with a Jaccard similarity of 0.8 or more are linked, and of each component of links only the first line
+stays, by doc_id, then text hash, then place.
 
 Defined cases: null text has no lines; rows that repeat doc_id and text stand or fall together; documents may lose all
 their lines; an empty table gives an empty result; `dedup` keeps further columns."""
@@ -27,13 +27,9 @@ from .ngram_join import row_key
 SHINGLE = 8
 BINS = 64
 RECALL = 0.998
-#: Lines of a block, about; they are shorter than documents.
-BLOCK = 2048
-#: Components of more lines are banded again.
-ABOVE = 256
 BANDS, ROWS = neardup.banding(neardup.NUM / neardup.DEN, RECALL, BINS)
-#: Bands and rows for large components, about 8 and 12 rows at a higher recall.
-FINER = tuple(neardup.banding(neardup.NUM / neardup.DEN, 0.9995, most) for most in (350, 1300))
+#: Characters whose shingles are hashed at once; arrays of this size stay in the processor's cache.
+TOGETHER = 200_000
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, 2**i, 2**64)) for i in range(3)]
 _EMPTY = np.uint64(np.iinfo(np.uint64).max)
 
@@ -58,13 +54,9 @@ def line_shingles(text: str) -> np.ndarray:
     return np.unique(_shingle_hashes([text])[0])
 
 
-def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+def sets_of(lines: list[str]) -> neardup.Sets:
     h, line, _ = _shingle_hashes(lines)
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    return np.split(h[new], np.cumsum(np.bincount(line[new], minlength=len(lines)))[:-1])
+    return neardup.coded(h, line, len(lines))
 
 
 def _signatures(lines: list[str]) -> np.ndarray:
@@ -92,7 +84,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, x in lines_of(text):
                 held.append((row, i, x))
                 chars += len(x)
-                if chars > 1_000_000:
+                if chars > TOGETHER:
                     yield _rows(batch, held)
                     held, chars = [], 0
         if held:
@@ -108,15 +100,15 @@ def _rows(batch: pa.RecordBatch, held: list[tuple[int, int, str]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(places, pa.int32()), ids, bands], ["doc_id", "th", "line", "id", "bands"])
 
 
-def _load(docs: DataFrame):
+def _load(docs: DataFrame, scratch: Scratch):
     """Brings candidate lines; a document's text is fetched once for all of its candidates."""
 
-    def load(items: DataFrame) -> DataFrame:
-        wanted = F.collect_list(F.struct("k", "comp", "blocks", "weight", "line"))
-        by_doc = Scratch(items.sparkSession).table(items.groupBy("key").agg(wanted.alias("wanted")), "wanted_lines")
-        both = lookup_join(docs, by_doc, "key", F.col("key"), 40 * items.count()).where("wanted is not null")
+    def load(items: DataFrame, arrays: int) -> DataFrame:
+        wanted = F.collect_list(F.struct("k", "bands", "weight", "line"))
+        by_doc = scratch.table(items.groupBy("key").agg(wanted.alias("wanted")), "wanted_lines")
+        both = lookup_join(docs, by_doc, "key", None, arrays + 40 * items.count()).where("wanted is not null")
         lines = both.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-        return lines.select("w.k", "w.comp", "w.blocks", "w.weight", F.btrim(F.get("lines", F.col("w.line")), F.lit(BLANKS)).alias("text"))
+        return lines.select("w.k", "w.bands", "w.weight", F.btrim(F.get("lines", F.col("w.line")), F.lit(BLANKS)).alias("text"))
 
     return load
 
@@ -130,7 +122,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     first = seen.groupBy("id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"))
     items = scratch.table(first.select(F.monotonically_increasing_id().alias("k"), "id", "place", row_key(F.col("place.doc_id"), F.col("place.th")).alias("key"), "place.line", "weight", "bands"), "line_items")
     texts = d.select(row_key(F.col("doc_id"), F.col("th")).alias("key"), "text")
-    linked = neardup.similar(items.select("k", "key", "line", "weight", "bands"), _load(texts), shingle_sets, scratch, BLOCK, FINER, ABOVE).select("k", "root")
+    linked = neardup.similar(items.select("k", "key", "line", "weight", "bands"), _load(texts, scratch), sets_of, scratch).select("k", "root")
     own = items.select("id", "k", "place", "weight").join(linked, "k", "left").where("root is not null or weight > 1").withColumn("grp", F.coalesce("root", "k"))
     keeper = own.groupBy("grp").agg(F.min("place").alias("keeper"))
     own = scratch.table(own.join(keeper, "grp").select("id", "keeper"), "keepers")
@@ -149,7 +141,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: b
     gone = repeats(docs, doc_id, text).select(F.col("key").alias(key), F.col("drop").alias(drop))
     body = docs.withColumn(key, row_key(F.col(doc_id), F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
     lists = gone.agg(F.coalesce(F.sum(F.size(drop)), F.lit(0))).first()[0]
-    body = lookup_join(body, gone, key, F.col(key), 4 * lists)
+    body = lookup_join(body, gone, key, None, 4 * lists)
     lines = F.split(F.col(text), "\n")
     left = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(drop)))
     new = F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(all_lines), i)), "\n"))

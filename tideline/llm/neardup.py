@@ -1,12 +1,11 @@
-"""MinHash banding, exact verification in blocks and distributed union-find, for documents and for lines.
+"""MinHash banding, exact verification within bands and distributed union-find, for documents and for lines.
 
-Items are distinct sets (equal ones are collapsed before). An item's band keys are range-sorted, so that a bucket is a
-run of rows and a hot one spreads over ranges; the first item of a run leads it, every other gets one edge to it, and
-the few runs that cross ranges are joined after, so the edges are linear in the bands. The
-components of these edges hold all pairs that share a band. Each component is cut into blocks by hash; every pair
-of blocks is one group, in which all pairs are verified on the full sets. A group returns one row per linked item:
-how many items it links to there, and its root in a union-find over the group's links. The roots are joined by a
-second distributed union-find. No pair is ever a row, and no component meets in one task."""
+Items are distinct sets (equal ones are collapsed before). An item's band keys are range-sorted, so that a band shared by
+many spreads over ranges; bands that exactly the same items share are one, the first. The items of a band are verified
+on their full sets, in groups of pairs of blocks where the band is large. A pair that shares several bands is verified
+in the first of them, so that each link is found once, and every pair that shares a band is verified, whatever else hangs
+on its items. A group returns one row per linked item: how many items it links to there, and its root in a union-find
+over the group's links. The roots are joined by a distributed union-find. No pair is ever a row."""
 
 from __future__ import annotations
 
@@ -22,10 +21,25 @@ from .common import Scratch, lookup_join
 
 #: A similarity of 0.8 or more links, as a fraction so that it is exact.
 NUM, DEN = 4, 5
-#: Items of a block, about.
-BLOCK = 512
-#: Groups of so many items or fewer are verified without arrays.
+#: Items and bytes of text of a block, about.
+BLOCK_ITEMS = 2048
+BLOCK_BYTES = 8 << 20
+#: Items and bytes of text of a verifying task, about.
+TASK_ITEMS = 20_000
+TASK_BYTES = 16 << 20
+#: Groups of so many items or fewer are verified together.
 FEW = 8
+#: Bits of an element's code, and so many owners or pairs as fit above it.
+CODE_BITS = 52
+OWNERS = 1 << (64 - CODE_BITS)
+#: Elements of pairs that are compared at once.
+TOGETHER = 1 << 18
+#: Bits of a band key below its band's number.
+KEY_BITS = 56
+
+#: The sets of texts: their elements as codes, sorted and end to end, and where each set begins, with the end of the last.
+#: Codes mean the same throughout one call.
+Sets = tuple[np.ndarray, np.ndarray]
 
 
 def banding(similarity: float, recall: float, most: int) -> tuple[int, int]:
@@ -49,16 +63,32 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """(items, bands) keys of signatures (items, at least bands * rows); the band's number is part of its key."""
+    """(items, bands) keys of signatures (items, at least bands * rows): the band's number, from 1, above a hash."""
     cut = sig[:, : bands * rows].reshape(len(sig), bands, rows)
-    key = np.broadcast_to(mix64(np.arange(1, bands + 1, dtype=np.uint64)), cut.shape[:2]).copy()
+    key = np.zeros(cut.shape[:2], np.uint64)
     for j in range(rows):
         key = mix64(key ^ cut[:, :, j]) + np.uint64(j)
-    return key.view(np.int64)
+    number = np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(KEY_BITS)
+    return (key >> np.uint64(64 - KEY_BITS) | number).view(np.int64)
+
+
+def coded(values: np.ndarray, owner: np.ndarray, n: int) -> Sets:
+    """The sets of n owners from their elements (64-bit hashes), in any order and with repeats. Codes are the upper bits
+    of the hashes, or for very many owners their ranks."""
+    if n > OWNERS:
+        distinct, code = np.unique(values, return_inverse=True)
+        both = np.unique(owner * len(distinct) + code)
+        return (both % max(len(distinct), 1)).astype(np.uint64), np.searchsorted(both, np.arange(n + 1) * len(distinct))
+    both = np.sort(owner.astype(np.uint64) << np.uint64(CODE_BITS) | values >> np.uint64(64 - CODE_BITS))
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both = both[new]
+    sizes = np.bincount((both >> np.uint64(CODE_BITS)).astype(np.int64), minlength=n)
+    return both & np.uint64((1 << CODE_BITS) - 1), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A range's edges (a, b) as edges from each node to the smallest one that they connect it to."""
+    """A range's edges (a, b) as edges from the smallest node to each one that they connect it to."""
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -78,30 +108,33 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for each node of edges (a, b): roots are equal iff nodes are connected.
 
-    Tasks first contract the edges that they hold, dealt by one end and then by the other. Each round hooks every node to its smallest neighbour, jumps pointers once, and contracts the edges; it ends when
-    no edge is left. All steps are joins and pre-aggregated groupings on narrow rows, each written to the shared folder."""
-    e = edges.where(F.col("a") != F.col("b")).select("a", "b").distinct()
-    for end in ("a", "b", "a"):
-        e = e.repartition(end).mapInArrow(_contract, "a long, b long").where("a != b")
-    e = scratch.table(e, "edges")
-    labels, own = None, [e]
+    Tasks first contract the edges that they hold, dealt in ranges by one end, then by the other; a node with many edges
+    spreads over ranges. Each round then hooks every node to its smallest neighbour, jumps pointers once, and contracts
+    the edges; it ends when no edge is left. All steps are joins and pre-aggregated groupings on narrow rows, each
+    written to the shared folder; the joins salt nodes with many edges."""
+    e = scratch.table(edges.where(F.col("a") != F.col("b")).select("a", "b"), "edges")
+    for first, second in ("ab", "ba"):
+        new = scratch.table(e.repartitionByRange(first, second).mapInArrow(_contract, "a long, b long").where("a != b"), "edges")
+        scratch.drop(e)
+        e = new
+    labels = None
     while True:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p"))
-        up = scratch.table(up, "hooks")
-        jump = up.join(up.select(F.col("a").alias("p"), F.col("p").alias("q")), "p", "left")
+        up = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")), "hooks")
+        jump = lookup_join(up, up.select(F.col("a").alias("p"), F.col("p").alias("q")), "p", F.col("a"))
         jump = scratch.table(jump.select("a", F.coalesce("q", "p").alias("p")), "jumps")
         if labels is None:
             labels = scratch.table(jump.select(F.col("a").alias("node"), F.col("p").alias("root")), "labels")
         else:
-            step = labels.join(jump.select(F.col("a").alias("root"), F.col("p").alias("__p")), "root", "left")
+            step = lookup_join(labels, jump.select(F.col("a").alias("root"), F.col("p").alias("__p")), "root", F.col("node"))
             new = scratch.table(step.select("node", F.coalesce("__p", "root").alias("root")), "labels")
             scratch.drop(labels)
             labels = new
-        left = e.join(jump.select("a", F.col("p").alias("pa")), "a").join(jump.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")
+        left = lookup_join(e, jump.select("a", F.col("p").alias("pa")), "a", F.col("b"))
+        left = lookup_join(left, jump.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b", F.col("a"))
         new = scratch.table(left.where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-        scratch.drop(up, jump, *own)
-        e, own = new, [new]
+        scratch.drop(up, jump, e)
+        e = new
         if e.isEmpty():
             scratch.drop(e)
             return labels
@@ -140,51 +173,67 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
         yield from cut()
 
 
-def _verify(batches: Iterator[pa.RecordBatch], decode: Callable[[list[str]], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    for t, cuts in whole_groups(batches, ["comp", "x", "y"]):
-        k, weight, block = (t.column(n).to_numpy() for n in ("k", "weight", "block"))
-        sets = decode(t.column("text").to_pylist())
+def _verify(batches: Iterator[pa.RecordBatch], decode: Callable[[list[str]], Sets], rows: int) -> Iterator[pa.RecordBatch]:
+    for t, cuts in whole_groups(batches, ["band", "x", "y"], rows):
         found = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a > 1:
-                got = (_few if b - a <= FEW else _group)(k[a:b], weight[a:b], block[a:b], sets[a:b])
-                if got is not None:
+        if t.num_rows > 1:
+            k, weight, block, band = (t.column(n).to_numpy() for n in ("k", "weight", "block", "band"))
+            shared = t.column("bands").combine_chunks()
+            shared, at = shared.flatten().to_numpy(), shared.offsets.to_numpy() - shared.offsets[0].as_py()
+            codes, starts = decode(t.column("text").to_pylist())
+            earlier = lambda i: shared[at[i] : at[i + 1]][shared[at[i] : at[i + 1]] < band[i]]
+            found.append(_few(k, weight, block, earlier, (shared[at[:-1]] < band), cuts, codes, starts))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b - a > FEW and (got := _group(k[a:b], weight[a:b], block[a:b], [earlier(i) for i in range(a, b)], codes, starts[a : b + 1])) is not None:
                     found.append(got)
         cols = [np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["k", "links", "root"])
 
 
-def _few(k: np.ndarray, weight: np.ndarray, block: np.ndarray, sets: list[np.ndarray]):
-    """What _group gives, for groups so small that plain sets are faster."""
-    at = list({x: i for i, x in enumerate(k.tolist())}.values())
-    own = [set(sets[i].tolist()) for i in at]
-    across = len(set(block.tolist())) > 1
-    links, up = [0] * len(at), list(range(len(at)))
-    for q in range(len(at)):
-        for p in range(q):
-            less, more = sorted((len(own[p]), len(own[q])))
-            if NUM * more > DEN * less or across and block[at[p]] == block[at[q]]:
-                continue
-            shared = len(own[p] & own[q])
-            if DEN * shared >= NUM * (less + more - shared):
-                links[p] += weight[at[q]]
-                links[q] += weight[at[p]]
-                up = [up[p] if u == up[q] else u for u in up]
-    some = [i for i, n in enumerate(links) if n]
-    return (k[[at[i] for i in some]], np.array([links[i] for i in some]), k[[at[up[i]] for i in some]]) if some else None
-
-
-def _group(k: np.ndarray, weight: np.ndarray, block: np.ndarray, sets: list[np.ndarray]):
-    """Links among the items of a pair of blocks: within a block if there is one, else only across."""
+def _few(k: np.ndarray, weight: np.ndarray, block: np.ndarray, earlier: Callable[[int], np.ndarray], some: np.ndarray, cuts: np.ndarray, codes: np.ndarray, starts: np.ndarray):
+    """Links within the groups of few items: two rows for each. some: whether an item has earlier bands."""
+    first, n = cuts[:-1], np.diff(cuts)
+    across = np.logical_or.reduceat(block != np.repeat(block[first], n), first)
+    size = np.diff(starts)
+    i, j = (np.concatenate(x) for x in zip(*[[(first[n == m, None] + side).ravel() for side in np.triu_indices(m, 1)] for m in range(2, FEW + 1)], strict=True))
+    less, more = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    mixed = np.repeat(across, n)[i]
+    keep = (k[i] != k[j]) & (NUM * more <= DEN * less) & ~(mixed & (block[i] == block[j]))
+    for x in np.flatnonzero(keep & some[i] & some[j]):
+        keep[x] = set(earlier(i[x]).tolist()).isdisjoint(earlier(j[x]).tolist())
+    i, j = i[keep], j[keep]
+    both = size[i] + size[j]
+    part = np.maximum(np.cumsum(both) // TOGETHER, np.arange(len(i)) // (OWNERS // 2))
+    hit = np.zeros(len(i), bool)
+    for a, b in zip(ends := [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(i)], ends[1:], strict=False):
+        if a == b:
+            continue
+        rows = np.stack([i[a:b], j[a:b]], axis=1).ravel()
+        length = size[rows]
+        at = np.repeat(starts[rows] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        keys = np.sort(codes[at] | np.repeat(np.repeat(np.arange(b - a, dtype=np.uint64), 2) << np.uint64(CODE_BITS), length))
+        twice = keys[1:][keys[1:] == keys[:-1]] >> np.uint64(CODE_BITS)
+        shared = np.bincount(twice.astype(np.int64), minlength=b - a)
+        hit[a:b] = DEN * shared >= NUM * (both[a:b] - shared)
+    i, j = i[hit], j[hit]
+    return np.concatenate([k[i], k[j]]), np.concatenate([weight[j], weight[i]]), np.concatenate([k[i], k[i]])
+
+
+def _group(k: np.ndarray, weight: np.ndarray, block: np.ndarray, earlier: list[np.ndarray], codes: np.ndarray, starts: np.ndarray):
+    """Links among the many items of a pair of blocks: a row for each item that has some. Within
+    a block if there is one, else only across; of pairs that share no earlier band."""
     _, first = np.unique(k, return_index=True)
-    size = np.array([len(s) for s in sets])
+    size = np.diff(starts)
     order = first[np.argsort(size[first], kind="stable")]
-    k, weight, block, size, sets = k[order], weight[order], block[order], size[order], [sets[i] for i in order]
+    k, weight, block, size = k[order], weight[order], block[order], size[order]
     across = len(np.unique(block)) > 1
-    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    _, own = np.unique(np.concatenate([codes[starts[i] : starts[i + 1]] for i in order]), return_inverse=True)
     ends = np.cumsum(size)
-    starts = ends - size
-    mark = np.zeros(len(values), bool)
+    begin = ends - size
+    mark = np.zeros(int(own.max(initial=0)) + 1, bool)
+    before = np.zeros((len(k), 1 + max((int(earlier[i][-1] >> KEY_BITS) for i in order if len(earlier[i])), default=0)), np.int64)
+    for row, i in enumerate(order):
+        before[row, earlier[i] >> KEY_BITS] = earlier[i]
     links, parent = np.zeros(len(k), np.int64), np.arange(len(k))
 
     def find(i: int) -> int:
@@ -198,42 +247,49 @@ def _group(k: np.ndarray, weight: np.ndarray, block: np.ndarray, sets: list[np.n
         j = reach[i]
         if j <= i + 1:
             continue
-        own = codes[starts[i] : ends[i]]
-        mark[own] = True
-        shared = np.add.reduceat(mark[codes[starts[i + 1] : ends[j - 1]]].astype(np.int64), starts[i + 1 : j] - starts[i + 1])
-        mark[own] = False
-        hit = DEN * shared >= NUM * (size[i] + size[i + 1 : j] - shared)
+        cols = np.flatnonzero(before[i])
+        open_ = ~(before[i + 1 : j, cols] == before[i, cols]).any(axis=1)
         if across:
-            hit &= block[i + 1 : j] != block[i]
-        for m in np.flatnonzero(hit) + i + 1:
+            open_ &= block[i + 1 : j] != block[i]
+        todo = np.flatnonzero(open_) + i + 1
+        if not len(todo):
+            continue
+        mark[own[begin[i] : ends[i]]] = True
+        if 4 * len(todo) > j - i:
+            shared = np.add.reduceat(mark[own[begin[i + 1] : ends[j - 1]]].astype(np.int32), begin[i + 1 : j] - begin[i + 1])[todo - i - 1]
+        else:
+            shared = np.array([np.count_nonzero(mark[own[begin[m] : ends[m]]]) for m in todo])
+        mark[own[begin[i] : ends[i]]] = False
+        hit = todo[DEN * shared >= NUM * (size[i] + size[todo] - shared)]
+        for m in hit:
             a, b = find(i), find(m)
             parent[max(a, b)] = min(a, b)
-        links[i] += weight[i + 1 : j][hit].sum()
-        links[i + 1 : j][hit] += weight[i]
+        links[i] += weight[hit].sum()
+        links[hit] += weight[i]
     some = np.flatnonzero(links)
     return (k[some], links[some], k[[find(i) for i in some]]) if len(some) else None
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by band: an edge from every item to the first of its band in this range, and, as rows without
-    an edge, the first item of the first and of the last band, which may go on in other ranges."""
-    names = ["a", "b", "band"]
-    batch = lambda a, b, band: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, band)], names)
-    last, leader, first = None, 0, None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by band: those whose band has another row in this range, and all of the range's first and last
+    band, which may go on in other ranges."""
+    held: pa.RecordBatch | None = None  # the last row so far
+    keep = True  # whether it is wanted, whatever follows
     for x in batches:
         if not x.num_rows:
             continue
-        band, k = x.column("band").to_numpy(), x.column("k").to_numpy()
-        new = np.concatenate([[last is None or band[0] != last], band[1:] != band[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        lead = np.where(at < 0, leader, k[at])
-        first = (lead[0], band[0]) if first is None else first
-        last, leader = band[-1], lead[-1]
-        if (other := lead != k).any():
-            pairs = np.unique(np.stack([k[other], lead[other]], axis=1), axis=0)
-            yield batch(pairs[:, 0], pairs[:, 1], [None] * len(pairs))
-    if first is not None:
-        yield batch([None] * 2, [first[0], leader], [first[1], last])
+        rows = pa.Table.from_batches([x] if held is None else [held, x]).combine_chunks().to_batches()[0]
+        band = rows.column("band").to_numpy()
+        same = band[1:] == band[:-1]
+        wanted = np.zeros(len(band), bool)
+        wanted[0] = keep
+        wanted[1:] |= same
+        wanted[:-1] |= same
+        held, keep = rows.slice(len(band) - 1), bool(wanted[-1])
+        if (at := np.flatnonzero(wanted[:-1])).size:
+            yield rows.take(pa.array(at))
+    if held is not None:
+        yield held
 
 
 def minhash(grams: np.ndarray, hashes: int) -> np.ndarray:
@@ -246,63 +302,44 @@ def minhash(grams: np.ndarray, hashes: int) -> np.ndarray:
     return sig
 
 
-def _finer(batches: Iterator[pa.RecordBatch], decode: Callable[[list[str]], list[np.ndarray]], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """Band keys of texts under bands of more rows, kept apart by component."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            b = batch.slice(at, 512)
-            sets = decode(b.column("text").to_pylist())
-            keys = band_keys(np.stack([minhash(s, bands * rows) for s in sets]), bands, rows).view(np.uint64)
-            keys = mix64(keys ^ mix64(b.column("comp").to_numpy().view(np.uint64))[:, None]).view(np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("k"), lists], ["k", "bands"])
-
-
-def _candidates(banded: DataFrame, block: int, scratch: Scratch) -> DataFrame:
-    """(k, comp, blocks) of the items (k, bands) that share a band with another; comp is the same for all that do so,
-    and blocks is the number of blocks of so many items that they fill."""
-    rows = banded.select("k", F.explode("bands").alias("band")).repartitionByRange("band", "k").sortWithinPartitions("band", "k")
-    runs = scratch.table(rows.mapInArrow(_runs, "a long, b long, band long"), "runs")
-    ends = runs.where("a is null")
-    across = ends.select("b", "band").join(ends.groupBy("band").agg(F.min("b").alias("a")), "band").select("a", "b")  # two rows for each range
-    comps = connected_components(runs.where("a is not null").select("a", "b").unionByName(across), scratch)
-    scratch.drop(runs)
-    sizes = comps.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
-    sizes = scratch.table(sizes, "blocks")
-    return lookup_join(comps, sizes, "root", F.col("node")).select(F.col("node").alias("k"), F.col("root").alias("comp"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
-
-
-def similar(items: DataFrame, load: Callable[[DataFrame], DataFrame], decode: Callable[[list[str]], list[np.ndarray]], scratch: Scratch, block: int = BLOCK, finer: tuple[tuple[int, int], ...] = (), above: int = 0) -> DataFrame:
+def _members(items: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(k, bands) of the items (k, bands) that share a band with another: the bands that they share, of those with the
+    same items the first; and the number of these bands in all."""
+    rows = items.select("k", F.explode("bands").alias("band")).repartitionByRange("band", "k").sortWithinPartitions("band", "k")
+    rows = scratch.table(rows.mapInArrow(_shared, "k long, band long"), "shared_bands")
+    of = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("k")).alias("one"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("two"))
+    kept = scratch.table(of.where("n > 1").groupBy("n", "one", "two").agg(F.min("band").alias("band")).select("band", "n"), "bands")
+    n = kept.agg(F.sum("n")).first()[0] or 0
+    members = lookup_join(rows, kept, "band", F.col("k")).where("n is not null").groupBy("k").agg(F.sort_array(F.collect_list("band")).alias("bands"))
+    out = scratch.table(members, "members")
+    scratch.drop(rows, kept)
+    return out, n
+
+
+def similar(items: DataFrame, load: Callable[[DataFrame, int], DataFrame], decode: Callable[[list[str]], Sets], scratch: Scratch, rows: int = 2048) -> DataFrame:
     """(k, links, root) of every item that is similar to another: links sums the weights of the items it is similar
     to, and root is the same throughout a component.
 
-    items: a written table (k long, bands array<long>, weight long, ...), k unique. load: takes items with comp and
-    blocks added and gives (k, comp, blocks, weight, text). decode: the sets of texts, as
-    sorted 64-bit values. block: items of a block, about. finer: (bands, rows) under which the items of components of
-    more than `above` items (a block's, if 0) are banded again, one after the other, as far as such components are left: bands of few rows
-    join sets that are far apart, the more the larger the corpus, and what hangs together only so falls apart again."""
-    above = above or block
-    wanted = scratch.table(items.drop("bands").join(_candidates(items, above, scratch), "k"), "candidates")
-    parts = [scratch.table(load(wanted), "sets")]
-    for bands, rows in finer:
-        large = parts[-1].where("blocks > 1")
-        if large.isEmpty():
-            break
-        banded = large.select("k", "comp", "text").mapInArrow(lambda b, n=bands, r=rows: _finer(b, decode, n, r), "k long, bands array<long>")
-        banded = scratch.table(banded, "finer_bands")
-        again = large.drop("comp", "blocks").join(_candidates(banded, above, scratch), "k")
-        parts[-1:] = [parts[-1].where("blocks = 1"), scratch.table(again, "sets")]
-    sets = parts[0]
-    for x in parts[1:]:
-        sets = sets.unionByName(x)
-    sets = sets.withColumn("blocks", F.ceil(F.col("blocks") * F.lit(above) / F.lit(block)).cast("int"))
-    number = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
-    spread = sets.withColumn("block", number).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("comp", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "k", "weight", "text")
-    spread = spread.repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y")
-    found = scratch.table(spread.mapInArrow(lambda b: _verify(b, decode), "k long, links long, root long"), "links")
+    items: a written table (k long, bands array<long>, weight long, ...), k unique. load: takes the items that share
+    bands, bands being those, with the bytes of these arrays in all, and gives (k, bands, weight, text). rows: items
+    whose sets a task decodes at once, about, where no group holds more."""
+    members, n = _members(items, scratch)
+    wanted = scratch.table(items.drop("bands").join(members, "k"), "candidates")
+    sets = scratch.table(load(wanted, 8 * n), "sets")
+    if sets.count() > wanted.count():  # rows that repeat an id and a text
+        sets = scratch.table(sets.dropDuplicates(["k"]), "sets")
+    each = sets.select(F.explode("bands").alias("band"), F.octet_length("text").cast("long").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ITEMS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    large = scratch.table(each.groupBy("band").agg(blocks.alias("blocks")).where("blocks > 1"), "large_bands")
+    tasks = max(1, -(-n // TASK_ITEMS), -(-(each.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
+    spread = lookup_join(sets.withColumn("band", F.explode("bands")), large, "band", F.col("k")).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("band", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "k", "weight", "bands", "text")
+    spread = spread.repartition(tasks, "band", "x", "y").sortWithinPartitions("band", "x", "y")
+    found = scratch.table(spread.mapInArrow(lambda b: _verify(b, decode, rows), "k long, links long, root long"), "links")
     roots = connected_components(found.select(F.col("k").alias("a"), F.col("root").alias("b")), scratch)
-    out = found.groupBy("k").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "k"), "k")
+    links = found.groupBy("k").agg(F.sum("links").alias("links"), F.min("root").alias("own"))
+    out = links.join(roots.withColumnRenamed("node", "k"), "k", "left").select("k", "links", F.coalesce("root", "own").alias("root"))
     out = scratch.table(out, "similar")
-    scratch.drop(wanted, found, roots)
+    scratch.drop(members, wanted, sets, large, found, roots)
     return out

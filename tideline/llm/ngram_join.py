@@ -72,13 +72,18 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _load(docs: DataFrame):
     """Brings the texts of candidates."""
 
-    def load(items: DataFrame) -> DataFrame:
-        wanted = lookup_join(docs, items.select("key", "k", "comp", "blocks", "weight"), "key", F.col("key")).where("k is not null")
-        return wanted.select("k", "comp", "blocks", "weight", "text")
+    def load(items: DataFrame, arrays: int) -> DataFrame:
+        wanted = lookup_join(docs, items.select("key", "k", "bands", "weight"), "key", None, arrays).where("k is not null")
+        return wanted.select("k", "bands", "weight", "text")
 
     return load
 
 
+def sets_of(texts: list[str]) -> neardup.Sets:
+    found = [ngrams(t) for t in texts]
+    return neardup.coded(np.concatenate(found), np.repeat(np.arange(len(found)), [len(s) for s in found]), len(found))
+
+
 def row_key(doc_id, th):
     return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.hex(th))
 
@@ -97,7 +102,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     key = row_key(F.col("doc_id"), F.col("th"))
     first = narrow.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"), F.min(key).alias("key"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"))
     items = scratch.table(first.withColumn("k", F.monotonically_increasing_id()), "items")
-    linked = neardup.similar(items, _load(d.select("key", "text")), lambda texts: [ngrams(t) for t in texts], scratch)
+    linked = neardup.similar(items, _load(d.select("key", "text")), sets_of, scratch, 256)
     own = items.select("id", "k", "least", "weight").join(linked, "k", "left").where("root is not null or weight > 1")
     own = own.select("id", "least", F.coalesce("root", "k").alias("grp"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     own = own.join(own.groupBy("grp").agg(F.min("least").alias("class_id")), "grp").select("id", "grp", "class_id", "n_links")
