@@ -15,7 +15,7 @@ names count, so a task that is run again does no harm. Readers own the documents
 ids and fetch only the blocks they need.
 
 Defined cases: null and empty texts are the end id alone; null doc_ids come first; repeated rows are written one by
-one, ties in the order of their texts; an empty table gives an empty result; further columns are ignored."""
+one, ties in the order of a hash of their texts; an empty table gives an empty result; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -40,6 +40,8 @@ BLOCK_IDS = 1 << 16
 END_ID = 2
 #: Ids of a reader's range.
 SPLIT_IDS = 1 << 22
+#: A reader takes several ranges when there are more than this.
+MAX_TASKS = 100_000
 _FOOTER = struct.Struct("<8Q8s")
 _CHUNK = struct.Struct("<QII")
 
@@ -189,7 +191,8 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     each file in doc_id order, base being the ids in the files before."""
     scratch = Scratch(docs.sparkSession)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), F.monotonically_increasing_id()]  # a doc_id of many rows, or many equal rows, may fill several files
+    d = d.repartitionByRange(*order).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     run = _Write(folder, path or vocabulary(), np.array([end_id], "<u4").tobytes(), unit)
     manifest = scratch.table(d.mapInArrow(run, "part long, file string, n_docs long, n_ids long, bytes long"), "manifest")
     return manifest.withColumn("base", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))  # a row for each file
@@ -197,8 +200,10 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
 
 def read(manifest: DataFrame, split_ids: int = SPLIT_IDS) -> DataFrame:
     """(doc_id, start, ids) of every document in the files; ids are packed little-endian uint32."""
+    each = lambda n: F.greatest(F.ceil(F.col(n) / split_ids), F.lit(1))
+    tasks = min(manifest.agg(F.sum(each("n_ids"))).first()[0] or 1, MAX_TASKS)
     splits = manifest.select("file", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_ids") - 1, F.lit(0)), F.lit(split_ids).cast("long"))).alias("low"))
-    return splits.repartition("file", "low").mapInArrow(lambda b: _documents(b, split_ids), "doc_id long, start long, ids binary")
+    return splits.repartitionByRange(tasks, "base", "low").mapInArrow(lambda b: _documents(b, split_ids), "doc_id long, start long, ids binary")
 
 
 def _documents(batches: Iterator[pa.RecordBatch], split_ids: int) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,8 @@ smallest page_id is a response, the others are revisits that name it; smaller pa
 Reading: a file is cut into byte ranges. A task scans its range for gzip magic, validates a candidate by decoding its
 start and looking for a WARC version line and header, and owns every record that starts inside its range, also if it
 ends beyond. The record after a valid one starts where that one ends; only after damage is magic searched again.
-(A member stored uncompressed inside a payload could pass for a record; text in UTF-8 can't hold gzip magic.)
+A gzip member that a payload holds and that a range begins in front of could pass for a record of its own, in archives
+of others; what `write` makes can't hold one, as payloads are UTF-8 text and UTF-8 has no gzip magic.
 
 Defined cases: null html is an empty payload; null url leaves the header out; rows that repeat the smallest page_id of
 a group are all responses; a null page_id counts as larger than any other; an empty table gives an empty result;
@@ -15,6 +16,7 @@ further columns are ignored."""
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,10 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, Scratch, scratch_path
+from .common import Scratch, lookup_join, scratch_path
 
 LEAST = 100
 SPLIT_BYTES = 4 << 20
+MAX_TASKS = 100_000
 MAGIC = b"\x1f\x8b\x08"
 READ = 256 << 10
 DATE = "2024-01-01T00:00:00Z"
@@ -41,9 +44,8 @@ def with_types(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     p = p.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2(F.encode("html", "UTF-8"), 256))
     first = p.where(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select("payload_digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    p = p.join(first, ["payload_digest", "salt"], "left")
+    first = Scratch(pages.sparkSession).table(first.where("n > 1"), "repeated_payloads")
+    p = lookup_join(p, first.select("payload_digest", "first"), "payload_digest", F.col("page_id"), counts=first.select("payload_digest", "n"))
     return p.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -120,7 +122,7 @@ class Members:
         except zlib.error:
             return False
         first, _, rest = text.partition(b"\r\n")
-        return first.startswith(b"WARC/") and rest[:5].lower() in (b"warc-", b"conte")
+        return first.startswith(b"WARC/") and re.match(rb"[A-Za-z-]+:", rest) is not None
 
     def _member(self) -> bytes | None:
         """The record here, decoded, and a step beyond it; None and no step if it is damaged."""
@@ -169,7 +171,9 @@ def parse(data: bytes) -> tuple:
 
 
 def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of archives. files: (file, bytes), of which each range of split_bytes is a task's at most."""
+    """The records of archives. files: (file, bytes). Each range of split_bytes is read by a task of its own, up to
+    MAX_TASKS of them."""
+    tasks = min(files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1, MAX_TASKS)
     split = files.where("bytes > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +192,7 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return split.repartition("file", "start").mapInArrow(run, SCHEMA)
+    return split.repartitionByRange(tasks, "file", "start").mapInArrow(run, SCHEMA)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
