@@ -1,9 +1,10 @@
 """Token ids of whole texts with the tokenizers library.
 
-The vocabularies in use here never join characters across white space, so a text's ids are those of its runs of
-other characters, one after another. Runs recur; each worker keeps the ids of the runs it has met in a bounded
-cache, letters of ASCII runs in lower case as the vocabulary has them, and the library encodes only new ones. A run
-of letters with punctuation behind it is put together from its two parts. `whole` encodes without any of this and is what the tests compare with."""
+A vocabulary that never joins characters across white space and has no capital letters gives a text the ids of its runs
+of other characters, one after another. Runs recur; each worker keeps the ids of the runs it has met in a bounded cache,
+ASCII runs in lower case, and the library encodes only new ones. A run of letters with punctuation behind it is put
+together from its two parts. Whether a vocabulary is of this kind is tried on a probe when it is loaded; with any other
+one, and in what the tests compare with, `whole` encodes without any of this."""
 
 from __future__ import annotations
 
@@ -19,6 +20,12 @@ CACHE = 500_000
 TOGETHER = 6_000_000
 #: Letters, then ASCII punctuation but no apostrophe, which may begin a suffix.
 _ENDINGS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+_BYTE = np.arange(256, dtype=np.uint8)
+_LETTER = ((_BYTE | 32) >= 97) & ((_BYTE | 32) <= 122)
+_PUNCTUATION = (_BYTE > 32) & (_BYTE < 127) & ~_LETTER & ~((_BYTE >= 48) & (_BYTE <= 57)) & (_BYTE != 39)
+_SOLID = (_BYTE != 32) & ((_BYTE < 9) | (_BYTE > 13))
+_LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE | 32, _BYTE).astype(np.uint8)
+_PROBE = "The QUICK brown foxes, jumped.  over 3.14 (lazy) dogs'\tdon't \u00c9t\u00e9\u00df STRASSE \u4f60\u597d \u0130x \n\n#$% e\u0301A_b-C word... \x1f\u00a0x"
 
 
 class Encoder:
@@ -31,6 +38,9 @@ class Encoder:
         for token, i in self.library.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.ids: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.by_runs = True
+        self.by_runs = self.encode([_PROBE])[0] == self.whole(_PROBE)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -50,43 +60,67 @@ class Encoder:
 
     def _of(self, runs: list[str]) -> list[bytes]:
         """The ids of distinct runs."""
-        if len(self.ids) > CACHE:
-            self.ids.clear()
-        known, low = self.ids, [r.lower() if r.isascii() else r for r in runs]
-        missing = {r for r in low if r not in known}
-        split = {r: m for r in missing if (m := _ENDINGS.fullmatch(r))}
-        new = {p for p in missing.difference(split).union(*(m.groups() for m in split.values())) if p not in known}
+        if len(self.ids) > CACHE // 2:  # what isn't met again before the next time goes
+            self.before, self.ids = self.ids, {}
+        known, before = self.ids, self.before
+        missing = [r for r in runs if r not in known]
+        known.update({r: x for r in missing if (x := before.get(r)) is not None})
+        missing = [r for r in missing if r not in known]
+        split = {r: m.groups() for r in missing if not r.isascii() and (m := _ENDINGS.fullmatch(r)) and m[1].lower().isalpha()}
+        new = {p for p in (*(r for r in missing if r not in split), *(p for m in split.values() for p in m)) if p not in known}
         plain = [w for w in new if w.isalpha()]
         self._learn(plain)
         for w in new.difference(plain):
             self.ids[w] = self.whole(w)
-        return [known[r] if r not in split else known[split[r][1]] + known[split[r][2]] for r in low]
+        for r, (letters, end) in split.items():
+            known[r] = known[letters] + known[end]
+        return [known[r] for r in runs]
+
+    def _runs(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the runs of texts (bytes, and where each text begins, with the end of the last) begin and end, and
+        their bytes, ASCII runs in lower case. ASCII letters with punctuation behind them are two runs."""
+        solid = _SOLID[data]
+        begins, ends = solid.copy(), solid.copy()
+        begins[1:] &= ~solid[:-1]
+        ends[:-1] &= ~solid[1:]
+        inner = at[(at > 0) & (at < len(data))]
+        begins[inner] |= solid[inner]
+        ends[inner - 1] |= solid[inner - 1]
+        begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        count = lambda mask: (c := np.concatenate([[0], np.cumsum(mask, dtype=np.int32)]))[ends] - c[begins]
+        high = data >= 128
+        ascii_ = count(high) == 0 if high.any() else np.ones(len(begins), bool)
+        letter, punctuation = _LETTER[data], _PUNCTUATION[data]
+        drop = np.zeros(len(data), bool)
+        drop[1:] = letter[:-1] & punctuation[1:]
+        rise = np.zeros(len(data), bool)
+        rise[1:] = punctuation[:-1] & letter[1:]
+        rise[begins] = drop[begins] = False
+        two = letter[begins] & (count(letter | punctuation) == ends - begins) & (count(drop) == 1) & (count(rise) == 0)
+        drops = np.flatnonzero(drop)
+        cuts = drops[np.searchsorted(drops, begins[two])]
+        low = _LOWER[data]
+        if not ascii_.all():  # runs with other letters stay as they are
+            for a, b in zip(begins[~ascii_].tolist(), ends[~ascii_].tolist(), strict=True):
+                low[a:b] = data[a:b]
+        which = np.flatnonzero(two)
+        return np.insert(begins, which + 1, cuts), np.insert(ends, which, cuts), low[solid]
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty) end to end, and where each text's begin, with the end of the last."""
         texts = texts.fill_null("").cast(pa.large_string())
+        if not self.by_runs:
+            each = [self.whole(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(each), np.uint32), np.concatenate([[0], np.cumsum([len(x) // 4 for x in each])]).astype(np.int64)
         at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
         at = at - at[0]
-        solid = (data != 32) & ((data < 9) | (data > 13))
-        begins = solid.copy()
-        begins[1:] &= ~solid[:-1]
-        inner = at[(at < len(data))]
-        begins[inner] |= solid[inner]
-        begins = np.flatnonzero(begins)
-        gaps = np.flatnonzero(~solid)
-        # a run's bytes end at the next gap or run
-        ends = np.minimum(np.append(gaps, len(data))[np.searchsorted(gaps, begins)], np.append(begins[1:], len(data)))
+        begins, ends, chars = self._runs(data, at)
         places = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int64)
-        runs = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data[solid]))).dictionary_encode()
-        each = self._of(runs.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(each), np.uint32)
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        run = runs.indices.to_numpy()
-        length, start = size[run], (np.cumsum(size) - size)[run]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        ids = flat[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])] if len(run) else np.empty(0, np.uint32)
-        return ids, ends[np.searchsorted(begins, at)]
+        runs = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(places), pa.py_buffer(chars)).dictionary_encode()
+        each = pa.array(self._of(runs.dictionary.to_pylist()), pa.large_binary()).take(runs.indices)
+        ends = np.frombuffer(each.buffers()[1], np.int64)[: len(each) + 1] // 4
+        return np.frombuffer(each.buffers()[2] or b"", np.uint32)[: ends[-1]], ends[np.searchsorted(begins, at)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit values."""
