@@ -21,6 +21,17 @@ def recommended_fps(seconds: Column) -> Column:
     return F.when(seconds <= 30, 15.0).when(seconds <= 900, 1.0).when(seconds <= 7200, 0.5).otherwise(0.2)
 
 
+def even_fps(seconds: Column, frames: float, most: float) -> Column:
+    """The rate at which so many frames span a clip, from 0.05 to `most`; 1 for a clip of no length."""
+    return F.when(seconds > 0, F.least(F.greatest(F.lit(frames) / seconds, F.lit(0.05)), F.lit(most))).otherwise(F.lit(1.0))
+
+
+def intent(kind: Column) -> list[Column]:
+    """What a recording's intent, content or activity, means for texts and stills."""
+    content = kind == "content"
+    return [content.alias("keeps_text"), content.alias("aggregates_text"), (~content).alias("discards_stills")]
+
+
 def memory_pressure(used: Column, total: Column) -> Column:
     share = F.when(total > 0, used / total).otherwise(F.lit(0.0))
     return F.when(share >= 0.9, "critical").when(share >= 0.8, "high").otherwise("normal")

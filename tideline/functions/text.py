@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..operators.folds import ordered_fold
 
@@ -45,6 +48,24 @@ def category_from(text: Column) -> Column:
     return F.when(low.isin(*CATEGORIES), low).otherwise("other")
 
 
+def chunk_summary(text: Column) -> Column:
+    """(category, app, activity, detail) of a reply: its JSON's fields, missing ones empty, or without JSON an activity
+    of the first 80 characters and all of it as detail."""
+    json = extract_json(text)
+    ok = F.try_parse_json(json).isNotNull()
+    field = lambda k: F.coalesce(F.get_json_object(json, f"$.{k}"), F.lit(""))
+    read = F.struct(category_from(field("category")).alias("category"), *[field(k).alias(k) for k in ("app", "activity", "detail")])
+    return F.when(ok, read).otherwise(F.struct(F.lit("other").alias("category"), F.lit("").alias("app"), F.substring(text, 1, 80).alias("activity"), text.alias("detail")))
+
+
+def session_digest(chunks: DataFrame, by: str, order: str) -> DataFrame:
+    """(by, digest) of chunks (by, order, s, e, category, activity), times in microseconds; a line for each, in order."""
+    at = lambda c: F.date_format(F.timestamp_micros(c), "HH:mm")
+    line = F.concat(F.lit("- "), at("s"), F.lit("–"), at("e"), F.lit(": ["), "category", F.lit("] "), "activity")
+    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line.alias("t")))), lambda x: x["t"]), "\n")  # a session's chunks
+    return chunks.groupBy(by).agg(F.concat(F.lit("Session digest ("), F.count(F.lit(1)).cast("string"), F.lit(" chunks):\n"), rows).alias("digest"))
+
+
 def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, r"(?U)\s+"), "")
 
@@ -182,6 +203,18 @@ def merge(block: str, reading: str, like: float = 1.0) -> str:
     return "\n".join(o.merged()) if o.added else block
 
 
+def with_overlaps(pairs: DataFrame, like: float = 1.0) -> DataFrame:
+    """pairs (..., block, text) with coverage and merged, of each text as a reading over its block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [overlap(x or "", y or "", like) for x, y in zip(b.column("block").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            merged = [("\n".join(o.merged()) if o.added else x or "") for o, x in zip(found, b.column("block").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([o.coverage for o in found], pa.float64()), pa.array(merged, pa.string())], [*b.schema.names, "coverage", "merged"])
+
+    return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField("coverage", DoubleType()), StructField("merged", StringType())]))
+
+
 def absorb(blocks: list[str], reading: str, like: float = 1.0) -> int:
     """Adds a reading to the latest blocks' best match, of equal ones the last, or as a block; says which."""
     place = {i: overlap(blocks[i], reading, like) for i in range(max(0, len(blocks) - HISTORY), len(blocks))} if reading.strip() else {}
@@ -237,3 +270,55 @@ class _Repeats:
 def drop_repeats(readings: DataFrame, limit: float = 0.85) -> DataFrame:
     """(stream_id, seq) of the readings to keep: blank ones go, and those whose tokens are too like the last kept one's."""
     return ordered_fold(readings.select("stream_id", "seq", "text"), ["stream_id"], ["seq"], lambda: _Repeats(limit), "stream_id long, seq long")
+
+
+# -- quality ----------------------------------------------------------------------------------------------------------
+
+#: The window, the shortest and longest copy, the candidates looked at, and the bits that a copy costs.
+WINDOW, SHORTEST, LONGEST, CHAIN, COPY_BITS = 32 * 1024, 3, 258, 128, 24.0
+
+
+def compression(data: bytes) -> float:
+    """Estimated share to which bytes compress: each is a literal at the bytes' entropy, or part of a copy of what came
+    before, where a copy of at least three bytes from the window is the cheaper."""
+    n = len(data)
+    if not n:
+        return 0.0
+    share = np.bincount(np.frombuffer(data, np.uint8), minlength=256) / n
+    share = share[share > 0]
+    literal = float(-(share * np.log2(share)).sum())
+    seen: dict[bytes, list[int]] = {}
+    bits, i = 0.0, 0
+    while i < n:
+        best, most = 0, min(n - i, LONGEST)
+        for c in reversed(seen.get(data[i : i + SHORTEST], ())[-CHAIN:] if most >= SHORTEST else ()):
+            if i - c > WINDOW or best == most:
+                break
+            if best and data[c + best] != data[i + best]:
+                continue  # it can't be longer than the best
+            low, high = (best if data[c : c + best] == data[i : i + best] else 0), most
+            while low < high:  # the longest common beginning, by halves
+                half = (low + high + 1) // 2
+                low, high = (half, high) if data[c : c + half] == data[i : i + half] else (low, half - 1)
+            best = max(best, low)
+        copied = best >= SHORTEST and COPY_BITS < best * literal
+        step, cost = (best, COPY_BITS) if copied else (1, literal)
+        for p in range(i, min(i + step, n - SHORTEST + 1)):
+            seen.setdefault(data[p : p + SHORTEST], []).append(p)
+        bits, i = bits + cost, i + step
+    return bits / 8 / n
+
+
+def quality(texts: DataFrame, key: str) -> DataFrame:
+    """(key, compression, lines, tokens) of texts (key, text): estimated compression, and the distinct shares of lines
+    without the blanks around them and of tokens; all zero for a blank text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [compression(t.encode("utf-8", "surrogatepass")) if t and t.strip() else 0.0 for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, "compression"])
+
+    t = texts.select(key, "text")
+    t = t.mapInArrow(run, StructType([*t.schema.fields, StructField("compression", DoubleType())]))
+    text = F.coalesce("text", F.lit(""))
+    return t.select(key, "compression", distinct_ratio(content_lines(text)).alias("lines"), distinct_ratio(tokens(text)).alias("tokens"))

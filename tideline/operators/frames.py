@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # -- change detection -------------------------------------------------------------------------------------------------
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 MAGNITUDE, PROPORTION, TOLERANCE, STD_FLOOR = 6.0, 0.4, 2, 8.0
 
 
-def _mean(a: Column) -> Column:
+def mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda t, x: t + x, lambda t: t / F.size(a))
 
 
@@ -23,18 +23,59 @@ def comparable(a: Column, b: Column) -> Column:
 def mean_abs_diff(a: Column, b: Column) -> Column:
     """Infinite where the buffers can't be compared."""
     d = F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double"))
-    return F.when(comparable(a, b), _mean(d)).otherwise(F.lit(float("inf")))
+    return F.when(comparable(a, b), mean(d)).otherwise(F.lit(float("inf")))
 
 
 def changed_fraction(a: Column, b: Column, tolerance: int = TOLERANCE) -> Column:
     """Share of pixels that differ by more than the tolerance; 1 where the buffers can't be compared."""
     d = F.zip_with(a, b, lambda x, y: F.when(F.abs(x - y) > tolerance, 1.0).otherwise(0.0))
-    return F.when(comparable(a, b), _mean(d)).otherwise(F.lit(1.0))
+    return F.when(comparable(a, b), mean(d)).otherwise(F.lit(1.0))
+
+
+def variance(a: Column) -> Column:
+    m, sq = mean(F.transform(a, lambda x: x.cast("double"))), mean(F.transform(a, lambda x: (x * x).cast("double")))
+    return F.when(F.size(a) > 0, F.greatest(sq - m * m, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def gray_std(a: Column) -> Column:
-    m, sq = _mean(F.transform(a, lambda x: x.cast("double"))), _mean(F.transform(a, lambda x: (x * x).cast("double")))
-    return F.when(F.size(a) > 0, F.sqrt(F.greatest(sq - m * m, F.lit(0.0)))).otherwise(F.lit(0.0))
+    return F.sqrt(variance(a))
+
+
+def previous(value: Column, held: Column, by: list, order: str) -> Column:
+    """The last value before a row, of its group, where `held` holds."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(held, value), True).over(w)
+
+
+def sharpness(gray: Column, w: int, h: int) -> Column:
+    """Variance of the Laplacian of four neighbours over the inner pixels; 0 for buffers too small or too short."""
+    if w < 3 or h < 3:
+        return F.lit(0.0)
+    at = lambda i: F.get(gray, i).cast("double")
+    inner = F.array(*[F.lit(y * w + x) for y in range(1, h - 1) for x in range(1, w - 1)]) if w * h <= 400 else F.filter(F.sequence(F.lit(w + 1), F.lit(w * (h - 1) - 2)), lambda i: (i % w).between(1, w - 2))
+    lap = F.transform(inner, lambda i: 4 * at(i) - at(i - 1) - at(i + 1) - at(i - w) - at(i + w))
+    return F.when(F.size(gray) >= w * h, variance(lap)).otherwise(F.lit(0.0))
+
+
+def downscale_gray(bgra: Column, w: int, h: int, target: int) -> Column:
+    """A frame's nearest pixels at a width of at most target as luma, 299, 587 and 114 parts of red, green and blue in
+    whole numbers; empty for malformed frames."""
+    tw = max(min(target, w), 1)
+    th = max(h * tw // w, 1) if w else 1
+    pixel = lambda i: (F.floor(F.floor(i / tw) * h / th) * w + F.floor(i % tw * w / tw)) * 4
+    byte = lambda i: F.get(bgra, i.cast("int"))
+    out = F.transform(F.sequence(F.lit(0), F.lit(tw * th - 1)), lambda i: F.floor((byte(pixel(i) + 2) * 299 + byte(pixel(i) + 1) * 587 + byte(pixel(i)) * 114) / 1000).cast("int"))
+    return F.when((F.size(bgra) >= w * h * 4) & F.lit(target > 0 and w > 0 and h > 0), out).otherwise(F.array().cast("array<int>"))
+
+
+def report_errors(frames: DataFrame, by: str) -> DataFrame:
+    """(by, bad_number, bad_time, ok): the first place at which a report's frame number n isn't its place (pos, from 0),
+    and the first at which its time t doesn't come after the one before."""
+    before = F.lag("t").over(Window.partitionBy(by).orderBy("pos"))
+    f = frames.withColumn("__before", before)
+    first = lambda c: F.min(F.when(c, F.col("pos")))
+    g = f.groupBy(by).agg(first(F.col("n") != F.col("pos")).alias("bad_number"), first(F.col("t") <= F.col("__before")).alias("bad_time"))
+    return g.withColumn("ok", F.col("bad_number").isNull() & F.col("bad_time").isNull())
 
 
 def verdict(size: Column, std: Column, first: Column, magnitude: Column, fraction: Column) -> Column:
@@ -172,3 +213,46 @@ def clipped(x: Column, y: Column, w: Column, h: Column, cx: int, cy: int, cw: in
     """A box cut to a rectangle and moved into it; w and h are 0 or less if nothing is left."""
     left, top = F.greatest(x, F.lit(cx)), F.greatest(y, F.lit(cy))
     return left - cx, top - cy, F.least(x + w, F.lit(cx + cw)) - left, F.least(y + h, F.lit(cy + ch)) - top
+
+
+# -- reading ----------------------------------------------------------------------------------------------------------
+
+SIDECAR = "array<struct<idx:bigint,x:bigint,y:bigint,w:bigint,h:bigint,display_id:bigint>>"
+
+
+def sidecar_regions(text: Column) -> Column:
+    """A sidecar's boxes; null if it is missing or can't be read, which is not the same as empty."""
+    return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, SIDECAR))
+
+
+def routed(calls: DataFrame, key: str, order: list[str], budget: int) -> DataFrame:
+    """calls (tier text or reason, reason, ...) with served (the tier, or why it was refused) and escalation (the reason
+    of a reasoning call that was served). A call without a reason for reasoning is refused and costs nothing; of the
+    others the first `budget` of a key are served."""
+    valid = (F.col("tier") == "text") | (F.trim(F.coalesce("reason", F.lit(""))) != "")
+    spent = F.sum(F.when(valid, 1).otherwise(0)).over(Window.partitionBy(key).orderBy(*order))
+    served = F.when(~valid, "refused:no_reason").when(spent > budget, "refused:budget").otherwise(F.col("tier"))
+    c = calls.withColumn("served", served)
+    return c.withColumn("escalation", F.when(F.col("served") == "reason", F.col("reason")))
+
+
+def ladder(samples: DataFrame, texts: DataFrame, display: int, most: int, budget: int) -> DataFrame:
+    """For each segment: samples, outcome (read, or refused where samples x most + 1 calls exceed the budget), calls,
+    read_whole and text. samples: (segment, frame_id, sidecar); texts: (frame_id, idx, text), what reading a box gives.
+
+    Of a frame's boxes the first `most` count, and of those the display's own are read; a frame without a sidecar, or
+    without a box to read, is read whole and counted, one whose sidecar is empty is read whole as it should be."""
+    s = samples.withColumn("r", sidecar_regions(F.col("sidecar")))
+    own = F.filter(F.slice(F.coalesce("r", F.array().cast(SIDECAR)), 1, most), lambda b: b["display_id"] == display)
+    s = s.withColumn("crops", own).withColumn("whole", F.size(own) == 0).withColumn("lost", F.col("whole") & F.coalesce(F.size("r") > 0, F.lit(True)) & (F.col("r").isNull() | (F.size("r") > 0)))
+    crops = s.select("frame_id", F.explode("crops").alias("b")).select("frame_id", "b.idx").join(texts, ["frame_id", "idx"])
+    mark = "\n---\n"
+    parts = lambda order, text: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), mark)
+    read = crops.groupBy("frame_id").agg(parts("idx", "text").alias("text"))  # `most` boxes
+    s = s.join(read, "frame_id", "left").withColumn("text", F.coalesce("text", F.concat(F.lit("whole:"), F.col("frame_id").cast("string"))))
+    n = F.count(F.lit(1))
+    fits = n * max(most, 1) + 1 <= budget
+    return s.groupBy("segment").agg(
+        n.alias("samples"), F.when(fits, "read").otherwise("refused").alias("outcome"), F.when(fits, F.sum(F.greatest(F.size("crops"), F.lit(1))) + 1).alias("calls"),
+        F.when(fits, F.count_if("lost")).alias("read_whole"), F.when(fits, parts("frame_id", "text")).alias("text"),
+    )

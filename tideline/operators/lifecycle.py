@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import ordered_fold
@@ -217,6 +217,41 @@ def resumed(states: DataFrame, on_disk: DataFrame, now: int) -> DataFrame:
     )
 
 
+def with_streaks(rows: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
+    """rows with streak: the failures in a row up to each one; a success resets it to zero."""
+    w = Window.partitionBy(key).orderBy(*order)
+    good = F.sum(F.when(failed, 0).otherwise(1)).over(w)
+    r = rows.withColumn("__good", good)
+    run = F.sum(F.when(failed, 1).otherwise(0)).over(Window.partitionBy(key, "__good").orderBy(*order))
+    return r.withColumn("streak", F.when(failed, run).otherwise(F.lit(0)).cast("long")).drop("__good")
+
+
+def drops(attempts: DataFrame, interval: list[str], order: list[str], most: int) -> DataFrame:
+    """(interval, attempts, recovered, reason) of the intervals whose first attempt failed: of at most so many attempts
+    (interval, order, failure), tried until one is good; reason is the last failure."""
+    n = F.row_number().over(Window.partitionBy(*interval).orderBy(*order))
+    a = attempts.withColumn("__n", n).where(F.col("__n") <= most)
+    tries = a.groupBy(*interval).agg(F.sort_array(F.collect_list(F.struct(F.col("__n").alias("n"), "failure"))).alias("t"))  # `most` at most
+    good = F.array_min(F.transform(F.filter("t", lambda x: x["failure"].isNull()), lambda x: x["n"]))
+    done = F.coalesce(good, F.size("t"))
+    last = F.element_at("t", F.when(good.isNull(), done).otherwise(F.greatest(good - 1, F.lit(1))))["failure"]
+    return tries.where(F.coalesce(good, F.lit(0)) != 1).select(*interval, done.cast("long").alias("attempts"), good.isNotNull().alias("recovered"), last.alias("reason"))
+
+
+def tier() -> Column:
+    """Hot while raw files are there, then warm while an artifact is, else cold."""
+    return F.when(F.col("n_raw") > 0, "hot").when(F.col("has_warm"), "warm").otherwise("cold")
+
+
+def age(now: int) -> Column:
+    return F.greatest(F.lit(now) - F.col("closed"), F.lit(0))
+
+
+def credit() -> Column:
+    """Bytes that the next step for a segment of a tier frees; shrinking keeps a tenth."""
+    return F.when(F.col("tier") == "hot", F.col("raw_bytes") - F.floor(F.col("raw_bytes") / 10)).when(F.col("tier") == "warm", F.col("warm_bytes")).otherwise(F.lit(0)).cast("long")
+
+
 def retention_plan(segments: DataFrame, now: int, hot_age: int, warm_age: int, budget: int) -> DataFrame:
     """(display_id, sequence, action): shrink, drop_warm, or keep with its reason.
 
@@ -224,11 +259,9 @@ def retention_plan(segments: DataFrame, now: int, hot_age: int, warm_age: int, b
     first, while it is over. As each step frees no less than nothing, a segment goes iff the bytes freed before it
     don't suffice: a running sum. The sum is taken in two steps, over hours and within them, so that no window holds
     more than an hour and tier of segments."""
-    tier = F.when(F.col("n_raw") > 0, "hot").when(F.col("has_warm"), "warm").otherwise("cold")
-    s = segments.withColumn("tier", tier).withColumn("age", F.greatest(F.lit(now) - F.col("closed"), F.lit(0)))
-    credit = F.when(F.col("tier") == "hot", F.col("raw_bytes") - F.floor(F.col("raw_bytes") / 10)).when(F.col("tier") == "warm", F.col("warm_bytes")).otherwise(F.lit(0))
+    s = segments.withColumn("tier", tier()).withColumn("age", age(now))
     aged = F.col("summarized") & (((F.col("tier") == "hot") & (F.col("age") >= hot_age)) | ((F.col("tier") == "warm") & (F.col("age") >= warm_age)))
-    s = s.withColumn("credit", credit.cast("long")).withColumn("aged", aged).withColumn("hour", F.floor(F.col("closed") / 3_600_000_000))
+    s = s.withColumn("credit", credit()).withColumn("aged", aged).withColumn("hour", F.floor(F.col("closed") / 3_600_000_000))
     open_ = F.col("summarized") & ~F.col("aged") & (F.col("tier") != "cold")
     s = s.withColumn("open", open_).withColumn("give", F.when(open_, F.col("credit")).otherwise(F.lit(0)))
     totals = s.agg((F.coalesce(F.sum(F.col("raw_bytes") + F.col("warm_bytes")), F.lit(0)) - F.coalesce(F.sum(F.when(F.col("aged"), F.col("credit"))), F.lit(0))).alias("left"))

@@ -50,6 +50,14 @@ def covered_seconds(spans: DataFrame, by: list[str]) -> DataFrame:
     return islands(islands(hour, [*by, "__hour"]).select(*by, "s", "e"), by).groupBy(*by).agg(F.sum(whole_seconds(F.col("s"), F.col("e"))).alias("seconds"))
 
 
+def activity_labels(entries: DataFrame, by: list[str]) -> DataFrame:
+    """(by, labels): the activities of entries of at least a whole second (secs), by their longest single entry, then
+    name; blank ones are left out."""
+    best = entries.where("secs > 0 and activity != ''").groupBy(*by, "activity").agg(F.max("secs").alias("m"))
+    names = F.sort_array(F.collect_list(F.struct((-F.col("m")).alias("m"), "activity")))
+    return best.groupBy(*by).agg(F.transform(names, lambda x: x["activity"]).alias("labels"))
+
+
 def digest(entries: DataFrame, start: int, end: int) -> DataFrame:
     """A row for each category: seconds, percent of attributed time, entries and activities, with the totals recorded,
     attributed and span on each row, and its rank (most seconds first, then name).
@@ -62,8 +70,7 @@ def digest(entries: DataFrame, start: int, end: int) -> DataFrame:
     counts = c.groupBy("category").agg(F.count(F.lit(1)).alias("entries"))
     seconds = covered_seconds(some.select("category", "s", "e"), ["category"])
     recorded = covered_seconds(some.select(F.lit(1).alias("__all"), "s", "e"), ["__all"]).agg(F.coalesce(F.sum("seconds"), F.lit(0)).alias("recorded"))
-    best = some.where("activity != ''").groupBy("category", "activity").agg(F.max("secs").alias("m"))
-    names = best.groupBy("category").agg(F.sort_array(F.collect_list(F.struct((-F.col("m")).alias("m"), "activity"))).alias("a"))
+    names = activity_labels(some, ["category"])
     out = counts.join(seconds, "category", "left").join(names, "category", "left").crossJoin(F.broadcast(recorded))  # a row for each category
     zero = F.coalesce("seconds", F.lit(0))
     all_ = F.sum(zero).over(Window.partitionBy())
@@ -71,7 +78,7 @@ def digest(entries: DataFrame, start: int, end: int) -> DataFrame:
     rank = F.row_number().over(Window.orderBy(zero.desc(), "category"))
     return out.select(
         "category", zero.cast("long").alias("seconds"), percent.alias("percent"), F.col("entries").cast("long").alias("entries"),
-        F.coalesce(F.array_join(F.transform("a", lambda x: x["activity"]), ", "), F.lit("")).alias("activities"),
+        F.coalesce(F.array_join("labels", ", "), F.lit("")).alias("activities"),
         F.col("recorded").cast("long").alias("recorded"), all_.cast("long").alias("attributed"), F.lit(max(end - start, 0) // SECOND).cast("long").alias("span"), rank.cast("long").alias("rank"),
     )
 

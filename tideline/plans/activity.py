@@ -32,7 +32,7 @@ SELECT category, seconds, CASE WHEN sum(seconds) OVER () > 0 THEN round(seconds
 
 
 def _digest(spark, sf_dir):
-    return T.digest(T.overlapping(A.entries(spark, sf_dir), FROM, TO), FROM, TO)
+    return T.digest(T.overlapping(A.entries(spark, sf_dir, TO), FROM, TO), FROM, TO)
 
 
 query("agg1_standup_digest", DIGEST_SQL)(_digest)
@@ -68,7 +68,7 @@ def interval_union(spark, sf_dir):
 
 @query("fil1_timeline_range", f"WITH {A.ENTRIES_SQL} SELECT id, s, e, category FROM entries WHERE e > {FROM} AND s < {TO}")
 def timeline_range(spark, sf_dir):
-    return T.overlapping(A.entries(spark, sf_dir), FROM, TO).select("id", "s", "e", "category")
+    return T.overlapping(A.entries(spark, sf_dir, TO), FROM, TO).select("id", "s", "e", "category")
 
 
 @query("fil2_gap_query", f"WITH {A.PAUSES_SQL} SELECT id, s, e, cause FROM pauses WHERE (e IS NULL OR e > {FROM}) AND s < {TO}")
@@ -79,7 +79,7 @@ def gap_query(spark, sf_dir):
 @query("fil3_timeline_slice", f"""WITH {A.ENTRIES_SQL}, {A.PAUSES_SQL} SELECT 'entry' AS kind, id::VARCHAR AS id, s, e FROM entries WHERE e > {FROM} AND s < {TO}
 UNION ALL SELECT 'gap', id, s, e FROM pauses WHERE (e IS NULL OR e > {FROM}) AND s < {TO}""")
 def timeline_slice(spark, sf_dir):
-    e = T.overlapping(A.entries(spark, sf_dir), FROM, TO).select(F.lit("entry").alias("kind"), F.col("id").cast("string").alias("id"), "s", "e")
+    e = T.overlapping(A.entries(spark, sf_dir, TO), FROM, TO).select(F.lit("entry").alias("kind"), F.col("id").cast("string").alias("id"), "s", "e")
     return e.unionByName(T.open_overlapping(A.pauses(spark, sf_dir), FROM, TO).select(F.lit("gap").alias("kind"), "id", "s", "e"))
 
 

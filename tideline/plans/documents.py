@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as X
 from ..sources import adapters as A
 from .registry import query
@@ -36,13 +38,18 @@ def extract_json(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.extract_json(t).alias("json"))
 
 
-@query("str8_parse_chunk_summary", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE doc_id % 3 WHEN 0 THEN 'coding' ELSE 'other' END ELSE 'other' END AS category, CASE WHEN doc_id % 2 = 0 THEN source ELSE substr('just words from ' || source, 1, 80) END AS activity FROM documents")
+@query("str8_parse_chunk_summary", """WITH r AS (SELECT doc_id, doc_id % 4 AS k, source, coalesce(text, '') AS t FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '[{}]'))
+SELECT doc_id, CASE WHEN k = 0 AND doc_id % 3 = 0 THEN 'coding' ELSE 'other' END AS category, CASE WHEN k IN (0, 1) THEN coalesce(source, '') ELSE '' END AS app, CASE WHEN k = 0 THEN md5(t) WHEN k = 1 THEN '' ELSE substr(t, 1, 80) END AS activity,
+  CASE WHEN k = 0 THEN '' WHEN k = 1 THEN md5(t) ELSE md5(t) END AS detail FROM r""")
 def parse_chunk_summary(spark, sf_dir):
-    """A reply in JSON gives its fields, others become an activity of their first 80 characters."""
-    json = F.to_json(F.struct(F.when(F.col("doc_id") % 3 == 0, F.lit(" Coding")).otherwise(F.lit("chess")).alias("category"), F.col("source").alias("activity")))
-    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Sure: "), json)).otherwise(F.concat(F.lit("just words from "), "source"))
-    d = _docs(spark, sf_dir).select("doc_id", t.alias("t")).withColumn("j", F.from_json(X.extract_json(F.col("t")), "category string, activity string"))
-    return d.select("doc_id", X.category_from(F.coalesce("j.category", F.lit(""))).alias("category"), F.coalesce("j.activity", F.substring("t", 1, 80)).alias("activity"))
+    """A reply in JSON gives its fields, missing ones empty; others become an activity of their first 80 characters."""
+    k, t = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
+    whole = F.to_json(F.struct(F.when(F.col("doc_id") % 3 == 0, F.lit(" Coding")).otherwise(F.lit("chess")).alias("category"), F.col("source").alias("app"), F.md5(t).alias("activity")))
+    part = F.to_json(F.struct(F.col("source").alias("app"), F.md5(t).alias("detail")))
+    d = _docs(spark, sf_dir).where(F.col("text").isNull() | ~F.col("text").rlike("[{}]"))  # braces of a text would be read as JSON
+    d = d.select("doc_id", F.when(k == 0, F.concat(F.lit("Sure: "), whole)).when(k == 1, part).otherwise(t).alias("t"))
+    c = X.chunk_summary(F.col("t"))
+    return d.select("doc_id", c["category"].alias("category"), c["app"].alias("app"), c["activity"].alias("activity"), F.when(k > 1, F.md5(c["detail"])).otherwise(c["detail"]).alias("detail"))
 
 
 @query("str9_category_from", "SELECT event_id, CASE WHEN lower(trim(c)) IN ('coding', 'docs', 'comms', 'browsing', 'meeting', 'idle', 'other') THEN lower(trim(c)) ELSE 'other' END AS category FROM (SELECT event_id, [' Coding', 'DOCS ', 'chess', 'idle', '', 'Meeting', 'comms'][event_id % 7 + 1] AS c FROM events)")
@@ -75,9 +82,9 @@ def content_words(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(X.content_words(F.col("text"))).cast("long").alias("n")).where("n > 0")
 
 
-@query("str14_redact", r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text || ' key=' || source || '&b AIza' || lang, 'key=[^&\s"]+', 'key=<redacted>', 'g'), 'AIza[0-9A-Za-z_-]+', '<redacted>', 'g')) AS clean FROM documents""")
+@query("str14_redact", r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text || ' key=' || source || ';b key= AIza, AIza' || lang, 'key=[0-9A-Za-z_-]*', 'key=<redacted>', 'g'), 'AIza[0-9A-Za-z_-]*', '<redacted>', 'g')) AS clean FROM documents""")
 def redact(spark, sf_dir):
-    t = F.concat("text", F.lit(" key="), "source", F.lit("&b AIza"), "lang")
+    t = F.concat("text", F.lit(" key="), "source", F.lit(";b key= AIza, AIza"), "lang")
     return _docs(spark, sf_dir).select("doc_id", F.md5(X.redact(t)).alias("clean"))
 
 
@@ -101,10 +108,10 @@ def line_similarity(spark, sf_dir):
     return p.join(n, "p_partkey").select("p_partkey", F.round(X.line_similarity(F.col("p_name"), F.col("next")), 6).alias("similarity"))
 
 
-@query("str26_display_name", "SELECT event_id, 'Display ' || user_id || ' (' || (640 + user_id * 10) || 'x' || 480 || CASE WHEN user_id = 0 THEN ', Primary' ELSE '' END || ')' AS name FROM events")
+@query("str26_display_name", "SELECT event_id, 'Display ' || (user_id + 1) || ' (' || (640 + user_id * 10) || 'x' || 480 || CASE WHEN user_id = 0 THEN ', Primary' ELSE '' END || ')' AS name FROM events")
 def display_name(spark, sf_dir):
-    primary = F.when(F.col("user_id") == 0, ", Primary").otherwise("")
-    return A.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Display "), F.col("user_id").cast("string"), F.lit(" ("), (640 + F.col("user_id") * 10).cast("string"), F.lit("x480"), primary, F.lit(")")).alias("name"))
+    u = F.col("user_id")
+    return A.table(spark, sf_dir, "events").select("event_id", R.display_name(u, 640 + u * 10, F.lit(480), u == 0).alias("name"))
 
 
 @query("txt3_reading_blocks")
@@ -117,8 +124,30 @@ def drop_repeats(spark, sf_dir):
     return X.drop_repeats(_readings(spark, sf_dir))
 
 
-@query("agg21_session_digest", "SELECT conv_id, 'Session digest (' || count(*) || ' chunks):' || chr(10) || string_agg(turn || ' ' || role, chr(10) ORDER BY turn) AS digest FROM conversations GROUP BY conv_id")
+@query("agg21_session_digest", """SELECT conv_id, 'Session digest (' || count(*) || ' chunks):' || chr(10) || string_agg('- ' || strftime(make_timestamp(turn * 300000000), '%H:%M') || '–' || strftime(make_timestamp(turn * 300000000 + 300000000), '%H:%M') || ': [' || CASE role WHEN 'user' THEN 'comms' ELSE 'other' END || '] ' || role, chr(10) ORDER BY turn) AS digest
+FROM conversations GROUP BY conv_id""")
 def session_digest(spark, sf_dir):
-    line = F.struct("turn", F.concat_ws(" ", F.col("turn").cast("string"), "role").alias("t"))
-    rows = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["t"]), "\n")
-    return A.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat(F.lit("Session digest ("), F.count(F.lit(1)).cast("string"), F.lit(" chunks):\n"), rows).alias("digest"))
+    """A line for each chunk of a session, in order."""
+    s, e = F.col("turn") * 300_000_000, F.col("turn") * 300_000_000 + 300_000_000
+    c = A.table(spark, sf_dir, "conversations").select(F.col("conv_id"), "turn", s.alias("s"), e.alias("e"), F.when(F.col("role") == "user", "comms").otherwise("other").alias("category"), F.col("role").alias("activity"))
+    return X.session_digest(c, "conv_id", "turn")
+
+
+@query("txt1_coverage")
+def coverage(spark, sf_dir):
+    """How much of a reading the one before holds already."""
+    return X.with_overlaps(_pairs(spark, sf_dir)).select("stream_id", "seq", "coverage")
+
+
+@query("txt2_merge_scroll")
+def merge_scroll(spark, sf_dir):
+    """A reading merged into the one before."""
+    return X.with_overlaps(_pairs(spark, sf_dir)).select("stream_id", "seq", "merged")
+
+
+def _pairs(spark, sf_dir):
+    """Readings with the first three lines of the one before above their own, so that they overlap."""
+    w = Window.partitionBy("stream_id").orderBy("seq")
+    r = _readings(spark, sf_dir).withColumn("block", F.lag("text").over(w)).where("block is not null and text is not null")
+    tail = F.array_join(F.slice(F.split("block", "\n"), 2, 3), "\n")
+    return r.select("stream_id", "seq", "block", F.concat_ws("\n", tail, "text").alias("text"))

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..operators import frames as O
 from ..sources import adapters as A
 from .registry import query
 
 BUFFERS_SQL = """b AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: round((x::DOUBLE + 1) * 127.5)::INT) AS g FROM embeddings),
-o AS (SELECT *, lag(g) OVER (PARTITION BY label ORDER BY id) AS p FROM b),
+o AS (SELECT *, lag(g) OVER (PARTITION BY label, id // 100 ORDER BY id) AS p FROM b),
 m AS (SELECT id, g, p, list_avg(list_transform(list_zip(g, p), lambda z: abs(z[1] - z[2])::DOUBLE)) AS mag,
   list_avg(list_transform(list_zip(g, p), lambda z: CASE WHEN abs(z[1] - z[2]) > 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS frac, list_avg(list_transform(g, lambda x: x::DOUBLE)) AS mean,
   list_avg(list_transform(g, lambda x: (x * x)::DOUBLE)) AS sq FROM o)"""
@@ -20,8 +19,8 @@ m AS (SELECT id, g, p, list_avg(list_transform(list_zip(g, p), lambda z: abs(z[1
 def _buffers(spark, sf_dir):
     g = F.transform("embedding", lambda x: F.round((x.cast("double") + 1) * 127.5).cast("int"))
     b = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", g.alias("g"))
-    # as-of the last buffer of the same display: the one before, empty ones left out
-    return b.withColumn("p", F.last(F.when(F.size("g") > 0, F.col("g")), True).over(Window.partitionBy("label").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)))
+    # as-of the last buffer of the same session and display: the one before, empty ones left out
+    return b.withColumn("p", O.previous(F.col("g"), F.size("g") > 0, ["label", F.floor(F.col("id") / 100)], "id"))
 
 
 @query("gat5_change_gate", f"""WITH {BUFFERS_SQL} SELECT id, CASE WHEN sqrt(greatest(sq - mean * mean, 0)) < 8 THEN 'blank' WHEN p IS NULL THEN 'first_sight' WHEN mag > 6 OR frac > 0.4 THEN 'changed' ELSE 'unchanged' END AS verdict FROM m""")
@@ -39,7 +38,7 @@ def measures(spark, sf_dir):
 @query("gat4_gray_std", f"WITH {BUFFERS_SQL} SELECT id, round(mean, 4) AS mean, round(sqrt(greatest(sq - mean * mean, 0)), 4) AS std FROM m")
 def gray_std(spark, sf_dir):
     b = _buffers(spark, sf_dir)
-    return b.select("id", F.round(O._mean(F.transform("g", lambda x: x.cast("double"))), 4).alias("mean"), F.round(O.gray_std(F.col("g")), 4).alias("std"))
+    return b.select("id", F.round(O.mean(F.transform("g", lambda x: x.cast("double"))), 4).alias("mean"), F.round(O.gray_std(F.col("g")), 4).alias("std"))
 
 
 @query("gat6_perceive", f"WITH {BUFFERS_SQL} SELECT label, count(*) AS n, count(*) FILTER (WHERE perceive) AS perceived FROM (SELECT b.label, NOT (sqrt(greatest(sq - mean * mean, 0)) < 8 OR (m.p IS NOT NULL AND NOT (mag > 6 OR frac > 0.4))) AS perceive FROM m JOIN b USING (id)) GROUP BY label")
@@ -69,13 +68,6 @@ def containment(spark, sf_dir):
     return O.parents(A.regions(spark, sf_dir))
 
 
-@query("jn3_parent_identity", f"WITH {PARENTS_SQL} SELECT p.frame_id, p.idx, r.x * 1000 + r.y AS parent_key FROM parents p LEFT JOIN regions r ON r.frame_id = p.frame_id AND r.idx = p.parent")
-def parent_identity(spark, sf_dir):
-    r = A.regions(spark, sf_dir)
-    up = r.select("frame_id", F.col("idx").alias("parent"), (F.col("x") * 1000 + F.col("y")).alias("parent_key"))
-    return O.parents(r).join(up, ["frame_id", "parent"], "left").select("frame_id", "idx", "parent_key")
-
-
 @query("jn8_region_crops", f"WITH {A.REGIONS_SQL} SELECT frame_id, idx FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY idx) AS n FROM regions) WHERE n <= 6 AND display_id = 1")
 def region_crops(spark, sf_dir):
     """The first six boxes of a frame, and of those the ones on this display: in that order."""
@@ -125,13 +117,6 @@ def clip_regions(spark, sf_dir):
     return A.regions(spark, sf_dir).select("frame_id", "idx", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h")).where("w > 0 and h > 0")
 
 
-@query("mth11_region_identity")
-def region_identity(spark, sf_dir):
-    """FNV-1a over display, granularity and box as little-endian numbers."""
-    fields = F.concat(*[S.little_endian(F.col(c)) for c in ("display_id", "granularity", "x", "y", "w", "h")])
-    return A.regions(spark, sf_dir).select("frame_id", "idx", S.fnv1a(fields).alias("identity"))
-
-
 @query("set1_ordered_union", f"WITH {A.REGIONS_SQL}, f AS (SELECT frame_id, source, min(idx) AS first FROM regions GROUP BY ALL) SELECT frame_id, string_agg(source, ',' ORDER BY first) AS sources FROM f GROUP BY frame_id")
 def ordered_union(spark, sf_dir):
     s = F.sort_array(F.collect_list(F.struct("idx", "source")))

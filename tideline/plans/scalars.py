@@ -23,11 +23,11 @@ def call_budget(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", S.call_budget(F.col("user_id") % 4, F.col("event_id") % 7, F.col("event_id") % 400).alias("calls"))
 
 
-@query("mth4_recommended_fps", "SELECT o_orderkey AS id, CASE WHEN o_totalprice <= 30 THEN 15.0 WHEN o_totalprice / 100 <= 900 THEN 1.0 WHEN o_totalprice / 100 <= 3600 THEN 0.5 ELSE 0.2 END::DOUBLE AS fps FROM (SELECT o_orderkey, o_totalprice FROM orders)")
+@query("mth4_recommended_fps", "SELECT o_orderkey AS id, CASE WHEN s <= 30 THEN 15.0 WHEN s <= 900 THEN 1.0 WHEN s <= 7200 THEN 0.5 ELSE 0.2 END::DOUBLE AS fps FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 60 WHEN 1 THEN o_orderkey % 1800 ELSE o_orderkey % 14400 END AS s FROM orders)")
 def recommended_fps(spark, sf_dir):
-    t = F.col("o_totalprice")
-    seconds = F.when(t <= 30, F.lit(30)).when(t / 100 <= 900, F.lit(900)).when(t / 100 <= 3600, F.lit(7200)).otherwise(F.lit(7201))
-    return A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), S.recommended_fps(seconds).cast("double").alias("fps"))
+    k = F.col("o_orderkey")
+    seconds = F.when(k % 3 == 0, k % 60).when(k % 3 == 1, k % 1800).otherwise(k % 14400)
+    return A.table(spark, sf_dir, "orders").select(k.alias("id"), S.recommended_fps(seconds).cast("double").alias("fps"))
 
 
 @query("mth5_memory_pressure", "SELECT event_id, CASE WHEN (event_id % 101) / 100 >= 0.9 THEN 'critical' WHEN (event_id % 101) / 100 >= 0.8 THEN 'high' ELSE 'normal' END AS pressure FROM events")
@@ -80,25 +80,22 @@ def sample_filename(spark, sf_dir):
     return e.select("event_id", "name", part(1).alias("display_id"), part(2).alias("sequence"))
 
 
-@query("src20_even_sampling", "SELECT o_orderkey AS id, least(greatest(30 / (o_orderkey % 5000 + 1), 0.05), 2)::DOUBLE AS fps FROM orders")
+@query("src20_even_sampling", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5000 > 0 THEN least(greatest(30 / (o_orderkey % 5000), 0.05), 2) ELSE 1 END::DOUBLE AS fps FROM orders")
 def even_sampling(spark, sf_dir):
-    fps = F.least(F.greatest(30 / (F.col("o_orderkey") % 5000 + 1), F.lit(0.05)), F.lit(2.0))
-    return A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), fps.cast("double").alias("fps"))
+    return A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), S.even_fps(F.col("o_orderkey") % 5000, 30.0, 2.0).alias("fps"))
 
 
-@query("src17_source_identity")
-def source_identity(spark, sf_dir):
-    """FNV-1a over a source's kind, a byte 255 and its key."""
-    code = lambda c: F.transform(F.split(c, ""), lambda x: F.ascii(x))
-    o = A.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("key")).distinct()
-    return o.select("key", S.fnv1a(F.concat(code(F.lit("display")), F.array(F.lit(255)), code(F.col("key")))).alias("identity"))
+STICKY = 2**32 - 1
 
 
-@query("fil8_window_visibility", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN FALSE WHEN user_id % 4 = 3 THEN TRUE ELSE user_id % 4 = 1 OR event_id % 7 = 0 END AS visible FROM events")
+@query("fil8_window_visibility", f"""WITH w AS (SELECT event_id, event_id % 5 = 0 AS hidden, CASE user_id % 4 WHEN 3 THEN NULL WHEN 2 THEN {STICKY} ELSE user_id % 4 END AS desktop, CASE WHEN event_id % 7 <> 0 THEN 1 END AS current FROM events)
+SELECT event_id, CASE WHEN hidden THEN FALSE WHEN desktop IS NULL OR current IS NULL THEN TRUE ELSE desktop = {STICKY} OR desktop = current END AS visible FROM w""")
 def window_visibility(spark, sf_dir):
-    """Hidden windows aren't visible; else those of the current desktop, of all desktops or of an unknown one."""
-    hidden, desktop = F.col("event_id") % 5 == 0, F.when(F.col("user_id") % 4 != 3, F.col("user_id") % 4)
-    return _events(spark, sf_dir).select("event_id", F.when(hidden, False).when(desktop.isNull(), True).otherwise((desktop == 1) | (F.col("event_id") % 7 == 0)).alias("visible"))
+    """Hidden windows aren't visible; else those of the current desktop or of all, and any where either is unknown."""
+    d = F.col("user_id") % 4
+    desktop, current = F.when(d == 2, STICKY).when(d != 3, d), F.when(F.col("event_id") % 7 != 0, 1)
+    shown = F.coalesce((desktop == STICKY) | (desktop == current), F.lit(True)) | desktop.isNull() | current.isNull()
+    return _events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 5 == 0, False).otherwise(shown).alias("visible"))
 
 
 @query("agg16_tick_counters", "SELECT user_id, count(*) AS frames, count(*) FILTER (WHERE event_type = 'view') AS whole_reads, count(*) FILTER (WHERE event_type = 'error') AS drops FROM events GROUP BY user_id")
@@ -114,12 +111,12 @@ def unrecovered_drops(spark, sf_dir):
 
 @query("agg14_segment_latency", """WITH c AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 g AS (SELECT user_id, count(*) AS n, round(sum(value) FILTER (WHERE i > 1), 6) AS rest, max(value) FILTER (WHERE i = 1) AS first FROM c GROUP BY user_id)
-SELECT user_id, CASE WHEN n > 1 THEN round(rest / (n - 1), 4) END AS warm, coalesce(n > 1 AND rest > 0 AND first > 3 * (rest / (n - 1)), FALSE) AS cold FROM g""")
+SELECT user_id, CASE WHEN n > 1 THEN round(rest / (n - 1), 4) ELSE 0 END::DOUBLE AS warm, coalesce(n > 1 AND rest > 0 AND first > 3 * (rest / (n - 1)), FALSE) AS cold FROM g""")
 def segment_latency(spark, sf_dir):
     """The mean of the calls after the first, and whether the first was cold: over three times that."""
     from pyspark.sql import Window
 
     c = _events(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     g = c.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.when(F.col("i") > 1, F.col("value"))), 6).alias("rest"), F.max(F.when(F.col("i") == 1, F.col("value"))).alias("first"))
-    warm = F.when(F.col("n") > 1, F.col("rest") / (F.col("n") - 1))
+    warm = F.when(F.col("n") > 1, F.col("rest") / (F.col("n") - 1)).otherwise(F.lit(0.0))
     return g.select("user_id", F.round(warm, 4).alias("warm"), F.coalesce((F.col("rest") > 0) & (F.col("first") > 3 * warm), F.lit(False)).alias("cold"))

@@ -19,6 +19,12 @@ def micros(c):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
+def started_before(df: DataFrame, c: str, at: int) -> DataFrame:
+    """Rows whose time column is before a moment in microseconds: a filter on the column itself, which reaches the scan."""
+    zone = "timestamp_ntz" if dict(df.dtypes)[c] == "timestamp_ntz" else "timestamp"
+    return df.where(F.col(c) < F.timestamp_micros(F.lit(at)).cast(zone))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, display_id, id, at): a sample of a display."""
     e = table(spark, sf_dir, "events")
@@ -28,9 +34,11 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLES_SQL = "samples AS (SELECT user_id AS session_id, user_id % 3 AS display_id, event_id AS id, epoch_us(ts) AS at FROM events)"
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, session_id, display_id, s, e, category, activity): timeline entries."""
+def entries(spark: SparkSession, sf_dir: str, before: int | None = None) -> DataFrame:
+    """(id, session_id, display_id, s, e, category, activity): timeline entries, those that start before a moment if one
+    is given."""
     e = table(spark, sf_dir, "events")
+    e = e if before is None else started_before(e, "ts", before)
     kinds = F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv])
     s = micros("ts")
     return e.select(
@@ -50,7 +58,7 @@ def pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, session_id, s, e, cause): recorded gaps; the last of a session is still open (e is null)."""
     from pyspark.sql import Window
 
-    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    e = table(spark, sf_dir, "events").where(F.col("event_type") == "error")
     s = micros("ts")
     last = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).isNull()
     end = F.when(~last, s + F.floor("value") * 1_000_000)
