@@ -1,6 +1,8 @@
 """Worked cases of the operators."""
 
 import math
+import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -216,3 +218,149 @@ def test_prices(spark):
         pin, pout = (x["long"], x["out_long"]) if i > 200_000 else (x["pin"], x["out"])
         assert round((i * pin + (o + t) * pout) / 1e6, 6) == usd
     con.close()
+
+
+def test_reference_cases(spark):
+    """Rules whose result is stated in the rules themselves."""
+    from tideline.functions import rules as R
+
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("v")).first().v
+    assert value(X.redact(F.lit("https://h/v?key=abc-D_1&x=2; AIzaSy12,"))) == "https://h/v?key=<redacted>&x=2; <redacted>,"
+    assert value(X.redact(F.lit("key= key=)AIza"))) == "key=<redacted> key=<redacted>)<redacted>"
+    assert tuple(value(X.chunk_summary(F.lit('ok {"category": " Docs ", "app": "x"}')))) == ("docs", "x", "", "")
+    assert tuple(value(X.chunk_summary(F.lit("w" * 100)))) == ("other", "", "w" * 80, "w" * 100)
+    assert value(R.display_name(F.lit(0), F.lit(1920), F.lit(1080), F.lit(True))) == "Display 1 (1920x1080, Primary)"
+    assert [value(R.percent_decode(F.lit(x))) for x in ("a+b%20c", "100%", "%zz%41", "%C3%A9")] == ["a b c", "100%", "%zzA", "é"]
+    assert value(R.percent_encode(F.lit("a b~*é+%"))) == "a%20b~%2A%C3%A9%2B%25"
+    assert [value(R.ordinal(F.lit(x))) for x in ("the second", "pane 3 of 40", "#13 7", "none")] == [2, 3, 7, None]
+    assert R.newest_first(spark.createDataFrame([(1, n) for n in ("g-3.8-a", "g-3.10-a", "g-latest", "g-3.8.1-a", "house")], "c long, n string"), ["c"], "n").orderBy("place").select("n").collect() == [("g-latest",), ("house",), ("g-3.10-a",), ("g-3.8.1-a",), ("g-3.8-a",)]
+
+
+def test_locate(spark):
+    from tideline.functions import rules as R
+
+    boxes = [(0, 0, 0, "pane", "Editor"), (1, 500, 0, "pane", "Terminal"), (2, 900, 10, "pane", "Browser"), (3, 0, 600, "window", "Log")]
+    regions = spark.createDataFrame([(f, *b, None) for f in range(8) for b in boxes], "frame_id long, idx long, x long, y long, kind string, label string, role string")
+    asks = ["the second pane", "rightmost pane", "middle pane", "terminal please", "bottom", "pane 9", "the log window", "zzz"]
+    got = R.located(spark.createDataFrame(list(enumerate(asks)), "frame_id long, request string"), regions).orderBy("frame_id").collect()
+    assert [r.idx for r in got] == [1, 2, 1, 1, 3, 2, 3, None]
+
+
+def slow_compression(data):
+    """By the definition, every candidate compared byte by byte."""
+    n = len(data)
+    literal = -sum(c / n * math.log2(c / n) for c in Counter(data).values())
+    bits, i = 0.0, 0
+    while i < n:
+        best, looked = 0, 0
+        for c in range(i - 1, -1, -1):
+            if i + 3 > n or i - c > 32768 or looked >= 128:
+                break
+            if data[c : c + 3] == data[i : i + 3]:
+                looked += 1
+                m = 0
+                while i + m < n and m < 258 and data[c + m] == data[i + m]:
+                    m += 1
+                best = max(best, m)
+        copied = best >= 3 and best * literal > 24.0
+        bits, i = bits + (24.0 if copied else literal), i + (best if copied else 1)
+    return bits / 8 / n
+
+
+def test_compression():
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdef ") for _ in range(r.randint(1, 9))) for _ in range(40)]
+    for data in (b"a" * 3000, "".join(r.choice(words) for _ in range(500)).encode(), bytes(r.randrange(256) for _ in range(600)), b"x", b"abcabcabcabc" * 40):
+        assert abs(X.compression(data) - slow_compression(data)) < 1e-9
+    assert X.compression(b"") == 0
+
+
+def slow_blocks(texts):
+    """The folding of readings on plain lists, by trying every alignment."""
+    blocks = []
+    for t in texts:
+        best = None
+        new = [x.strip() for x in X.lines(t)]
+        for i in range(max(0, len(blocks) - 5), len(blocks)) if t.strip() else ():
+            old = [x.strip() for x in blocks[i]]
+            top = 0
+            while top < min(len(old), len(new)) and old[top] == new[top]:
+                top += 1
+            end = 0
+            while end < min(len(old), len(new)) - top and old[-1 - end] == new[-1 - end]:
+                end += 1
+            o, m = old[top : len(old) - end], new[top : len(new) - end]
+            run = max(((n, -a, -b) for a in range(len(o)) for b in range(len(m)) for n in range(1, min(len(o) - a, len(m) - b) + 1) if o[a : a + n] == m[b : b + n]), default=(0, 0, 0))
+            share = 0.0 if not new else 1.0 if not m or old and not o else (top + end) / len(new) if (top + end) / len(new) >= 0.9 else run[0] / len(m)
+            if best is None or share >= best[0]:
+                best = share, i, top, end, run, m
+        if best is None or best[0] < 0.65:
+            blocks.append(X.lines(t))
+            continue
+        share, i, top, end, run, m = best
+        raw, block = X.lines(t)[top : len(new) - end], blocks[i]
+        if m:
+            blocks[i] = block[: len(block) - end] + raw[: -run[2]] + raw[-run[2] + run[0] :] + block[len(block) - end :]
+    return ["\n".join(b) for b in blocks]
+
+
+def test_blocks_by_brute_force(spark):
+    r = random.Random(3)
+    for seed in range(6):
+        page = [f"line {seed} {i} {r.randrange(4)}" for i in range(30)]
+        texts = ["\n".join(["menu", *page[a : a + r.randint(3, 9)], "status"]) for a in sorted(r.randrange(22) for _ in range(14))] + ["", "other\ntext"]
+        d = spark.createDataFrame([(seed, i, t) for i, t in enumerate(texts)], "stream_id long, seq long, text string")
+        assert [x.text for x in X.blocks_of(d).orderBy("block").collect()] == slow_blocks(texts)
+
+
+def test_fuse_by_brute_force(spark):
+    from tideline.sources import adapters as A
+
+    rows = [x.asDict() for x in A.regions(spark, SF).collect()]
+    want = Counter()
+    for f in {x["frame_id"] for x in rows}:
+        kept = []
+        for b in sorted((x for x in rows if x["frame_id"] == f), key=lambda x: (-x["trust"], x["idx"])):
+            for k, sources in kept:
+                w = min(k["x"] + k["w"], b["x"] + b["w"]) - max(k["x"], b["x"])
+                h = min(k["y"] + k["h"], b["y"] + b["h"]) - max(k["y"], b["y"])
+                share = w * h / (k["w"] * k["h"] + b["w"] * b["h"] - w * h) if w > 0 and h > 0 else 0
+                if (k["display_id"], k["granularity"]) == (b["display_id"], b["granularity"]) and share >= 0.7:
+                    sources += [b["source"]] if b["source"] not in sources else []
+                    break
+            else:
+                kept.append((b, [b["source"]]))
+        want.update((f, k["idx"], ",".join(s)) for k, s in kept)
+    assert Counter(tuple(x) for x in O.fuse(A.regions(spark, SF)).collect()) == want
+
+
+def test_entry_provenance(spark):
+    from tideline.sources import adapters as A
+
+    first = {r.frame_id: r.idx for r in QUERIES["geo8_entry_provenance"](spark, SF).collect()}
+    order = QUERIES["geo6_reading_order"](spark, SF).collect()
+    assert first == {r.frame_id: r.idx for r in order if r.place == 0}
+    frames = Counter(r.frame_id for r in order)
+    assert frames == Counter(r.frame_id for r in A.regions(spark, SF).collect())
+    assert all(sorted(r.place for r in order if r.frame_id == f) == list(range(n)) for f, n in frames.items())
+
+
+def test_ranges_reach_the_scan(spark):
+    for name in ("fil1_timeline_range", "agg1_standup_digest"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "LessThan(ts" in plan
+
+
+def test_windows_stream_with_controls(spark, tmp_path):
+    from tideline.streaming.segments import segment_windows
+
+    rows = [(1, 0, i, at * SEC, None, None, None) for i, at in enumerate((0, 10, 30, 50, 70, 90, 110))]
+    rows += [(1, 0, 20 + i, at * SEC, k, c, n) for i, (at, k, c, n) in enumerate([(20, "pause", "Idle", None), (40, "resume", None, None), (80, "interval", None, 600 * SEC), (120, "stop", None, None)])]
+    s = spark.createDataFrame(rows, "session_id long, display_id long, id long, at long, kind string, cause string, interval long")
+    s.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = segment_windows(spark.readStream.schema(s.schema).parquet(str(tmp_path / "in")), 900 * SEC).writeStream.format("memory").queryName("controlled").option("checkpointLocation", str(tmp_path / "state")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = [(r.s // SEC, r.e // SEC, r.sample_count, r.reason) for r in spark.table("controlled").orderBy("sequence").collect()]
+    assert got == [(0, 20, 2, "Paused"), (50, 80, 2, "IntervalChanged"), (90, 120, 2, "Stopped")]

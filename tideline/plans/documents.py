@@ -25,17 +25,18 @@ def flatten(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(X.flatten(F.col("text"))).alias("flat"))
 
 
-@query("str6_strip_reasoning", "WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a</think>b</think> ' || source || ' ' WHEN 1 THEN source || '</think>  ' ELSE ' ' || lang END AS t FROM documents) SELECT doc_id, CASE WHEN trim(string_split(t, '</think>')[-1]) <> '' THEN trim(string_split(t, '</think>')[-1]) ELSE trim(t) END AS answer FROM r")
+@query("str6_strip_reasoning", "WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a</think>b</think> ' || coalesce(text, '') || ' ' WHEN 1 THEN coalesce(text, '') || '</think>  ' ELSE ' ' || coalesce(text, '') END AS t FROM documents) SELECT doc_id, md5(CASE WHEN trim(string_split(t, '</think>')[-1]) <> '' THEN trim(string_split(t, '</think>')[-1]) ELSE trim(t) END) AS answer FROM r")
 def strip_reasoning(spark, sf_dir):
-    k = F.col("doc_id") % 3
-    t = F.when(k == 0, F.concat(F.lit("a</think>b</think> "), "source", F.lit(" "))).when(k == 1, F.concat("source", F.lit("</think>  "))).otherwise(F.concat(F.lit(" "), "lang"))
-    return _docs(spark, sf_dir).select("doc_id", X.strip_reasoning(t).alias("answer"))
+    k, text = F.col("doc_id") % 3, F.coalesce("text", F.lit(""))
+    t = F.when(k == 0, F.concat(F.lit("a</think>b</think> "), text, F.lit(" "))).when(k == 1, F.concat(text, F.lit("</think>  "))).otherwise(F.concat(F.lit(" "), text))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(X.strip_reasoning(t)).alias("answer"))
 
 
-@query("str7_extract_json", r"SELECT doc_id, CASE WHEN regexp_matches(t, '(?s)\{.*\}') THEN regexp_extract(t, '(?s)\{.*\}') END AS json FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'so: {' || chr(10) || '''a'': {1}} ' || source ELSE '} ' || source END AS t FROM documents)")
+@query("str7_extract_json", r"SELECT doc_id, md5(CASE WHEN regexp_matches(t, '(?s)\{.*\}') THEN regexp_extract(t, '(?s)\{.*\}') END) AS json FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'so: {' || coalesce(text, '') || '} ' || source ELSE '} ' || coalesce(text, '') END AS t FROM documents)")
 def extract_json(spark, sf_dir):
-    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("so: {\n'a': {1}} "), "source")).otherwise(F.concat(F.lit("} "), "source"))
-    return _docs(spark, sf_dir).select("doc_id", X.extract_json(t).alias("json"))
+    text = F.coalesce("text", F.lit(""))
+    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("so: {"), text, F.lit("} "), "source")).otherwise(F.concat(F.lit("} "), text))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(X.extract_json(t)).alias("json"))
 
 
 @query("str8_parse_chunk_summary", """WITH r AS (SELECT doc_id, doc_id % 4 AS k, source, coalesce(text, '') AS t FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '[{}]'))
@@ -119,7 +120,12 @@ def reading_blocks(spark, sf_dir):
     return X.blocks_of(_readings(spark, sf_dir))
 
 
-@query("txt4_drop_repeats")
+@query("txt4_drop_repeats", r"""WITH RECURSIVE d AS (SELECT doc_id // 50 AS stream_id, doc_id AS seq, list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS w FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS n FROM d WHERE len(w) > 0),
+r AS (SELECT stream_id, seq, n, w, TRUE AS kept FROM o WHERE n = 1
+ UNION ALL SELECT o.stream_id, o.seq, o.n, CASE WHEN fresh THEN o.w ELSE r.w END, fresh FROM r JOIN o ON o.stream_id = r.stream_id AND o.n = r.n + 1,
+  LATERAL (SELECT len(list_intersect(o.w, r.w)) / (len(o.w) + len(r.w) - len(list_intersect(o.w, r.w))) <= 0.85 AS fresh))
+SELECT stream_id, seq FROM r WHERE kept""")
 def drop_repeats(spark, sf_dir):
     return X.drop_repeats(_readings(spark, sf_dir))
 

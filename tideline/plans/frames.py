@@ -129,7 +129,8 @@ def provider_concatenation(spark, sf_dir):
     return r.where("source = 'wm'").unionByName(r.where("source = 'at_spi'"))
 
 
-@query("geo8_entry_provenance", f"WITH {A.REGIONS_SQL}, o AS (SELECT frame_id, idx, row_number() OVER (PARTITION BY frame_id ORDER BY y, x, idx) AS n FROM regions) SELECT frame_id, idx FROM o WHERE n = 1")
+@query("geo8_entry_provenance")
 def entry_provenance(spark, sf_dir):
-    """The first box of a frame."""
-    return A.regions(spark, sf_dir).groupBy("frame_id").agg(F.min(F.struct("y", "x", "idx")).alias("m")).select("frame_id", F.col("m.idx").alias("idx"))
+    """The first box of a frame in reading order."""
+    r = A.regions(spark, sf_dir)
+    return O.reading_order(r.join(O.parents(r), ["frame_id", "idx"])).where("place = 0").select("frame_id", "idx")

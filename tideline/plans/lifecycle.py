@@ -43,18 +43,37 @@ def sequence_numbers(spark, sf_dir):
     return _windows(spark, sf_dir).groupBy("display_id").agg(F.max("sequence").alias("high"), F.count(F.lit(1)).alias("n"))
 
 
-@query("stm8_session_limit", f"""WITH {A.SAMPLES_SQL} SELECT session_id, min("at") AS s, least(min("at") + {8 * 3600 * 1_000_000}, max("at")) AS e FROM samples GROUP BY session_id""")
+LIMIT = 8 * 3600 * 1_000_000
+
+
+@query("stm8_session_limit", f"""WITH {A.SAMPLES_SQL} SELECT session_id, min("at") AS s, CASE WHEN session_id % 3 = 0 THEN max("at") ELSE least(min("at") + {LIMIT}, max("at")) END AS e FROM samples GROUP BY session_id""")
 def session_limit(spark, sf_dir):
-    """A session stops after eight hours at the latest."""
-    return A.samples(spark, sf_dir).groupBy("session_id").agg(F.min("at").alias("s"), F.least(F.min("at") + 8 * 3600 * 1_000_000, F.max("at")).alias("e"))
+    """A session stops after eight hours at the latest; a daemon (here every third) has no limit."""
+    last = F.max("at")
+    e = F.when(F.col("session_id") % 3 == 0, last).otherwise(F.least(F.min("at") + LIMIT, last))
+    return A.samples(spark, sf_dir).groupBy("session_id").agg(F.min("at").alias("s"), e.alias("e"))
 
 
-@query("stm9_unselected_display", f"WITH {A.SAMPLES_SQL} SELECT display_id, count(*) AS n FROM samples WHERE display_id IN (0, 2) GROUP BY display_id")
+@query("stm9_unselected_display", f"""WITH {A.SAMPLES_SQL}, selected AS (SELECT DISTINCT user_id AS session_id, unnest(CASE WHEN user_id % 4 = 0 THEN [0, 1, 2] ELSE [0, 2] END) AS display_id FROM events)
+SELECT session_id, display_id, count(*) AS n FROM samples JOIN selected USING (session_id, display_id) GROUP BY ALL""")
 def unselected_display(spark, sf_dir):
-    return A.samples(spark, sf_dir).where(F.col("display_id").isin(0, 2)).groupBy("display_id").agg(F.count(F.lit(1)).alias("n"))
+    """Samples of displays that their session has selected; others are ignored."""
+    s = A.samples(spark, sf_dir)
+    displays = F.when(F.col("session_id") % 4 == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(2)))
+    selected = s.select("session_id").distinct().select("session_id", F.explode(displays.cast("array<bigint>")).alias("display_id"))
+    return s.join(selected, ["session_id", "display_id"], "left_semi").groupBy("session_id", "display_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+POLLS_SQL = f"""{A.SAMPLES_SQL}, polls AS (SELECT session_id, id, "at", CASE WHEN id % 11 <> 0 THEN (id * 31) % 600 END AS idle_for,
+  coalesce(("at" - lag("at") OVER (PARTITION BY session_id ORDER BY "at", id)) // 1000000, 0) AS since, row_number() OVER (PARTITION BY session_id ORDER BY "at", id) AS n FROM samples)"""
 
 
-@query("stm10_idle_hysteresis")
+@query("stm10_idle_hysteresis", f"""WITH RECURSIVE {POLLS_SQL},
+r AS (SELECT session_id, 0::BIGINT AS n, NULL::BIGINT AS id, FALSE AS state, NULL::BOOLEAN AS seen, 0::BIGINT AS held, FALSE AS turned FROM (SELECT DISTINCT session_id FROM polls)
+ UNION ALL SELECT session_id, n, id, CASE WHEN turns THEN wants ELSE state END, CASE WHEN wants = state OR turns THEN NULL ELSE wants END, CASE WHEN wants = state THEN held WHEN seen IS DISTINCT FROM wants THEN 0 ELSE held + since END, turns
+  FROM (SELECT x.*, wants <> state AND seen IS NOT DISTINCT FROM wants AND held + since >= 30 AS turns FROM
+   (SELECT p.session_id, p.n, p.id, p.since, coalesce(p.idle_for >= 300, FALSE) AS wants, r.state, r.seen, r.held FROM r JOIN polls p ON p.session_id = r.session_id AND p.n = r.n + 1) x))
+SELECT session_id, id, CASE WHEN state THEN 'went_idle' ELSE 'became_active' END AS transition FROM r WHERE turned""")
 def idle(spark, sf_dir):
     s = A.samples(spark, sf_dir)
     since = F.coalesce(F.floor((F.col("at") - F.lag("at").over(Window.partitionBy("session_id").orderBy("at", "id"))) / 1_000_000), F.lit(0))
@@ -70,14 +89,25 @@ def source_retirement(spark, sf_dir):
     return e.join(first, "user_id", "left").where("at is null or ts < at").select("event_id")
 
 
-@query("stm13_summary_queue", f"WITH RECURSIVE {WINDOWS_SQL} SELECT session_id, display_id, sequence, row_number() OVER (PARTITION BY session_id ORDER BY s, display_id, sequence) AS place FROM windows WHERE sample_count > 1 AND sequence % 3 <> 1")
+DUE = 1_704_844_800 * 1_000_000
+
+
+@query("stm13_summary_queue", f"""WITH RECURSIVE {WINDOWS_SQL}, q AS (SELECT *, sequence % 3 AS failures FROM windows WHERE sample_count > 1 AND e <= {DUE})
+SELECT session_id, display_id, sequence, row_number() OVER (PARTITION BY session_id ORDER BY s, display_id, sequence) AS place FROM q WHERE failures = 0 OR e + least(30 * pow(2, least(failures, 6)), 1800)::BIGINT * 60000000 <= {DUE}""")
 def summary_queue(spark, sf_dir):
-    """Work that is due, in time order; sequences of remainder 1 wait for a retry, windows of one sample settle silently."""
-    w = _windows(spark, sf_dir).where("sample_count > 1 and sequence % 3 != 1")
+    """The work that is due at a moment, in time order: what failed waits until its back-off (here in minutes) is over
+    and keeps its place; windows without anything to tell settle silently."""
+    failures = F.col("sequence") % 3
+    ready = (failures == 0) | (F.col("e") + S.backoff_seconds(failures) * 60_000_000 <= DUE)
+    w = _windows(spark, sf_dir).where("sample_count > 1").where(F.col("e") <= DUE).where(ready)
     return w.select("session_id", "display_id", "sequence", F.row_number().over(Window.partitionBy("session_id").orderBy("s", "display_id", "sequence")).cast("long").alias("place"))
 
 
-@query("stm15_token_bucket")
+@query("stm15_token_bucket", f"""WITH RECURSIVE {A.SAMPLES_SQL}, c AS (SELECT session_id AS key, id, "at" // 500 AS "at", row_number() OVER (PARTITION BY session_id ORDER BY "at" // 500, id) AS n FROM samples),
+r AS (SELECT key, id, n, "at", TRUE AS allowed, 9.0::DOUBLE AS tokens, 0.0::DOUBLE AS wait FROM c WHERE n = 1
+ UNION ALL SELECT key, id, n, "at", have >= 1, CASE WHEN have >= 1 THEN have - 1 ELSE have END, CASE WHEN have >= 1 THEN 0.0 ELSE (1.0 - have) / (10.0::DOUBLE / 60.0::DOUBLE) END
+  FROM (SELECT c.*, least(10.0::DOUBLE, r.tokens + greatest(c."at" - r."at", 0) / 1000000.0::DOUBLE * (10.0::DOUBLE / 60.0::DOUBLE)) AS have FROM r JOIN c ON c.key = r.key AND c.n = r.n + 1))
+SELECT key, id, allowed, wait AS retry_after FROM r""")
 def bucket(spark, sf_dir):
     calls = A.samples(spark, sf_dir).select(F.col("session_id").alias("key"), "id", (F.floor(F.col("at") / 500)).alias("at"))
     return L.token_bucket(calls, 10.0, 60.0)
@@ -99,25 +129,29 @@ def max_sequence(spark, sf_dir):
     return A.segments(spark, sf_dir).groupBy("display_id").agg(F.max("sequence").alias("high"))
 
 
-@query("src10_orphan_adoption", f"""WITH RECURSIVE {WINDOWS_SQL} SELECT session_id, display_id, "at" // {INTERVAL} AS sequence, min("at") AS s, max("at") AS e, count(*) AS sample_count, 'Stopped' AS reason FROM samples
-WHERE NOT EXISTS (SELECT 1 FROM windows w WHERE w.session_id = samples.session_id AND w.display_id = samples.display_id AND w.s = samples."at") GROUP BY ALL""")
+@query("src10_orphan_adoption", f"""WITH RECURSIVE {WINDOWS_SQL}, f AS (SELECT session_id, display_id, "at", (row_number() OVER (PARTITION BY session_id, display_id ORDER BY "at", id) - 1) // 3 AS sequence FROM samples)
+SELECT session_id, display_id, sequence, min("at") AS s, max("at") AS e, count(*) AS sample_count, 'Stopped' AS reason FROM f
+WHERE NOT EXISTS (SELECT 1 FROM windows w WHERE w.session_id = f.session_id AND w.display_id = f.display_id AND w.sequence = f.sequence AND w.sample_count > 1) GROUP BY ALL""")
 def orphan_adoption(spark, sf_dir):
-    """Samples on disk that no window owns become closed windows of their own."""
-    owned = _windows(spark, sf_dir).select("session_id", "display_id", F.col("s").alias("at"))
-    left = A.samples(spark, sf_dir).join(owned, ["session_id", "display_id", "at"], "left_anti")
-    return left.groupBy("session_id", "display_id", F.floor(F.col("at") / INTERVAL).alias("sequence")).agg(F.min("at").alias("s"), F.max("at").alias("e"), F.count(F.lit(1)).alias("sample_count"), F.lit("Stopped").alias("reason"))
+    """Files, three to a sequence here, whose (display, sequence) no window owns become closed windows of their own."""
+    owned = _windows(spark, sf_dir).where("sample_count > 1").select("session_id", "display_id", "sequence")
+    n = F.row_number().over(Window.partitionBy("session_id", "display_id").orderBy("at", "id")) - 1
+    files = A.samples(spark, sf_dir).withColumn("sequence", F.floor(n / 3))
+    left = files.join(owned, ["session_id", "display_id", "sequence"], "left_anti")
+    return left.groupBy("session_id", "display_id", "sequence").agg(F.min("at").alias("s"), F.max("at").alias("e"), F.count(F.lit(1)).alias("sample_count"), F.lit("Stopped").alias("reason"))
+
+
+GIVE_UP = 10
 
 
-@query("src14_failure_streak", """WITH o AS (SELECT event_id, user_id, event_type = 'error' AS failed, count(*) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events),
-n AS (SELECT *, CASE WHEN failed THEN sum(failed::INT) OVER (PARTITION BY user_id, g ORDER BY event_id) ELSE 0 END AS streak FROM o)
-SELECT event_id, streak::BIGINT AS streak, CASE WHEN streak = 0 THEN 'available' WHEN streak >= 3 THEN 'ended' ELSE 'occluded' END AS state FROM n""")
+@query("src14_failure_streak", f"""WITH o AS (SELECT event_id, ts, user_id, event_type NOT IN ('view', 'click') AS failed, count(*) FILTER (WHERE event_type IN ('view', 'click')) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events),
+n AS (SELECT *, CASE WHEN failed THEN sum(failed::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) ELSE 0 END AS streak FROM o)
+SELECT event_id, streak::BIGINT AS streak, CASE WHEN streak = 0 THEN 'available' WHEN streak >= {GIVE_UP} THEN 'ended' ELSE 'occluded' END AS state FROM n""")
 def failure_streak(spark, sf_dir):
-    """Failures in a row: a few leave a source occluded, three end it; a success resets."""
-    failed = F.when(F.col("event_type") == "error", 1).otherwise(0)
-    g = F.sum(1 - failed).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    e = A.table(spark, sf_dir, "events").withColumn("g", g)
-    streak = F.when(failed == 1, F.sum(failed).over(Window.partitionBy("user_id", "g").orderBy("ts", "event_id"))).otherwise(F.lit(0)).cast("long")
-    return e.select("event_id", streak.alias("streak"), F.when(streak == 0, "available").when(streak >= 3, "ended").otherwise("occluded").alias("state"))
+    """Failures in a row: some leave a source occluded, ten end it; a success resets."""
+    e = L.with_streaks(A.table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ~F.col("event_type").isin("view", "click"))
+    streak = F.col("streak")
+    return e.select("event_id", "streak", F.when(streak == 0, "available").when(streak >= GIVE_UP, "ended").otherwise("occluded").alias("state"))
 
 
 NOW, HOT, WARM, BUDGET = 960_000_000_000_000, 40_000_000_000_000, 80_000_000_000_000, 300_000_000
@@ -136,11 +170,11 @@ def retention_plan(spark, sf_dir):
     return L.retention_plan(A.segments(spark, sf_dir), NOW, HOT, WARM, BUDGET)
 
 
-@query("jn5_segment_ledger", f"""WITH {A.SEGMENTS_SQL}, x AS (SELECT l_orderkey AS sequence, l_linenumber::BIGINT AS display_id, sum(l_quantity::BIGINT)::BIGINT AS bytes FROM lineitem WHERE l_tax > 0.04 GROUP BY ALL)
+@query("jn5_segment_ledger", f"""WITH {A.SEGMENTS_SQL}, x AS (SELECT l_orderkey AS sequence, l_linenumber::BIGINT AS display_id, sum(l_quantity::BIGINT)::BIGINT AS bytes FROM lineitem GROUP BY ALL)
 SELECT g.display_id, g.sequence, coalesce(bytes, 0)::BIGINT AS bytes, g.sequence IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AS settled FROM segments g LEFT JOIN x USING (display_id, sequence)""")
 def segment_ledger(spark, sf_dir):
     """Closed windows with the bytes of their samples and whether they were summarised."""
-    li = A.table(spark, sf_dir, "lineitem").where("l_tax > 0.04")
+    li = A.table(spark, sf_dir, "lineitem")
     x = li.groupBy(F.col("l_orderkey").alias("sequence"), F.col("l_linenumber").cast("long").alias("display_id")).agg(F.sum(F.col("l_quantity").cast("long")).alias("bytes"))
     done = A.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("sequence"), F.lit(True).alias("settled")).distinct()
     g = A.segments(spark, sf_dir).select("display_id", "sequence")
