@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -468,3 +469,53 @@ def test_read_backs_are_spread(spark):
     pages = docs.select(F.monotonically_increasing_id().alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
     records = warc.read(warc.write(pages, scratch_path(spark, "warc")), 20_000)
     assert records.count() == len(rows) and records.select(spark_partition_id().alias("p")).distinct().count() > 3
+
+
+def test_main_text_of_odd_pages():
+    """Work is linear: none of these takes seconds, and no text is lost."""
+    words = lambda x: html_text.extract(x, None).split()
+    assert words("<div>" * 20_000 + "<p>deep") == ["deep"]
+    assert words("<p>" + "<b>a " * 20_000) == ["a"] * 20_000
+    assert words('<p>one<a href="x>two' * 3_001 + "<p>end")[-1] == "end"
+    assert words("<p>x" + "</li></td>" * 20_000 + "y") == ["x", "y"]
+    assert words("a < b <") == ["a", "<", "b", "<"] and words("<!-- never closed <p>x") == []
+
+
+class Slow(HTMLParser):
+    """The text of a page's article or main element by the standard library's parser, parts told by tag and class."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.out = [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text._INLINE | {"br", "hr", "img", "meta", "link", "input"}:
+            self.out += [" "] if tag in ("br", "hr") else []
+            return
+        a = {k: v or "" for k, v in attrs}
+        names = [x.lower() for x in re.findall("[A-Za-z]+", a.get("class", "") + " " + a.get("id", ""))]
+        while tag == "p" and self.stack and self.stack[-1][0] == "p":
+            self.stack.pop()
+        gone = tag in html_text._OUT_TAGS | {"script", "style"} or a.get("role", "") in html_text._OUT_ROLES or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "")
+        gone |= any(x in html_text._OUT_CLASSES for x in names) and tag not in ("body", "main")
+        self.stack.append((tag, gone))
+        self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        if any(t in ("article", "main") for t, _ in self.stack) and not any(g for _, g in self.stack):
+            self.out.append(data)
+
+
+def test_main_text_by_another_parser(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    rows = [r for r in pages.collect() if r.html and re.search("<(article|main)[ >]", r.html)]
+    assert len(rows) == len(got) and all(" ".join("".join(Slow(r.html).out).split()) == got[r.page_id] for r in rows)

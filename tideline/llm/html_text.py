@@ -11,12 +11,14 @@ From the container's text go menus, headers, footers, sidebars, notices, adverts
 and reader comments, told by element, role or class; nothing else is left out. Character references are decoded and
 white space becomes one space.
 
-Defined cases: null html or a page without text gives an empty text; null or odd urls have no host and vote for no one;
+Defined cases: quotes in a tag that never close are plain characters, there and in the rest of the page; elements nested
+deeper than `DEPTH` lie beside each other; null html or a page without text gives an empty text; null or odd urls have no host and vote for no one;
 repeated rows are extracted one by one; an empty table gives an empty result; further columns are ignored."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,8 +30,11 @@ from .common import Scratch, lookup_join
 
 SHARE = 0.1
 WEAK = 0.2
+#: Elements nested deeper lie beside each other, as browsers have it; the work on a page is then linear in its length.
+DEPTH = 512
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PART = re.compile(r"[A-Za-z]+")
@@ -53,19 +58,17 @@ _WORD = re.compile(r"\w")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "parent", "out", "score", "start", "end", "own", "kids", "words")
+    __slots__ = ("tag", "path", "parent", "box", "out", "score", "start", "end", "own", "kids", "words")
 
     def __init__(self, tag, path, parent, out, start):
         self.tag, self.path, self.parent, self.out, self.score, self.start, self.end = tag, path, parent, out, 0.0, start, -1
+        self.box: _Node = self if parent is None or tag in _CONTAINERS else parent.box  # the container it is or lies in
         self.own = self.words = False  # text with a word outside links: not in a container within, or at all
         self.kids: list[_Node] = []
 
     def holder(self):
         """The container around, or the root."""
-        up = self.parent
-        while up and up.tag not in _CONTAINERS and up.parent:
-            up = up.parent
-        return up
+        return self.parent and self.parent.box
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -79,30 +82,46 @@ class Page:
         self.pieces: list[str | None] = []  # None: a block begins or ends
         self.nodes: list[_Node] = []
         self.by_class = by_class
-        root = _Node("html", "html", None, False, 0)
-        self.stack, self.links = [root], 0
-        at, n = 0, len(html)
+        self.paths: list[tuple[int, str]] = [(-1, "html")]  # of each path the one around it and its last part
+        self.known: dict[tuple[int, str], int] = {}
+        root = _Node("html", 0, None, False, 0)
+        self.stack, self.links, self.opened = [root], 0, Counter()
+        at, n, last, quotes = 0, len(html), html.rfind(">"), True
         while at < n:
             lt = html.find("<", at)
-            if lt < 0:
+            if lt < 0 or lt > last:
                 self._text(html[at:])
                 break
             if lt > at:
                 self._text(html[at:lt])
-            m = _TAG.match(html, lt)
+            if html.startswith("<!--", lt):
+                end = html.find("-->", lt + 4)
+                at = end + 3 if end >= 0 else n
+                continue
+            if html.startswith(("<!", "<?"), lt):
+                at = html.find(">", lt) + 1
+                continue
+            m = _NAME.match(html, lt)
             if not m:
                 self._text("<")
                 at = lt + 1
                 continue
-            at = m.end()
-            tag = m[2] or m[5]
-            if not tag:
-                continue
-            tag = tag.lower()
-            if m[1] or m[4]:
+            tag, p = m[1].lower(), m.end()
+            end = -1
+            while quotes and (stop := _STOP.search(html, p)):
+                if stop[0] == ">":
+                    end = stop.start()
+                    break
+                close = html.find(stop[0], stop.end())
+                if close < 0:
+                    break
+                p = close + 1
+            if end < 0:  # quotes that don't close mean nothing in the rest of the page
+                quotes, end = False, html.find(">", m.end())
+            attributes, at = html[m.end() : end], end + 1
+            if html[lt + 1] == "/":
                 self._close(tag)
                 continue
-            attributes = m[3] or m[6] or ""
             if tag in _RAW and not attributes.endswith("/"):
                 end = _RAW[tag].search(html, at)
                 at = end.end() if end else n
@@ -123,9 +142,7 @@ class Page:
         n = len(text) - text.count(" ")
         if self.links:
             n = -n
-        near = top
-        while near.tag not in _CONTAINERS and near.parent:
-            near = near.parent
+        near = top.box
         near.score += n
         near.own = near.own or n > 0 and _WORD.search(text) is not None
         if near.parent and n > 0:
@@ -165,15 +182,40 @@ class Page:
             out = any(x in _OUT_CLASSES for x in names) or tag in ("div", "section") and names[0] in ("header", "footer") and not any(x.tag in _GOOD for x in stack)
         if attributes.endswith("/") and tag not in _CONTAINERS and tag not in _INLINE and tag != "p":
             return
-        kind = ".".join([tag, *sorted({re.sub(r"\d+", "#", c.lower()) for c in a.get("class", "").split()})])
+        if len(stack) >= DEPTH:
+            self._pop()
+            top = stack[-1]
         if tag not in _INLINE and not top.out:
             self.pieces.append(None)
-        node = _Node(tag, f"{top.path}>{kind}" if tag in _CONTAINERS else top.path, top, out, len(self.pieces))
+        path = top.path
+        if tag in _CONTAINERS:
+            kind = ".".join([tag, *sorted({re.sub(r"\d+", "#", c.lower()).replace(">", "_") for c in a.get("class", "").split()})])
+            path = self.known.setdefault((top.path, kind), len(self.paths))
+            if path == len(self.paths):
+                self.paths.append((top.path, kind))
+        node = _Node(tag, path, top, out, len(self.pieces))
         self.links += tag == "a"
+        self.opened[tag] += 1
         stack.append(node)
 
+    def path(self, node: _Node) -> str:
+        """The tags from the root to a container."""
+        parts, at = [], node.path
+        while at >= 0:
+            at, kind = self.paths[at]
+            parts.append(kind)
+        return ">".join(reversed(parts))
+
+    def number(self, path: str) -> int:
+        """A path's number on this page, -1 if it isn't there."""
+        at = 0
+        for kind in path.split(">")[1:]:
+            at = self.known.get((at, kind), -1)
+        return at
+
     def _pop(self) -> None:
         node = self.stack.pop()
+        self.opened[node.tag] -= 1
         node.end = len(self.pieces)
         self.links -= node.tag == "a"
         if node.tag not in _INLINE and not node.parent.out:
@@ -184,7 +226,7 @@ class Page:
             node.holder().kids.append(node)
 
     def _close_within(self, tag: str, stops: tuple[str, ...]) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
+        for i in range(len(self.stack) - 1, 0, -1) if self.opened[tag] else ():
             if self.stack[i].tag == tag:
                 while len(self.stack) > i:
                     self._pop()
@@ -198,7 +240,8 @@ class Page:
 
     def best(self, paths: list[str] | None = None) -> _Node | None:
         """The best container, or the best of those with one of the paths."""
-        some = [n for n in self.nodes if n.tag != "html" and n.score > 0 and (paths is None or n.path in paths)]
+        wanted = None if paths is None else {self.number(p) for p in paths}
+        some = [n for n in self.nodes if n.tag != "html" and n.score > 0 and (wanted is None or n.path in wanted)]
         top = max(some, key=lambda n: (n.score * (1.5 if n.tag in _GOOD else 1), -n.start), default=None)
         around = top
         while paths is None and around is not None:
@@ -229,7 +272,7 @@ class Page:
 def vote(html: str | None) -> str | None:
     page = Page(html or "")
     node = page.whole(page.best())
-    return node.path if node else None
+    return page.path(node) if node else None
 
 
 def extract(html: str | None, paths: list[str] | None) -> str:
@@ -276,7 +319,8 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
 
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     paths = Scratch(pages.sparkSession).table(host_paths(p), "host_paths")
-    return lookup_join(p, paths, "host", F.col("page_id")).select("page_id", "url", "html", "paths").mapInArrow(texts, "page_id long, url string, text string")
+    more = paths.select(F.sum(F.octet_length(F.array_join("paths", ""))).alias("n")).first()[0] or 0
+    return lookup_join(p, paths, "host", F.col("page_id"), more).select("page_id", "url", "html", "paths").mapInArrow(texts, "page_id long, url string, text string")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
