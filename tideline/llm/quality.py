@@ -85,7 +85,8 @@ def host_rates(feats: DataFrame, host: str = "source") -> DataFrame:
     hosts = feats.where(F.col(host).isNotNull()).groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), *[F.count_if(c).alias(f"{r}_failed") for r, c in failures().items()])
     share = lambda r: F.col(f"{r}_failed") / F.col("n_docs")
     prior = hosts.agg(*[x for r in RULES for x in (F.avg(share(r)).alias(f"{r}_m"), F.var_pop(share(r)).alias(f"{r}_v"))])
-    both = hosts.crossJoin(F.broadcast(prior))  # the prior is one row
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    both = one(hosts).join(F.broadcast(one(prior)), "__one")  # the prior is one row
     for r in RULES:
         m, v = F.col(f"{r}_m"), F.col(f"{r}_v")
         strength = F.when(v <= 0, F.lit(PRIOR_MAX)).otherwise(F.greatest(F.least(m * (1 - m) / v - 1, F.lit(PRIOR_MAX)), F.lit(PRIOR_MIN)))
@@ -108,17 +109,14 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
 
 
 def keep(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
-    """The documents that judge() keeps, with all their columns. The counts are made twice, once for the host sums
-    and once beside the rows, so that no text is shuffled or written."""
+    """The documents that judge() keeps, with all their columns. The rows are written once beside their counts, from
+    which the host sums are made and the verdicts joined, so that counts are made once and no text is shuffled."""
     scratch = Scratch(docs.sparkSession)
-    feats = scratch.table(features(docs.select(F.col(host).alias("source"), F.col(text).alias("text")), keep=("source",)), "quality")
-    bad = scratch.table(bad_hosts(host_rates(feats), host_limit=host_limit), "bad_hosts")
     (row,) = fresh(docs, "__row")
     inner = docs.select(F.struct(*docs.columns).alias(row), F.col(host).alias("source"), F.col(text).alias("text"))
-    inner = features(inner, keep=(row, "source"))
-    # not where(): the filter would be pushed below the counts, with a copy of their expressions
-    inner = inner.select(row, "source", F.explode(F.when(~base_failed(), F.array(F.lit(True)))).alias("__passed"))
-    return lookup_join(inner, bad, "source", F.xxhash64(row)).where(F.col("__bad").isNull()).select(f"{row}.*")
+    feats = scratch.table(features(inner, keep=(row, "source")), "quality")
+    bad = scratch.table(bad_hosts(host_rates(feats.drop(row)), host_limit=host_limit), "bad_hosts")
+    return lookup_join(feats.where(~base_failed()), bad, "source", F.xxhash64(row)).where(F.col("__bad").isNull()).select(f"{row}.*")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
