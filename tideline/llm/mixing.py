@@ -50,8 +50,9 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-def _hash(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def _hash(seed: str) -> Column:
+    """Of a row's doc_id and text, so that a doc_id of many rows, or a null one, spreads over shards and only equal rows tie."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("th")))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -84,20 +85,20 @@ def _plan(sizes: DataFrame, scratch: Scratch, block_words: int, weights: tuple[i
 
 
 def _sharded(rows: DataFrame, src: DataFrame) -> DataFrame:
-    number = F.pmod(F.conv(F.substring(_hash(F.col("doc_id"), SEED + "-shard"), 1, 8), 16, 10).cast("long"), F.col("n_shards"))
-    return lookup_join(rows, src, "skey", F.col("doc_id")).withColumn("shard", F.concat(F.col("skey"), F.lit("#"), number.cast("string")))
+    number = F.pmod(F.conv(F.substring(_hash(SEED + "-shard"), 1, 8), 16, 10).cast("long"), F.col("n_shards"))
+    return lookup_join(rows, src, "skey", F.col("th")).withColumn("shard", F.concat(F.col("skey"), F.lit("#"), number.cast("string")))
 
 
 def _drawn(rows: DataFrame, src: DataFrame, shards: DataFrame) -> DataFrame:
     """Adds passes and part: the words that the last, unfinished pass takes of each row."""
-    w = Window.partitionBy("shard").orderBy(_hash(F.col("doc_id"), SEED), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("shard").orderBy(_hash(SEED), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     r = _sharded(rows, src).withColumn("__start", F.sum("size").over(w) - F.col("size"))
-    r = lookup_join(r, shards, "shard", F.col("doc_id"))
+    r = lookup_join(r, shards, "shard", F.col("th"))
     return r.withColumn("part", F.greatest(F.least(F.col("size"), F.col("draw") - F.col("__start")), F.lit(0)))
 
 
 def _sizes(docs: DataFrame, doc_id: str, text: str, source: str, *more: Column) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), source_key(F.col(source)).alias("skey"), F.size(words_of(F.col(text))).cast("long").alias("size"), *more)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), source_key(F.col(source)).alias("skey"), F.size(words_of(F.col(text))).cast("long").alias("size"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("th"), *more)
 
 
 def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -131,7 +132,7 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 #: The parts that the pipeline's SQL shares. {docs}: a table with doc_id, source, text.
 MIX_SQL = r"""
-z AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS skey, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM {docs}),
+z AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS skey, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS th FROM {docs}),
 t0 AS (SELECT skey, source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM z GROUP BY skey, source),
 t1 AS (SELECT *, 3 * source_size AS cap, (sum(source_size) OVER ())::BIGINT AS total, (sum(w) OVER ())::BIGINT AS all_w FROM t0),
 t2 AS (SELECT *, coalesce(sum(cap) OVER o, 0)::BIGINT AS c0, coalesce(sum(w) OVER o, 0)::BIGINT AS w0 FROM t1
@@ -144,7 +145,7 @@ s0 AS (SELECT q0.*, least(coalesce(quota, 0) * 16, 3 * source_size) AS words FRO
 s1 AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes, greatest(ceil(source_size / 1048576), 1)::BIGINT AS n_shards FROM s0),
 s2 AS (SELECT *, round((words - passes * source_size) / 16)::BIGINT AS blocks FROM s1),
 d0 AS (SELECT z.*, source_size, target, passes, blocks,
-  z.skey || '#' || (('0x' || md5('mix-1-shard:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT % n_shards) AS shard, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  z.skey || '#' || (('0x' || md5('mix-1-shard:' || coalesce(doc_id::VARCHAR, '') || ':' || th)[1:8])::BIGINT % n_shards) AS shard, md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || th) AS h
   FROM z JOIN s2 USING (skey)),
 p0 AS (SELECT skey, shard, sum(size)::BIGINT AS words, max(blocks) AS blocks FROM d0 GROUP BY skey, shard),
 p1 AS (SELECT p0.*, words / (2 * k + 1) AS q FROM p0, unnest(range(0, CASE WHEN words > 0 THEN words // 16 + 2 ELSE 0 END)) AS u(k)),
