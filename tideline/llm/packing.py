@@ -1,12 +1,19 @@
-"""Best-fit packing of token sequences, longest pieces first (operator 1).
+"""Best-fit packing of token sequences in bulk-synchronous rounds (operator 1).
 
-Documents become pieces of at most `SIZE` ids. Each piece, from the longest down, goes to the smallest gap of an open
-sequence that takes it; a sequence is opened only when no gap does. Pieces of one length and gaps of one size are alike,
-so where they go follows from the number of pieces of each length alone: of the gaps of the smallest size that takes a
-length, each is filled with as many such pieces as it holds before the next. The driver gets these numbers, at most
-`SIZE` and one for each range of a sort by length, and plans runs: consecutive pieces of the sort that fill consecutive
-sequences alike. Each length splits a few groups of sequences at most, so the runs don't grow with the rows. Tasks then
-find each piece's run by its place in the sort. The result is that of sequential best fit, whatever the input.
+Documents become pieces of at most `SIZE` ids. Pieces over half a sequence open one each; the others follow in bands, from
+long to short. A round has four steps:
+
+1. The pieces of the band that are left and the gaps that could take one are range-sorted by size, the largest first. A
+   gap stands there once for each piece of the band that it takes for certain, at least once.
+2. A sweep down the sizes keeps the gaps passed on a stack, so that each piece finds its successor: the smallest gap not
+   smaller than it that no larger piece has taken. The sweep is distributed: a range reports its net count and lowest
+   point, the stack's depth at the start of every range follows from these few numbers, and
+3. conflicts resolve by rank: a piece takes the last gap before it that stands at the stack's depth it finds. Sizes are
+   whole numbers up to SIZE, so one depth holds few rows for each size.
+4. Gaps shrink by what they took and return to the band.
+
+Rounds repeat until no gap takes any piece of the band. Only then sequences are opened, in sorted order, by the pieces of
+which the fewest fit one sequence; what room these leave is offered to the others of the band in the next round.
 
 Defined cases: null and empty texts are one piece, the end id alone; repeated rows are packed one by one; an empty
 table gives an empty result; further columns are ignored."""
@@ -14,22 +21,24 @@ table gives an empty result; further columns are ignored."""
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, shared_dir
+from .common import Scratch
 from .tokens import encoder, vocabulary
 
 SIZE = 4096
 END_ID = 1
 #: Rows of a range, about.
 RANGE_ROWS = 250_000
+#: Bands of lengths end at these parts of a sequence. Pieces of which more than `MANY` fit a sequence open all at once.
+PARTS = (2, 3, 4, 6, 8, 16, 32, 64, 128, 256)
+MANY = 16
 
 
 def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
@@ -57,88 +66,102 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str |
     return d.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, length, n) of a range."""
-    found: dict[int, int] = {}
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers a range's rows and adds the count of the stack there, from 0 at the range's start, and its lowest point so
+    far: after a gap is pushed, before a piece takes one."""
+    part, count, low, done = TaskContext.get().partitionId(), 0, 0, 0
     for b in batches:
-        for length, n in zip(*np.unique(b.column("length").to_numpy(zero_copy_only=False), return_counts=True), strict=True):
-            found[int(length)] = found.get(int(length), 0) + int(n)
-    part = TaskContext.get().partitionId()
-    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([part] * len(found), list(found), list(found.values()))], ["part", "length", "n"])
-
-
-def plan(counts: dict[int, int], size: int = SIZE) -> np.ndarray:
-    """Runs (first, seq, each, offset): from place `first` of the pieces sorted by falling length, sequences from `seq`
-    on take `each` pieces at `offset`. counts: the number of pieces of each length."""
-    runs, place, opened = [], 0, 0
-    rooms: list[int] = []  # sizes of gaps, sorted
-    gaps: dict[int, list[tuple[int, int]]] = {}  # by size: first sequence and number of sequences
-
-    def add(room: int, seq: int, n: int) -> None:
-        if room and n:
-            if room not in gaps:
-                insort(rooms, room)
-                gaps[room] = []
-            gaps[room].append((seq, n))
-
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
-        while left:
-            i = bisect_left(rooms, length)
-            if i < len(rooms):
-                room = rooms[i]
-                seq, n = gaps[room].pop()
-                if not gaps[room]:
-                    del gaps[room], rooms[i]
-            else:
-                room, seq, n = size, opened, -(-left // (size // length))
-                opened += n
-            each = room // length
-            taken = min(left, n * each)
-            runs.append((place, seq, each, size - room))
-            full, more = divmod(taken, each)
-            add(room - each * length, seq, full)
-            if more:
-                add(room - more * length, seq + full, 1)
-            add(room, seq + full + (more > 0), n - full - (more > 0))
-            place, left = place + taken, left - taken
-    return np.array(runs, np.int64).reshape(-1, 4)
-
-
-def _places(starts: dict[int, int], runs: np.ndarray):
-    """Rows (pid, sequence_id, offset) of the sorted pieces; starts: the place of each range's first."""
+        if not b.num_rows:
+            continue
+        step = 1 - 2 * b.column("kind").to_numpy(zero_copy_only=False).astype(np.int64)
+        after = count + np.cumsum(step)
+        least = np.minimum(low, np.minimum.accumulate(after))
+        before, least_before = np.concatenate([[count], after[:-1]]), np.concatenate([[low], least[:-1]])
+        piece = step < 0
+        own = (np.full(len(step), part), done + np.arange(len(step)), after, least, np.where(piece, before, after), np.where(piece, least_before, least))
+        count, low, done = int(after[-1]), int(least[-1]), done + len(step)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("kind", "id", "size")), *(pa.array(x, pa.int64()) for x in own)], ["kind", "id", "size", "part", "at", "after", "least", "count", "low"])
+
+
+def _matched(gaps: DataFrame, pieces: DataFrame, n: int, longest: int, size: int, scratch: Scratch) -> DataFrame:
+    """One sweep: (pid, seq, length, offset) of the pieces (pid, length) that a gap (seq, room) takes."""
+    slots = F.explode(F.sequence(F.lit(1), F.greatest(F.floor(F.col("room") / longest), F.lit(1)).cast("int")))
+    g = gaps.select(F.lit(0).alias("kind"), F.col("seq").alias("id"), F.col("room").alias("size"), slots.alias("slot")).drop("slot")
+    u = g.unionByName(pieces.select(F.lit(1).alias("kind"), F.col("pid").alias("id"), F.col("length").alias("size")))
+    order = [F.col("size").desc(), F.col("kind"), F.col("id")]
+    u = u.repartitionByRange(max(1, -(-n // RANGE_ROWS)), *order).sortWithinPartitions(*order)
+    u = scratch.table(u.mapInArrow(_sweep, "kind int, id long, size long, part long, at long, after long, least long, count long, low long"), "sweep")
+    depth, starts = 0, [(-1, 0)]
+    ends = u.groupBy("part").agg(F.max(F.struct("at", "after"))["after"].alias("net"), F.min("least").alias("low")).orderBy("part")
+    for r in ends.collect():  # a row for each range
+        starts.append((r.part, depth))
+        depth = max(depth + r.net, r.net - r.low)
+    starts = u.sparkSession.createDataFrame(starts, "part long, depth long")
+    level = F.col("depth") + F.col("count") - F.least(F.col("depth") + F.col("low"), F.lit(0))
+    x = u.join(F.broadcast(starts), "part").withColumn("level", level).where("level > 0")  # starts: a row for each range
+    w = Window.partitionBy("level").orderBy("part", "at")
+    met = x.select("kind", "id", "size", F.lag("id").over(w).alias("seq"), F.lag("size").over(w).alias("room")).where("kind = 1")
+    w = Window.partitionBy("seq").orderBy(F.col("size").desc(), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return scratch.table(met.select(F.col("id").alias("pid"), "seq", F.col("size").alias("length"), (size - F.col("room") + F.sum("size").over(w) - F.col("size")).alias("offset")), "placed")
+
+
+def _opened(pieces: DataFrame, n: int, size: int, number: int, scratch: Scratch) -> DataFrame:
+    """(pid, seq, length, offset) of pieces (pid, length) that open sequences, each range its own, in sorted order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = starts.get(TaskContext.get().partitionId(), 0)
+        first = -(((number + 1) << 54) + (TaskContext.get().partitionId() << 30))  # below zero: no piece's number
+        opened, fill = 0, size
         for b in batches:
-            if not b.num_rows:
-                continue
-            at = place + np.arange(b.num_rows)
-            place += b.num_rows
-            first, seq, each, offset = runs[np.searchsorted(runs[:, 0], at, "right") - 1].T
-            nth, within = np.divmod(at - first, each)
-            offset = offset + within * b.column("length").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([b.column("pid"), pa.array(seq + nth, pa.int64()), pa.array(offset, pa.int64())], ["pid", "sequence_id", "offset"])
+            out = []
+            for pid, length in zip(b.column("pid").to_pylist(), b.column("length").to_pylist(), strict=True):
+                if fill + length > size:
+                    opened, fill = opened + 1, 0
+                out.append((pid, first - opened, length, fill))
+                fill += length
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, ["pid", "seq", "length", "offset"])
 
-    return run
+    order = [F.col("length").desc(), F.col("pid")]
+    u = pieces.select("pid", "length").repartitionByRange(max(1, -(-n // RANGE_ROWS)), *order).sortWithinPartitions(*order)
+    return scratch.table(u.mapInArrow(run, "pid long, seq long, length long, offset long"), "placed")
 
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """pieces with sequence_id and offset. pieces: any DataFrame with a column length, from 1 to size."""
     scratch = Scratch(pieces.sparkSession)
-    if pieces.sparkSession.sparkContext.getCheckpointDir() is None:
-        pieces.sparkSession.sparkContext.setCheckpointDir(shared_dir(pieces.sparkSession))
     t = scratch.table(pieces.withColumn("pid", F.monotonically_increasing_id()), "pieces")
-    order = [F.col("length").desc(), F.col("pid")]
-    u = t.select("pid", F.col("length").cast("long").alias("length"))
-    u = u.repartitionByRange(max(1, -(-t.count() // RANGE_ROWS)), *order).sortWithinPartitions(*order).checkpoint()  # the two passes must see the same ranges
-    starts, counts, place = {}, {}, 0
-    for r in sorted(u.mapInArrow(_lengths, "part long, length long, n long").collect(), key=lambda r: (r.part, -r.length)):
-        starts.setdefault(r.part, place)
-        counts[r.length] = counts.get(r.length, 0) + r.n
-        place += r.n
-    placed = u.mapInArrow(_places(starts, plan(counts, size)), "pid long, sequence_id long, offset long")
-    return t.join(placed, "pid").drop("pid")
+    p = t.select("pid", F.col("length").cast("long").alias("length"))
+    own = p.where(F.col("length") > size // 2)
+    placed = [own.select("pid", F.col("pid").alias("seq"), "length", F.lit(0).cast("long").alias("offset"))]
+    gaps = own.where(F.col("length") < size).select(F.col("pid").alias("seq"), (size - F.col("length")).alias("room"))
+    ends = [size // k for k in PARTS if size // k] + [0]
+    bands = [(lo, hi) for hi, lo in zip(ends, ends[1:], strict=False) if lo < hi]
+    many = p.where(F.col("length") <= size // 2).groupBy(sum((F.when(F.col("length") <= lo, 1).otherwise(0) for lo, _ in bands), F.lit(0)).alias("band")).count().collect()  # a row for each band
+    for band, n in sorted(tuple(r) for r in many):
+        lo, hi = bands[band]
+        left = p.where((F.col("length") > lo) & (F.col("length") <= hi))
+        while n:
+            sizes = left.agg(F.min("length"), F.max("length")).first()
+            able = gaps.where(F.col("room") >= sizes[0])
+            room = able.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.floor(F.col("room") / sizes[1]), F.lit(1))), F.lit(0))).first()
+            if room[0]:
+                new = _matched(able, left, n + room[1], sizes[1], size, scratch)
+            fits = new.count() if room[0] else 0
+            if not fits:
+                class_ = size // sizes[1]
+                some = left if class_ >= MANY else left.where(F.col("length") > size // (class_ + 1))
+                new = _opened(some, n, size, len(placed), scratch)
+                fits = new.count()
+            placed.append(new)
+            taken = new.groupBy("seq").agg(F.sum("length").alias("taken"))
+            both = gaps.join(taken, "seq", "full").select("seq", (F.coalesce("room", F.lit(size)) - F.coalesce("taken", F.lit(0))).alias("room"))
+            gaps = scratch.table(both.where("room > 0"), "gaps")
+            n -= fits
+            if n:
+                left = scratch.table(left.join(new.select("pid"), "pid", "left_anti"), "left")
+    every = placed[0]
+    for x in placed[1:]:
+        every = every.unionByName(x)
+    return t.join(every.select("pid", F.col("seq").alias("sequence_id"), "offset"), "pid").drop("pid")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
