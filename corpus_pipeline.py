@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import line_dedup, mixing, ngram_join, packing, quality
-from tideline.llm.common import Scratch
+from tideline.llm.common import remove, scope, scratch_path
 
 #: Fuzzy lines and near duplicates can't be said in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
@@ -49,13 +49,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if n == len(STAGES) - 1:
-            return out
-        new = scratch.table(out, f"stage{n}")
-        scratch.drop(docs)
-        docs = new
-    return docs
+    """The last stage's rows. Each stage's own scratch tables go once its result is written, its input with them."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        path = scratch_path(spark, f"stage{n}")
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if read:
+            remove(spark, read)
+        docs, read = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
