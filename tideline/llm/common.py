@@ -42,7 +42,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _written: list[str] = []
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     if path in _written:
@@ -54,9 +55,11 @@ def scope(spark: SparkSession) -> Iterator[None]:
     """Removes the scratch tables and files that were written within, at its end; results must have been written by then.
     Operators return DataFrames that still read theirs, so it is the caller who knows when they can go."""
     before = set(_written)
-    yield
-    for path in [p for p in _written if p not in before]:
-        _delete(spark, path)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before]:
+            remove(spark, path)
 
 
 class Scratch:
@@ -77,7 +80,7 @@ class Scratch:
         for t in tables:
             _, path = self.paths.pop(id(t), (None, None))
             if path:
-                _delete(self.spark, path)
+                remove(self.spark, path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
