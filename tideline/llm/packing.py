@@ -36,9 +36,9 @@ SIZE = 4096
 END_ID = 1
 #: Rows of a range, about.
 RANGE_ROWS = 250_000
-#: Bands of lengths end at these parts of a sequence. Pieces of which more than `MANY` fit a sequence open all at once.
-PARTS = (2, 3, 4, 6, 8, 16, 32, 64, 128, 256)
-MANY = 16
+#: Bands of lengths end at these parts of a sequence. Pieces of which `MANY` or more fit a sequence open all at once.
+PARTS = (2, 3, 4, 6, 12, 48)
+MANY = 4
 
 
 def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
