@@ -66,12 +66,15 @@ def digest(entries: DataFrame, start: int, end: int) -> DataFrame:
     label. Seconds are of the union of intervals, for the category and, as recorded, for all."""
     c = entries.select("category", "activity", F.greatest("s", F.lit(start)).alias("s"), F.least("e", F.lit(end)).alias("e"))
     c = c.withColumn("secs", F.greatest(F.when(F.col("e") > F.col("s"), whole_seconds(F.col("s"), F.col("e"))), F.lit(0)))
-    some = c.where("secs > 0")
-    counts = c.groupBy("category").agg(F.count(F.lit(1)).alias("entries"))
-    seconds = covered_seconds(some.select("category", "s", "e"), ["category"])
-    recorded = covered_seconds(some.select(F.lit(1).alias("__all"), "s", "e"), ["__all"]).agg(F.coalesce(F.sum("seconds"), F.lit(0)).alias("recorded"))
-    names = activity_labels(some, ["category"])
-    out = counts.join(seconds, "category", "left").join(names, "category", "left").crossJoin(F.broadcast(recorded))  # a row for each category
+    labels = c.groupBy("category", "activity").agg(F.count(F.lit(1)).alias("n"), F.max("secs").alias("m"))
+    label = F.when((F.col("m") > 0) & (F.col("activity") != ""), F.struct((-F.col("m")).alias("m"), "activity"))
+    names = labels.groupBy("category").agg(F.sum("n").alias("entries"), F.transform(F.sort_array(F.collect_list(label)), lambda x: x["activity"]).alias("labels"))
+    # each span counts for its category and, under null, for all
+    spans = c.where("secs > 0").select(F.explode(F.array("category", F.lit(None).cast("string"))).alias("__of"), "s", "e")
+    seconds = covered_seconds(spans, ["__of"])
+    out = names.join(seconds, F.col("category") == F.col("__of"), "full")  # a row for each category, and one for all
+    recorded = F.coalesce(F.max(F.when(F.col("category").isNull(), F.col("seconds"))).over(Window.partitionBy()), F.lit(0))
+    out = out.withColumn("recorded", recorded).where("category is not null")
     zero = F.coalesce("seconds", F.lit(0))
     all_ = F.sum(zero).over(Window.partitionBy())
     percent = F.when(all_ > 0, F.round(zero / all_ * 1000) / 10).otherwise(F.lit(0.0))
