@@ -522,3 +522,45 @@ def test_main_text_by_another_parser(spark):
     got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
     rows = [r for r in pages.collect() if r.html and re.search("<(article|main)[ >]", r.html)]
     assert len(rows) == len(got) and all(" ".join("".join(Slow(r.html).out).split()) == got[r.page_id] for r in rows)
+
+
+def test_hot_keys_are_salted(spark, monkeypatch):
+    from tideline.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 5_000)
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    big = spark.range(2000).select(F.when(F.col("id") < 1400, 0).otherwise(F.col("id")).alias("k"), "id").withColumn("__salt", F.lit("x"))
+    small = spark.range(1800).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = common.lookup_join(big, small, "k", F.col("id"))
+    assert "pmod" in got._jdf.queryExecution().toString() and got.columns == ["k", "id", "__salt", "v"]
+    assert Counter((r.k, r.id, r.v) for r in got.collect()) == Counter((k, i, 2 * k if k < 1800 else None) for i in range(2000) for k in [0 if i < 1400 else i])
+
+
+def test_similar_in_blocks(spark, monkeypatch):
+    """A band cut into blocks gives the links of one that isn't."""
+    from tideline.llm import neardup
+
+    base = text_of(50, 80).split()
+    rows = []
+    for i in range(260):
+        r = random.Random(1000 + i)
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"v{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = Counter(map(tuple, ngram_join.classes(d).collect()))
+    monkeypatch.setattr(neardup, "BLOCK_ITEMS", 40)
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.classes(d).collect()) == Counter((r[0], r[3], r[4]) for r in whole)
+
+
+def test_scope(spark):
+    import os
+
+    from tideline.llm import common
+
+    folder = common.shared_dir(spark).removeprefix("file://") + "/tideline"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with common.scope(spark):
+        assert ngram_join.classes(spark.createDataFrame(ROWS, DOCS)).count() == len(ROWS)
+    assert set(os.listdir(folder)) == before
