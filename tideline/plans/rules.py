@@ -431,10 +431,15 @@ def _quads(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.when(k == 0, F.array(c, a, d, b)).when(k == 1, F.array(b, c, d, a)).when(k == 2, F.array(a, a, c, d)).otherwise(F.array(d, c, b, a)).alias("q"))
 
 
+def _ordered(spark, sf_dir):
+    """A generator between, so that the order is made once for the many expressions that read it."""
+    return _quads(spark, sf_dir).select("event_id", F.explode(F.array(R.ordered_quad(F.col("q")))).alias("o"))
+
+
 @query("geo12_quad_order", f"WITH {QUADS_SQL} SELECT event_id, k <> 2 AS valid, CASE WHEN k <> 2 THEN x || ',' || y || ' ' || (x + w) || ',' || y || ' ' || (x + w) || ',' || (y + h) || ' ' || x || ',' || (y + h) END AS corners FROM c")
 def quad_order(spark, sf_dir):
     """Corners clockwise from the top left, if they make a convex quad."""
-    q = _quads(spark, sf_dir).withColumn("o", R.ordered_quad(F.col("q"))).withColumn("valid", R.valid_quad(F.col("o")))
+    q = _ordered(spark, sf_dir).withColumn("valid", R.valid_quad(F.col("o")))
     whole = lambda c: c.cast("long").cast("string")
     text = F.array_join(F.transform("o", lambda p: F.concat_ws(",", whole(p["x"]), whole(p["y"]))), " ")
     return q.select("event_id", "valid", F.when(F.col("valid"), text).alias("corners"))
@@ -443,7 +448,7 @@ def quad_order(spark, sf_dir):
 @query("fil13_clipped_corners", f"""WITH {QUADS_SQL}, e AS (SELECT event_id, x <= 10 AS l, x + w >= 429 AS r, y <= 10 AS t, y + h >= 289 AS b FROM c WHERE k <> 2)
 SELECT event_id, array_to_string(list_filter([CASE WHEN l OR t THEN 'top_left' END, CASE WHEN r OR t THEN 'top_right' END, CASE WHEN r OR b THEN 'bottom_right' END, CASE WHEN l OR b THEN 'bottom_left' END], lambda x: x IS NOT NULL), ',') AS clipped FROM e""")
 def clipped(spark, sf_dir):
-    q = _quads(spark, sf_dir).withColumn("o", R.ordered_quad(F.col("q"))).where(R.valid_quad(F.col("o")))
+    q = _ordered(spark, sf_dir).where(R.valid_quad(F.col("o")))
     return q.select("event_id", F.array_join(R.clipped_corners(F.col("o"), 440, 300, 10.0), ",").alias("clipped"))
 
 
