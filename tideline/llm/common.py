@@ -29,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
         sc.setCheckpointDir(folder)
-    return folder if "://" in folder else "file://" + folder if folder.startswith("/") else folder
+    folder = folder.removeprefix("file:") if folder.startswith("file:/") and "://" not in folder else folder
+    return "file://" + folder if folder.startswith("/") else folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
