@@ -180,6 +180,7 @@ def test_reading_order():
 
 
 def test_identities(spark):
+    """The identity of a region and of a source."""
     fields = F.concat(*[S.little_endian(F.lit(v)) for v in (0, 2, 100, 200, 300, 400)])
     text = lambda s: F.array(*[F.lit(b) for b in s])
     source = F.concat(text(b"display"), F.array(F.lit(255)), text(b"DP-1"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # -- change detection -------------------------------------------------------------------------------------------------
 
+#: Bounds of a change, by mean difference and by share of pixels, the tolerance of a pixel, and the least deviation.
 MAGNITUDE, PROPORTION, TOLERANCE, STD_FLOOR = 6.0, 0.4, 2, 8.0
 
 
