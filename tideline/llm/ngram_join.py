@@ -45,17 +45,26 @@ class _WordHash(dict):
 _hashes = _WordHash()
 
 
-def ngrams(text: str | None) -> np.ndarray:
-    """The distinct n-grams of a text, hashed and sorted."""
+def hashed_words(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words, in order."""
     words = _words(text or "")
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def joined(w: np.ndarray) -> np.ndarray:
+    """The hashed n-grams of hashed words, in order; fewer than N words make one, none makes none."""
     n = min(N, len(w))
     if not n:
         return w
     h = np.zeros(len(w) - n + 1, np.uint64)
     for j in range(n):
         h = (h ^ w[j : len(w) - n + 1 + j]) * _STEP + np.uint64(j)
-    return np.unique(neardup.mix64(h))
+    return neardup.mix64(h)
+
+
+def ngrams(text: str | None) -> np.ndarray:
+    """The distinct n-grams of a text, hashed and sorted."""
+    return np.unique(joined(hashed_words(text)))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, one for each operator, and their SQL."""
 
-from . import bitplanes, html_text, line_dedup, mixing, ngram_join, packing, quality, secrets, topk, warc
+from . import bitplanes, fill_middle, fingerprints, html_text, line_dedup, merkle, mixing, ngram_join, packing, quality, secrets, topk, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8,
     "op9_source_mixing": mixing.op9,
     "op10_quality_rules": quality.op10,
+    "op11_fill_middle": fill_middle.op11,
+    "op12_merkle_manifest": merkle.op12,
+    "op13_fingerprints": fingerprints.op13,
 }
 
 ORACLES = {
@@ -21,4 +24,6 @@ ORACLES = {
     "op7_secret_scans": secrets.ORACLE_SQL,
     "op9_source_mixing": mixing.ORACLE_SQL,
     "op10_quality_rules": quality.ORACLE_SQL,
+    "op11_fill_middle": fill_middle.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
 }
