@@ -182,7 +182,7 @@ def plain_print(text):
     grams = [int(g) for g in np.unique(fingerprints.joined(fingerprints.hashed_words(text)))]
     assert len(grams) == len(shingles(text))
     mixed = lambda x: int(neardup.mix64(np.array([x], np.uint64))[0])
-    least = [min(((mixed(j) | 1) * g + mixed(j + 1000)) % 2**64 for g in grams) if grams else 2**64 - 1 for j in range(1, fingerprints.HASHES + 1)]
+    least = [min(((mixed(j) >> 32 | 1) * (g >> 32) + (mixed(j + 1000) >> 32)) % 2**32 for g in grams) if grams else 2**32 - 1 for j in range(1, fingerprints.HASHES + 1)]
     return "".join(f"{mixed(x) >> 48:04x}" for x in least)
 
 
@@ -264,6 +264,6 @@ def test_likeness_estimates_jaccard():
         for _ in range(r.randint(1, 60)):
             w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
         a, b = shingles(" ".join(words)), shingles(" ".join(w))
-        x, y = (fingerprints.printed(s) for s in fingerprints.two_signatures(*(fingerprints.hashed_words(" ".join(t)) for t in (words, w))))
+        x, y = (fingerprints.printed(fingerprints.Document(" ".join(t)).sig) for t in (words, w))
         off.append(fingerprints.likeness(x, y, False, False) - len(a & b) / len(a | b))
     assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.06

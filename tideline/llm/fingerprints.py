@@ -1,7 +1,7 @@
 """MinHash fingerprints of documents, near pairs by signature bands, and fingerprints of edited texts (operator 13).
 
 Shingles are five words, or all words of a text that has fewer. `HASHES` universal hash functions x -> a * x + b with odd a,
-permutations of the 64-bit numbers, are applied to all shingles of a text at once; a signature holds the least value of
+permutations of the 32-bit numbers, are applied to many shingles of a text at once; a signature holds the least value of
 each, and a fingerprint 16 mixed bits of each in hex. The likeness of two fingerprints is the share of equal places, which
 estimates the Jaccard similarity of the shingle sets. Bands of signatures are joined in Spark, and the pairs that share one
 are verified on their whole shingle sets (`neardup.similar`).
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import Scratch, lookup_join
+from .common import BLANKS, Scratch, lookup_join
 from .ngram_join import N, hashed_words, joined, sets_of
 
 HASHES = 128
@@ -37,44 +37,57 @@ BANDS, ROWS = neardup.banding(neardup.NUM / neardup.DEN, RECALL, HASHES)
 RANGE_BYTES = 16 << 20
 MOST_RANGES = 200_000
 #: Shingles that are hashed at once: with all functions they fit a core's cache.
-AT_ONCE = 256
+AT_ONCE = 1024
 _LEAST = -(1 << 63)
 
-_A = neardup.mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
-_B = neardup.mix64(np.arange(1001, 1001 + HASHES, dtype=np.uint64))
+_A = (neardup.mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_B = (neardup.mix64(np.arange(1001, 1001 + HASHES, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
 def signature(shingles: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-    """The least value of a set under each hash function. start: the signature of shingles that are in it besides."""
-    sig = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64) if start is None else start.copy()
-    work = np.empty((HASHES, min(AT_ONCE, max(1, len(shingles)))), np.uint64)
-    for i in range(0, len(shingles), AT_ONCE):
-        x = shingles[i : i + AT_ONCE]
-        part = work[:, : len(x)]
-        np.multiply(_A[:, None], x[None, :], out=part)
-        part += _B[:, None]
-        np.minimum(sig, part.min(axis=1), out=sig)
+    """The least value of a set of hashed shingles under each function. start: the signature of others that are in it."""
+    sig = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32) if start is None else start
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    work = np.empty((HASHES, min(AT_ONCE, max(1, len(x)))), np.uint32)
+    for i in range(0, len(x), AT_ONCE):
+        some = x[i : i + AT_ONCE]
+        part = work[:, : len(some)]
+        np.multiply(_A[:, None], some[None, :], out=part)
+        np.add(part, _B[:, None], out=part)
+        sig = np.minimum(sig, part.min(axis=1))
     return sig
 
 
 def printed(sig: np.ndarray) -> np.ndarray:
     """A signature's fingerprint: 16 bits of each value."""
-    return (neardup.mix64(sig) >> np.uint64(48)).astype(">u2")
+    return (neardup.mix64(sig.astype(np.uint64)) >> np.uint64(48)).astype(">u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray, a_empty: bool, b_empty: bool) -> float:
     return float(a_empty == b_empty) if a_empty or b_empty else float(np.mean(a == b))
 
 
-def two_signatures(own: np.ndarray, edited: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of two texts from the hashes of their words; what both begin with is hashed once."""
-    n = min(len(own), len(edited))
-    differ = np.flatnonzero(own[:n] != edited[:n])
-    same = int(differ[0]) if len(differ) else n
-    a, b = joined(own), joined(edited)
-    shared = max(0, same - N + 1) if min(len(own), len(edited)) >= N else 0
-    start = signature(a[:shared])
-    return signature(a[shared:], start), signature(b[shared:], start)
+class Document:
+    """A text with its signature, and what an edit of its last quarter leaves of both."""
+
+    def __init__(self, text: str):
+        self.text, self.kept = text, len(text) - len(text) // 4
+        cut = 1 + max(text.rfind(c, 0, self.kept) for c in BLANKS)  # words in front of it stay
+        self.rest = text[cut : self.kept]
+        self.words = hashed_words(text[:cut])
+        self.start = signature(joined(self.words)) if len(self.words) >= N else None
+        self.sig, self.empty = self._of(text[cut:])
+
+    def _of(self, rest: str) -> tuple[np.ndarray, bool]:
+        """The signature of the words that stay and those of another rest."""
+        all_ = np.concatenate([self.words[1 - N :] if self.start is not None else self.words, hashed_words(rest)])
+        new = joined(all_) if self.start is None or len(all_) >= N else all_[:0]
+        return signature(new, self.start), self.start is None and not len(all_)
+
+    def edited(self, after: str) -> tuple[str, np.ndarray, bool]:
+        """The edited text, its signature and whether it has no words."""
+        more = after[: len(self.text) - self.kept]
+        return self.text[: self.kept] + more, *self._of(self.rest + more)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +97,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = batch.slice(at, 512)
             sets = [np.unique(joined(hashed_words(t))) for t in b.column("text").to_pylist()]
             ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            keys = neardup.band_keys(np.stack([signature(s) for s in sets]), BANDS, ROWS)
+            keys = neardup.band_keys(np.stack([signature(s) for s in sets]).astype(np.uint64), BANDS, ROWS)
             bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(ids, pa.binary()), b.column("bytes"), bands], ["doc_id", "th", "id", "bytes", "bands"])
 
@@ -191,19 +204,16 @@ def _dealt(d: DataFrame, info: DataFrame, ranges: int) -> DataFrame:
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a range in order, a row for each row of each document, once the text after it is known."""
     unpack = zstandard.ZstdDecompressor().decompress
-    held = None  # the document whose next one is still to come: its key, text, words and signature, and what is known of it
+    held = None  # the document whose next one is still to come: its key, what is known of it, its text and signature
     out: list[tuple] = []
     known = None
 
-    def result(doc: tuple, text: str, words: np.ndarray) -> tuple:
-        (doc_id, class_id, n_links, _), own, own_words = doc
-        q = len(own) // 4
-        new = own[: len(own) - q] + text[:q]
-        new_words = hashed_words(new)
-        sig, sig_new = two_signatures(own_words, new_words)
-        a, b, c = printed(sig), printed(sig_new), printed(signature(joined(words)))
-        near = likeness(a, b, not len(own_words), not len(new_words)), likeness(a, c, not len(own_words), not len(words))
-        return doc_id, len(own), hashlib.sha256(new.encode()).hexdigest(), a.tobytes().hex(), b.tobytes().hex(), *near, class_id, n_links
+    def result(of: tuple, doc: Document, after: Document) -> tuple:
+        doc_id, class_id, n_links, _ = of
+        new, sig, empty = doc.edited(after.text)
+        a, b, c = printed(doc.sig), printed(sig), printed(after.sig)
+        near = likeness(a, b, doc.empty, empty), likeness(a, c, doc.empty, after.empty)
+        return doc_id, len(doc.text), hashlib.sha256(new.encode()).hexdigest(), a.tobytes().hex(), b.tobytes().hex(), *near, class_id, n_links
 
     def batch() -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
@@ -218,16 +228,15 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if held is None and late:  # the text after the last document, again
                 continue
-            text = unpack(body).decode()
-            words = hashed_words(text)
+            doc = Document(unpack(body).decode())
             if held is not None:
-                row = result(held[1:], text, words)
+                row = result(*held[1:], doc)
                 for _ in range(held[1][3]):
                     out.append(row)
                     if len(out) == 2048:
                         yield batch()
                         out.clear()
-            held = None if late else ((hi, th), known[1], text, words)
+            held = None if late else ((hi, th), known[1], doc)
     if out:
         yield batch()
 
