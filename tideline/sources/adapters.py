@@ -150,3 +150,70 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGIONS_SQL = """regions AS (SELECT p_partkey // 12 AS frame_id, p_partkey % 12 AS idx, (p_partkey * 37) % 400 AS x, (p_partkey * 53) % 300 AS y, (p_size * 9 + 5)::BIGINT AS w, (p_size * 7 + 3)::BIGINT AS h,
   p_partkey % 5 AS granularity, (p_partkey * 7) % 10 AS trust, (p_partkey // 12) % 2 AS display_id, ['wm', 'at_spi', 'ocr'][p_partkey % 3 + 1] AS source FROM part)"""
+
+
+def _bytes(pixels):
+    return F.unhex(F.array_join(F.transform(pixels, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+
+
+def _level(scale: int):
+    return F.transform("embedding", lambda x: F.least(F.greatest(F.round(128 + scale * x.cast("double")), F.lit(0)), F.lit(255)).cast("int"))
+
+
+def _level_sql(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: least(greatest(round(128 + {scale} * x::DOUBLE), 0), 255)::INT)"
+
+
+def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame_id, burst, seq, w, h, stride, data): small BGRA frames, some with padded rows, in bursts of up to eight."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 11 <> 0")
+    burst = F.floor(F.col("vec_id") / 8)
+    return e.select(F.col("vec_id").alias("frame_id"), burst.alias("burst"), (F.col("vec_id") % 8).alias("seq"), (3 + burst % 2).cast("int").alias("w"), F.lit(4).alias("h"), F.lit(16).alias("stride"), _bytes(_level(300)).alias("data"))
+
+
+SHOTS_SQL = f"""shots AS (SELECT vec_id AS frame_id, vec_id // 8 AS burst, vec_id % 8 AS seq, 3 + (vec_id // 8) % 2 AS w, 4 AS h, 16 AS stride, {_level_sql(300)} AS px
+  FROM embeddings WHERE vec_id % 11 <> 0)"""
+
+
+def _rows(spark: SparkSession, sf_dir: str, rows: int, pixels) -> DataFrame:
+    """(frame_id, h, data): frames whose rows are those of consecutive vectors."""
+    r = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / rows).alias("frame_id"), F.hex(_bytes(pixels)).alias("row"))
+    whole = F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "row"))), lambda x: x["row"]), ""))
+    return r.groupBy("frame_id").agg(F.count(F.lit(1)).cast("int").alias("h"), whole.alias("data"))
+
+
+def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame_id, w, h, stride, data): BGRA frames of 16 by 16 pixels, the last one lower."""
+    return _rows(spark, sf_dir, 16, _level(300)).select("frame_id", F.lit(16).alias("w"), "h", F.lit(64).alias("stride"), "data")
+
+
+SCREENS_SQL = f"""screens AS (SELECT vec_id // 16 AS frame_id, count(*) AS h, list({_level_sql(300)} ORDER BY vec_id) AS px FROM embeddings GROUP BY 1)"""
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame_id, w, h, stride, data): BGRA frames of eight rows of 640 gray pixels, ten alike beside each other."""
+    pixels = F.flatten(F.transform(_level(600), lambda v: F.array_repeat(v, 40)))
+    return _rows(spark, sf_dir, 8, pixels).select("frame_id", F.lit(640).alias("w"), "h", F.lit(2560).alias("stride"), "data")
+
+
+WIDE_SQL = f"""wide AS (SELECT vec_id // 8 AS frame_id, i, count(*) AS n, sum(px[i + 1])::BIGINT AS s, sum(px[i + 1] * px[i + 1])::BIGINT AS q
+  FROM (SELECT vec_id, {_level_sql(600)} AS px FROM embeddings), range(64) t(i) GROUP BY ALL)"""
+#: How far a burst's frames are moved to the right.
+_MOVED_SQL = "CASE WHEN {b} % 5 = 0 THEN 20 * {k} WHEN ({b} * 7 + {k} * 5) % 4 = 3 THEN 9 ELSE ({b} + {k}) % 2 END"
+_FRAMES_SQL = "CASE WHEN {b} % 5 = 0 THEN 2 ELSE 4 + {b} % 3 END"
+
+
+def moved_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(burst, seq, w, h, stride, data): bursts of 64 by 16 gray pixels that go round to the right from frame to frame."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 16).alias("burst"), _level(300).alias("px"))
+    rows = rows.withColumn("seq", F.explode(F.sequence(F.lit(0), F.expr(_FRAMES_SQL.format(b="burst")).cast("int") - 1))).withColumn("by", F.expr(_MOVED_SQL.format(b="burst", k="seq")).cast("int"))
+    px = F.concat(F.slice("px", 65 - F.col("by"), F.col("by")), F.slice("px", F.lit(1), 64 - F.col("by")))
+    bgra = F.flatten(F.transform(px, lambda v: F.array_repeat(v, 4)))
+    rows = rows.select("vec_id", "burst", "seq", F.hex(_bytes(bgra)).alias("row"))
+    whole = F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "row"))), lambda x: x["row"]), ""))
+    f = rows.groupBy("burst", "seq").agg(F.count(F.lit(1)).cast("int").alias("h"), whole.alias("data")).where("h = 16")
+    return f.select("burst", F.col("seq").cast("long").alias("seq"), F.lit(64).alias("w"), "h", F.lit(256).alias("stride"), "data")
+
+
+MOVED_SQL = f"""moved AS (SELECT b AS burst, k AS seq, {_MOVED_SQL.format(b="b", k="k")} AS by, {_FRAMES_SQL.format(b="b")} AS n
+  FROM (SELECT vec_id // 16 AS b FROM embeddings GROUP BY 1 HAVING count(*) = 16), range(6) t(k) WHERE k < {_FRAMES_SQL.format(b="b")})"""
