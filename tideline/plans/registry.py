@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import activity, control, documents, frames, lifecycle, pixels, rules, scalars  # noqa: E402, F401
+from . import activity, control, documents, frames, lifecycle, pixels, plugins, rules, scalars  # noqa: E402, F401
