@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -120,13 +123,20 @@ def lines(text: str) -> list[str]:
     return parts[:-1] if parts[-1] == "" else parts
 
 
-def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
+def _distance(a: str, b: str, most: int) -> int:
+    """Edit distance of two texts, or a number above `most` if it is larger than that; only cells that near the diagonal
+    are looked at."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = {j: j for j in range(min(len(b), most) + 1)}
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+        new = {0: i} if i <= most else {}
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            new[j] = min(row.get(j, most) + 1, new.get(j - 1, most) + 1, row.get(j - 1, most + 1) + (x != b[j - 1]))
+        if min(new.values(), default=most + 1) > most:
+            return most + 1
+        row = new
+    return row.get(len(b), most + 1)
 
 
 def same_line(a: str, b: str, least: float = 1.0) -> bool:
@@ -135,7 +145,10 @@ def same_line(a: str, b: str, least: float = 1.0) -> bool:
     if a == b or least >= 1:
         return a == b
     longest = max(len(a), len(b))
-    return 1 - abs(len(a) - len(b)) / longest >= least and 1 - _distance(a, b) / longest >= least
+    most = next((d for d in range(math.ceil((1 - least) * longest) + 1, -1, -1) if 1 - d / longest >= least), -1)
+    if abs(len(a) - len(b)) > most or sum((Counter(a) - Counter(b)).values()) > most:
+        return False
+    return 1 - _distance(a, b, most) / longest >= least
 
 
 @dataclass(frozen=True)
@@ -171,26 +184,38 @@ class Overlap:
         return self.old[:cut] + self.added[: self.start] + self.added[self.start + self.run :] + self.old[cut:]
 
 
+def _matches(old: list[str], new: list[str], like: float) -> Callable[[str], np.ndarray]:
+    """For a line of the old ones, the places of the same lines among the new ones, ascending."""
+    places: dict[str, list[int]] = {}
+    for i, x in enumerate(new):
+        places.setdefault(x, []).append(i)
+    none = np.empty(0, np.int64)
+    if like >= 1:
+        found = {x: np.array(places[x], np.int64) for x in set(old) & set(places)}
+    else:
+        found = {x: np.sort(np.array([i for y, at in places.items() if same_line(x, y, like) for i in at], np.int64)) for x in set(old)}
+    return lambda x: found.get(x, none)
+
+
 def overlap(block: str, reading: str, like: float = 1.0) -> Overlap:
+    """Two rows of lengths and the places of equal lines: memory grows with the lines, not with their pairs."""
     old, new = lines(block), lines(reading)
-    number: dict[str, int] = {}
-    ids = [np.array([number.setdefault(x.strip(), len(number)) for x in side], np.int64) for side in (old, new)]
-    same = ids[0][:, None] == ids[1][None, :]
-    if like < 1:
-        kinds = list(number)
-        near = np.array([[same_line(x, y, like) for y in kinds] for x in kinds], bool).reshape(len(kinds), len(kinds))
-        same = near[ids[0][:, None], ids[1][None, :]]
-    m = min(len(old), len(new))
-    steps = np.arange(m)
-    leading = lambda flags: len(flags) if flags.all() else int(flags.argmin())
-    top = leading(same[steps, steps])
-    end = leading(same[len(old) - 1 - steps, len(new) - 1 - steps][: m - top])
-    middle = same[top : len(old) - end, top : len(new) - end]
-    length, best, start = np.zeros(middle.shape[1] + 1, np.int64), 0, 0  # of the runs that end at a line of the block and each of the reading
-    for row in middle:
-        length[1:] = np.where(row, length[:-1] + 1, 0)
-        if (n := int(length.max())) > best:
-            best, start = n, int(length.argmax()) - n
+    a, b = [x.strip() for x in old], [x.strip() for x in new]
+    same = (lambda x, y: x == y) if like >= 1 else (lambda x, y: same_line(x, y, like))
+    leading = lambda pairs: sum(1 for _ in takewhile(lambda p: same(*p), pairs))
+    top = leading(zip(a, b, strict=False))
+    end = leading(zip(reversed(a[top:]), reversed(b[top:]), strict=False))
+    a, b = a[top : len(a) - end], b[top : len(b) - end]
+    at = _matches(a, b, like)
+    last, length, best, start = np.empty(0, np.int64), np.zeros(len(b) + 1, np.int64), 0, 0  # of the runs that end at a line of the block and each of the reading
+    for x in a:
+        here = at(x)
+        run = length[here] + 1
+        length[last + 1] = 0
+        length[here + 1] = run
+        last = here
+        if len(run) and (n := int(run.max())) > best:
+            best, start = n, int(here[run.argmax()]) + 1 - n
     return Overlap(old, new, top, end, start, best)
 
 

@@ -163,22 +163,22 @@ def _iou(a: dict, b: dict) -> np.float32:
 def ordered(boxes: list[dict]) -> list[int]:
     """Indexes of boxes (x, y, w, h, display_id) as one reads them: displays apart, then bands from the top, then columns
     from the left, cut wherever a box begins past all before it; what can't be cut goes by (y, x, index)."""
-
-    def run(group: list[int]) -> list[int]:
-        if len(group) < 2:
-            return group
-        displays = sorted({boxes[i]["display_id"] for i in group})
-        if len(displays) > 1:
-            return [i for d in displays for i in run([i for i in group if boxes[i]["display_id"] == d])]
-        for a, b, size in (("y", "x", "h"), ("x", "y", "w")):
-            line = sorted(group, key=lambda i: (boxes[i][a], boxes[i][b], i))
-            ends = np.maximum.accumulate([boxes[i][a] + boxes[i][size] for i in line])
-            for n in range(1, len(line)):
-                if boxes[line[n]][a] >= ends[n - 1]:
-                    return run(line[:n]) + run(line[n:])
-        return sorted(group, key=lambda i: (boxes[i]["y"], boxes[i]["x"], i))
-
-    return run(list(range(len(boxes))))
+    n = len(boxes)
+    x, y, w, h, display = (np.array([b[c] for b in boxes], np.int64) for c in ("x", "y", "w", "h", "display_id"))
+    out: list[int] = []
+    todo = [np.flatnonzero(display == d) for d in np.unique(display)[::-1]]  # the next group lies on top
+    while todo:
+        group = todo.pop()
+        for start, size, other in ((y, h, x), (x, w, y)):
+            line = group[np.lexsort((group, other[group], start[group]))]
+            ends = np.maximum.accumulate(start[line] + size[line])
+            cuts = np.flatnonzero(start[line[1:]] >= ends[:-1]) + 1
+            if len(cuts):  # bands all at once; behind the first column there may be bands again
+                todo += np.split(line, cuts if start is y else cuts[:1])[::-1]
+                break
+        else:
+            out += group[np.lexsort((group, x[group], y[group]))].tolist()
+    return out if n else []
 
 
 def reading_order(regions: DataFrame) -> DataFrame:

@@ -41,13 +41,15 @@ def whole_seconds(start: Column, end: Column) -> Column:
     return F.floor((end - start) / SECOND).cast("long")
 
 
-def covered_seconds(spans: DataFrame, by: list[str]) -> DataFrame:
-    """(by, seconds) that the union of intervals covers, each merged interval cut to whole seconds.
+def early_islands(spans: DataFrame, by: list[str]) -> DataFrame:
+    """(by, s, e): intervals of a group that start in the same minute, merged. What meets in one place for a group after
+    that is a few islands for each minute, whatever the number of intervals."""
+    return islands(spans.withColumn("__minute", F.floor(F.col("s") / (60 * SECOND))), [*by, "__minute"]).select(*by, "s", "e")
+
 
-    Intervals that start in the same hour bucket are merged first, so that what meets in one place for a group is a few
-    islands for each hour, whatever the number of intervals."""
-    hour = spans.withColumn("__hour", F.floor(F.col("s") / (3600 * SECOND)))
-    return islands(islands(hour, [*by, "__hour"]).select(*by, "s", "e"), by).groupBy(*by).agg(F.sum(whole_seconds(F.col("s"), F.col("e"))).alias("seconds"))
+def covered_seconds(spans: DataFrame, by: list[str]) -> DataFrame:
+    """(by, seconds) that the union of intervals covers, each merged interval cut to whole seconds."""
+    return islands(early_islands(spans, by), by).groupBy(*by).agg(F.sum(whole_seconds(F.col("s"), F.col("e"))).alias("seconds"))
 
 
 def activity_labels(entries: DataFrame, by: list[str]) -> DataFrame:
@@ -69,9 +71,10 @@ def digest(entries: DataFrame, start: int, end: int) -> DataFrame:
     labels = c.groupBy("category", "activity").agg(F.count(F.lit(1)).alias("n"), F.max("secs").alias("m"))
     label = F.when((F.col("m") > 0) & (F.col("activity") != ""), F.struct((-F.col("m")).alias("m"), "activity"))
     names = labels.groupBy("category").agg(F.sum("n").alias("entries"), F.transform(F.sort_array(F.collect_list(label)), lambda x: x["activity"]).alias("labels"))
-    # each span counts for its category and, under null, for all
-    spans = c.where("secs > 0").select(F.explode(F.array("category", F.lit(None).cast("string"))).alias("__of"), "s", "e")
-    seconds = covered_seconds(spans, ["__of"])
+    # the islands of each category count for it and, under null, for all
+    early = early_islands(c.where("secs > 0").select("category", "s", "e"), ["category"])
+    both = early.select(F.explode(F.array("category", F.lit(None).cast("string"))).alias("__of"), "s", "e")
+    seconds = islands(both, ["__of"]).groupBy("__of").agg(F.sum(whole_seconds(F.col("s"), F.col("e"))).alias("seconds"))
     out = names.join(seconds, F.col("category") == F.col("__of"), "full")  # a row for each category, and one for all
     recorded = F.coalesce(F.max(F.when(F.col("category").isNull(), F.col("seconds"))).over(Window.partitionBy()), F.lit(0))
     out = out.withColumn("recorded", recorded).where("category is not null")
@@ -110,3 +113,22 @@ def render(d: DataFrame) -> DataFrame:
     sparse = F.when(is_sparse(r, s), F.concat(F.lit("Only "), human(r), F.lit(" of "), human(s), F.lit(" were recorded — this covers the captured fragments, not the whole period.\n\n"))).otherwise(F.lit(""))
     many = F.when(a > r, F.concat(human(a), F.lit(" of activity across "), human(r), F.lit(" of wall-clock — displays were showing different things at once.\n\n"))).otherwise(F.lit(""))
     return d.agg(F.when(F.count(F.lit(1)) == 0, F.lit("No activity was recorded for that period.")).otherwise(F.concat(sparse, many, lines)).alias("text"))
+
+
+def rolling_context(chunks: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """chunks (by, order, category, activity, ...) with place (from 1) and context_chars: the context of a chunk is that
+    many first code points of its group's text in `context_texts`. A chunk's own line, and the break before it, come after."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    c = chunks.withColumn("place", F.row_number().over(w))
+    upto = F.sum(F.char_length(context_line()) + 1).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return c.withColumn("context_chars", F.coalesce(upto - 1, F.lit(0)).cast("long"))
+
+
+def context_line() -> Column:
+    return F.concat(F.lit("[chunk "), F.col("place").cast("string"), F.lit("] "), "category", F.lit(" — "), "activity")
+
+
+def context_texts(placed: DataFrame, by: list[str]) -> DataFrame:
+    """(by, context): a line for each chunk of a group, in order; once for a group, not once for each chunk."""
+    lines = F.sort_array(F.collect_list(F.struct("place", context_line().alias("line"))))
+    return placed.groupBy(*by).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("context"))

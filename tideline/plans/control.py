@@ -93,16 +93,20 @@ def source_outage(spark, sf_dir):
     return L.outages(e.agg(F.max(F.col("event_type") != "error").alias("produced"), F.min(F.col("event_id") % 3 != 0).alias("retired")))
 
 
+#: A restart on the last day that has samples.
+RESTART = 1_706_616_000_000_000
+
+
 @query("stm19_resume_from_state", f"""WITH {A.SAMPLES_SQL}, s AS (SELECT session_id, display_id, CASE WHEN session_id % 7 <> 0 THEN max("at") END AS updated_at, count(*) % 10 AS sequence FROM samples GROUP BY session_id, display_id),
 d AS (SELECT session_id, display_id, max(id % 12) AS disk FROM samples WHERE session_id % 4 <> 1 GROUP BY ALL),
-x AS (SELECT *, updated_at IS NOT NULL AND updated_at // 86400000000 = {NOW} // 86400000000 AS same FROM s LEFT JOIN d USING (session_id, display_id))
-SELECT session_id, display_id, CASE WHEN updated_at IS NULL THEN 'fresh' WHEN same THEN 'resumed' ELSE 'new_day' END AS decision, CASE WHEN same AND updated_at < {NOW} THEN updated_at END AS gap_from,
-  CASE WHEN same AND updated_at < {NOW} THEN {NOW} END AS gap_to, CASE WHEN same THEN greatest(sequence, coalesce(disk, -1)) + 1 ELSE 0 END::BIGINT AS next_sequence FROM x""")
+x AS (SELECT *, updated_at IS NOT NULL AND updated_at // 86400000000 = {RESTART} // 86400000000 AS same FROM s LEFT JOIN d USING (session_id, display_id))
+SELECT session_id, display_id, CASE WHEN updated_at IS NULL THEN 'fresh' WHEN same THEN 'resumed' ELSE 'new_day' END AS decision, CASE WHEN same AND updated_at < {RESTART} THEN updated_at END AS gap_from,
+  CASE WHEN same AND updated_at < {RESTART} THEN {RESTART} END AS gap_to, CASE WHEN same THEN greatest(sequence, coalesce(disk, -1)) + 1 ELSE 0 END::BIGINT AS next_sequence FROM x""")
 def resume_from_state(spark, sf_dir):
     """A start continues a session of the same day, above the sequences in its state and on disk, and records the gap."""
     s = A.samples(spark, sf_dir)
     states = s.groupBy("session_id", "display_id").agg(F.when(F.col("session_id") % 7 != 0, F.max("at")).alias("updated_at"), (F.count(F.lit(1)) % 10).alias("sequence"))
-    return L.resumed(states, s.where("session_id % 4 != 1").select("session_id", "display_id", (F.col("id") % 12).alias("sequence")), NOW)
+    return L.resumed(states, s.where("session_id % 4 != 1").select("session_id", "display_id", (F.col("id") % 12).alias("sequence")), RESTART)
 
 
 @query("mth15_rate_control", f"""WITH RECURSIVE {A.SAMPLES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY "at", id) AS n FROM samples),
@@ -133,9 +137,9 @@ def orphan_files(spark, sf_dir):
 SELECT g.display_id, g.sequence, coalesce(files, 0) AS files, first, last FROM segments g LEFT JOIN f USING (display_id, sequence)""")
 def window_samples(spark, sf_dir):
     """The sample files of each window, by (display, sequence): the durable identity; a window may have none left."""
-    kept = A.table(spark, sf_dir, "lineitem").where("l_quantity > 10")  # the others' files are gone
-    f = kept.groupBy(F.col("l_linenumber").cast("long").alias("display_id"), F.col("l_orderkey").alias("sequence")).agg(F.count(F.lit(1)).alias("files"), F.min("l_partkey").alias("first"), F.max("l_partkey").alias("last"))
-    return A.segments(spark, sf_dir).select("display_id", "sequence").join(f, ["display_id", "sequence"], "left").fillna(0, ["files"])
+    left = F.col("l_quantity") > 10  # the others' files are gone
+    part = F.when(left, F.col("l_partkey"))
+    return A.segments(spark, sf_dir, files=F.count_if(left), first=F.min(part), last=F.max(part)).select("display_id", "sequence", "files", "first", "last")
 
 
 @query("mth9_health", """WITH l AS (SELECT event_id, event_id % 10 = 0 AS stopped, [NULL, 'idle', 'locked', 'display_sleep', 'user_off', 'source_occluded', 'source_ended', 'daemon_restart'][event_id % 8 + 1] AS cause,

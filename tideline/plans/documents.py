@@ -39,7 +39,7 @@ def extract_json(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(X.extract_json(t)).alias("json"))
 
 
-@query("str8_parse_chunk_summary", """WITH r AS (SELECT doc_id, doc_id % 4 AS k, source, coalesce(text, '') AS t FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '[{}]'))
+@query("str8_parse_chunk_summary", """WITH r AS (SELECT doc_id, doc_id % 4 AS k, source, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, CASE WHEN k = 0 AND doc_id % 3 = 0 THEN 'coding' ELSE 'other' END AS category, CASE WHEN k IN (0, 1) THEN coalesce(source, '') ELSE '' END AS app, CASE WHEN k = 0 THEN md5(t) WHEN k = 1 THEN '' ELSE substr(t, 1, 80) END AS activity,
   CASE WHEN k = 0 THEN '' WHEN k = 1 THEN md5(t) ELSE md5(t) END AS detail FROM r""")
 def parse_chunk_summary(spark, sf_dir):
@@ -47,8 +47,7 @@ def parse_chunk_summary(spark, sf_dir):
     k, t = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
     whole = F.to_json(F.struct(F.when(F.col("doc_id") % 3 == 0, F.lit(" Coding")).otherwise(F.lit("chess")).alias("category"), F.col("source").alias("app"), F.md5(t).alias("activity")))
     part = F.to_json(F.struct(F.col("source").alias("app"), F.md5(t).alias("detail")))
-    d = _docs(spark, sf_dir).where(F.col("text").isNull() | ~F.col("text").rlike("[{}]"))  # braces of a text would be read as JSON
-    d = d.select("doc_id", F.when(k == 0, F.concat(F.lit("Sure: "), whole)).when(k == 1, part).otherwise(t).alias("t"))
+    d = _docs(spark, sf_dir).select("doc_id", F.when(k == 0, F.concat(F.lit("Sure: "), whole)).when(k == 1, part).otherwise(t).alias("t"))
     c = X.chunk_summary(F.col("t"))
     return d.select("doc_id", c["category"].alias("category"), c["app"].alias("app"), c["activity"].alias("activity"), F.when(k > 1, F.md5(c["detail"])).otherwise(c["detail"]).alias("detail"))
 
@@ -77,10 +76,10 @@ def distinct_ratios(spark, sf_dir):
     return d.select("doc_id", F.round(X.distinct_ratio(F.col("l")), 6).alias("lines"), F.round(X.distinct_ratio(F.col("w")), 6).alias("tokens"))
 
 
-@query("str10_content_words", "WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM documents) SELECT doc_id, count(*) AS n FROM w WHERE octet_length(encode(w)) > 2 AND w NOT IN ("
-       + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ") GROUP BY doc_id")
+@query("str10_content_words", "SELECT doc_id, len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: octet_length(encode(w)) > 2 AND w NOT IN ("
+       + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "))) AS n FROM documents")
 def content_words(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size(X.content_words(F.col("text"))).cast("long").alias("n")).where("n > 0")
+    return _docs(spark, sf_dir).select("doc_id", F.size(X.content_words(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
 
 
 @query("str14_redact", r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text || ' key=' || source || ';b key= AIza, AIza' || lang, 'key=[0-9A-Za-z_-]*', 'key=<redacted>', 'g'), 'AIza[0-9A-Za-z_-]*', '<redacted>', 'g')) AS clean FROM documents""")
@@ -152,8 +151,10 @@ def merge_scroll(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    """Readings with the first three lines of the one before above their own, so that they overlap."""
+    """Readings, null ones empty, with the first three lines of the one before above their own, so that they overlap; the
+    first of a stream has an empty block."""
     w = Window.partitionBy("stream_id").orderBy("seq")
-    r = _readings(spark, sf_dir).withColumn("block", F.lag("text").over(w)).where("block is not null and text is not null")
+    text = F.coalesce("text", F.lit(""))
+    r = _readings(spark, sf_dir).withColumn("text", text).withColumn("block", F.coalesce(F.lag("text").over(w), F.lit("")))
     tail = F.array_join(F.slice(F.split("block", "\n"), 2, 3), "\n")
     return r.select("stream_id", "seq", "block", F.concat_ws("\n", tail, "text").alias("text"))

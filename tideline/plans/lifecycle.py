@@ -103,13 +103,13 @@ def summary_queue(spark, sf_dir):
     return w.select("session_id", "display_id", "sequence", F.row_number().over(Window.partitionBy("session_id").orderBy("s", "display_id", "sequence")).cast("long").alias("place"))
 
 
-@query("stm15_token_bucket", f"""WITH RECURSIVE {A.SAMPLES_SQL}, c AS (SELECT session_id AS key, id, "at" // 500 AS "at", row_number() OVER (PARTITION BY session_id ORDER BY "at" // 500, id) AS n FROM samples),
+@query("stm15_token_bucket", f"""WITH RECURSIVE {A.SAMPLES_SQL}, c AS (SELECT session_id AS key, id, "at" // 20000 AS "at", row_number() OVER (PARTITION BY session_id ORDER BY "at" // 20000, id) AS n FROM samples),
 r AS (SELECT key, id, n, "at", TRUE AS allowed, 9.0::DOUBLE AS tokens, 0.0::DOUBLE AS wait FROM c WHERE n = 1
  UNION ALL SELECT key, id, n, "at", have >= 1, CASE WHEN have >= 1 THEN have - 1 ELSE have END, CASE WHEN have >= 1 THEN 0.0 ELSE (1.0 - have) / (10.0::DOUBLE / 60.0::DOUBLE) END
   FROM (SELECT c.*, least(10.0::DOUBLE, r.tokens + greatest(c."at" - r."at", 0) / 1000000.0::DOUBLE * (10.0::DOUBLE / 60.0::DOUBLE)) AS have FROM r JOIN c ON c.key = r.key AND c.n = r.n + 1))
 SELECT key, id, allowed, wait AS retry_after FROM r""")
 def bucket(spark, sf_dir):
-    calls = A.samples(spark, sf_dir).select(F.col("session_id").alias("key"), "id", (F.floor(F.col("at") / 500)).alias("at"))
+    calls = A.samples(spark, sf_dir).select(F.col("session_id").alias("key"), "id", (F.floor(F.col("at") / 20_000)).alias("at"))
     return L.token_bucket(calls, 10.0, 60.0)
 
 
@@ -174,11 +174,9 @@ def retention_plan(spark, sf_dir):
 SELECT g.display_id, g.sequence, coalesce(bytes, 0)::BIGINT AS bytes, g.sequence IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AS settled FROM segments g LEFT JOIN x USING (display_id, sequence)""")
 def segment_ledger(spark, sf_dir):
     """Closed windows with the bytes of their samples and whether they were summarised."""
-    li = A.table(spark, sf_dir, "lineitem")
-    x = li.groupBy(F.col("l_orderkey").alias("sequence"), F.col("l_linenumber").cast("long").alias("display_id")).agg(F.sum(F.col("l_quantity").cast("long")).alias("bytes"))
     done = A.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("sequence"), F.lit(True).alias("settled")).distinct()
-    g = A.segments(spark, sf_dir).select("display_id", "sequence")
-    return g.join(x, ["display_id", "sequence"], "left").join(done, "sequence", "left").select("display_id", "sequence", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("settled", F.lit(False)).alias("settled"))
+    g = A.segments(spark, sf_dir, bytes=F.sum(F.col("l_quantity").cast("long")))
+    return g.join(done, "sequence", "left").select("display_id", "sequence", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("settled", F.lit(False)).alias("settled"))
 
 
 #: Dollars for a million tokens: model, input, long input (over 200,000 tokens), output, long output.

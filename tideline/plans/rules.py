@@ -107,11 +107,11 @@ def parse_usage(spark, sf_dir):
     return _replies(spark, sf_dir).select("id", *[u[c].alias(c) for c in ("input", "output", "thinking", "version")])
 
 
-@query("src18_usage_log", f"WITH {A.USAGE_SQL} SELECT burst, count(*) AS calls, sum(tokens_in)::BIGINT AS input FROM usage WHERE burst IS NOT NULL AND tokens_in % 5 <> 0 GROUP BY burst")
+@query("src18_usage_log", f"WITH {A.USAGE_SQL} SELECT burst, count(*) AS calls, sum(tokens_in)::BIGINT AS input FROM usage WHERE burst IS NOT NULL AND tokens_out % 5 <> 0 GROUP BY burst")
 def usage_log(spark, sf_dir):
     """A log of one JSON object a line, scanned for bursts; lines that can't be read are passed over."""
     u = A.usage(spark, sf_dir)
-    line = F.when(F.col("tokens_in") % 5 == 0, F.lit('{"burst": "b1", "inp')).otherwise(F.to_json(F.struct("burst", "model", F.col("tokens_in").alias("input"))))
+    line = F.when(F.col("tokens_out") % 5 == 0, F.lit('{"burst": "b1", "inp')).otherwise(F.to_json(F.struct("burst", "model", F.col("tokens_in").alias("input"))))
     log = u.select(F.from_json(line, "burst string, model string, input long").alias("r")).select("r.*").where("burst is not null and input is not null")
     return log.groupBy("burst").agg(F.count(F.lit(1)).alias("calls"), F.sum("input").alias("input"))
 
@@ -498,8 +498,8 @@ def token_sets(spark, sf_dir):
 _GRAY = "list_transform(embedding, lambda x: round((x::DOUBLE + 1) * 127.5)::INT)"
 
 
-def _gray(spark, sf_dir):
-    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.round((x.cast("double") + 1) * 127.5).cast("int")).alias("g"))
+def _gray(spark, sf_dir, *more):
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *more, F.transform("embedding", lambda x: F.round((x.cast("double") + 1) * 127.5).cast("int")).alias("g"))
 
 
 @query("agg12_pixel_stats", f"WITH b AS (SELECT vec_id AS id, {_GRAY} AS g FROM embeddings) SELECT id, round(m, 4) AS mean, round(q - m * m, 3) AS variance, round(sqrt(q - m * m), 4) AS std FROM (SELECT id, list_avg(g) AS m, list_avg(list_transform(g, lambda x: (x * x)::DOUBLE)) AS q FROM b)")
@@ -527,6 +527,6 @@ def downscale_gray(spark, sf_dir):
 SELECT id, CASE WHEN p IS NULL THEN 1 ELSE round(list_avg(list_transform(list_zip(g, p), lambda z: CASE WHEN abs(z[1] - z[2]) > 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)), 6) END::DOUBLE AS fraction FROM o""")
 def changed_fraction(spark, sf_dir):
     """The share of pixels that differ by more than the tolerance; all, where there is nothing to compare with."""
-    b = _gray(spark, sf_dir).join(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
+    b = _gray(spark, sf_dir, "label")
     p = O.previous(F.col("g"), F.size("g") > 0, ["label", F.floor(F.col("id") / 100)], "id")
     return b.withColumn("p", p).select("id", F.round(O.changed_fraction(F.col("g"), F.col("p")), 6).alias("fraction"))

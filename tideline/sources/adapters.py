@@ -83,16 +83,18 @@ RECORDINGS_SQL = """recordings AS (SELECT o_orderkey AS id, CASE o_orderstatus W
   epoch_us(o_orderdate) AS s, CASE WHEN o_orderkey % 5 <> 0 THEN floor(o_totalprice)::BIGINT END AS bytes, o_orderpriority AS display FROM orders)"""
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(display_id, sequence, closed, summarized, n_raw, has_warm, raw_bytes, warm_bytes)."""
+def segments(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    """(display_id, sequence, closed, summarized, n_raw, has_warm, raw_bytes, warm_bytes). more: further sums, counts and
+    so on of a segment's lines, by name."""
     g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("display_id"), F.col("l_orderkey").alias("sequence"))
     t = g.agg(
         F.max(micros("l_shipdate")).alias("closed"), (F.min(F.when(F.col("l_linestatus") == "F", 1).otherwise(0)) == 1).alias("summarized"),
         F.count(F.lit(1)).alias("n"), F.sum(F.floor("l_extendedprice").cast("long")).alias("b"), F.min("l_suppkey").alias("k"),
+        *[c.alias(name) for name, c in more.items()],
     )
     hot, warm = F.col("k") % 4 != 0, F.col("k") % 3 == 0
     zero = F.lit(0).cast("long")
-    return t.select("display_id", "sequence", "closed", "summarized", F.when(hot, F.col("n")).otherwise(zero).alias("n_raw"), warm.alias("has_warm"), F.when(hot, F.col("b")).otherwise(zero).alias("raw_bytes"), F.when(warm, F.floor(F.col("b") / 10)).otherwise(zero).alias("warm_bytes"))
+    return t.select("display_id", "sequence", "closed", "summarized", F.when(hot, F.col("n")).otherwise(zero).alias("n_raw"), warm.alias("has_warm"), F.when(hot, F.col("b")).otherwise(zero).alias("raw_bytes"), F.when(warm, F.floor(F.col("b") / 10)).otherwise(zero).alias("warm_bytes"), *more)
 
 
 SEGMENTS_SQL = """segments AS (SELECT display_id, sequence, closed, summarized, CASE WHEN k % 4 <> 0 THEN n ELSE 0 END AS n_raw, k % 3 = 0 AS has_warm,
@@ -144,12 +146,12 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("p_partkey"), F.col("p_size")
     return p.select(
         F.floor(k / 12).alias("frame_id"), (k % 12).alias("idx"), ((k * 37) % 400).alias("x"), ((k * 53) % 300).alias("y"), (n * 9 + 5).cast("long").alias("w"), (n * 7 + 3).cast("long").alias("h"),
-        (k % 5).alias("granularity"), ((k * 7) % 10).alias("trust"), F.floor(k / 12 % 2).alias("display_id"), F.element_at(F.array(*map(F.lit, ("wm", "at_spi", "ocr"))), (k % 3 + 1).cast("int")).alias("source"),
+        (k % 5).alias("granularity"), ((k * 7) % 10).alias("trust"), F.floor(k / 12 % 2).alias("display_id"), F.element_at(F.array(*map(F.lit, ("wm", "at_spi", "ocr"))), ((k + F.floor(k / 12)) % 3 + 1).cast("int")).alias("source"),
     )
 
 
 REGIONS_SQL = """regions AS (SELECT p_partkey // 12 AS frame_id, p_partkey % 12 AS idx, (p_partkey * 37) % 400 AS x, (p_partkey * 53) % 300 AS y, (p_size * 9 + 5)::BIGINT AS w, (p_size * 7 + 3)::BIGINT AS h,
-  p_partkey % 5 AS granularity, (p_partkey * 7) % 10 AS trust, (p_partkey // 12) % 2 AS display_id, ['wm', 'at_spi', 'ocr'][p_partkey % 3 + 1] AS source FROM part)"""
+  p_partkey % 5 AS granularity, (p_partkey * 7) % 10 AS trust, (p_partkey // 12) % 2 AS display_id, ['wm', 'at_spi', 'ocr'][(p_partkey + p_partkey // 12) % 3 + 1] AS source FROM part)"""
 
 
 def _bytes(pixels):
