@@ -1,10 +1,12 @@
 """Best-fit packing of token sequences in bulk-synchronous rounds (operator 1).
 
 Documents become pieces of at most `SIZE` ids. Pieces over half a sequence open one each; the others follow in bands, from
-long to short. A round has four steps:
+long to short. A round begins with the counts of pieces and gaps by size, at most two numbers for each size, and then has
+four steps:
 
 1. The pieces of the band that are left and the gaps that could take one are range-sorted by size, the largest first. A
-   gap stands there once for each piece of the band that it takes for certain, at least once.
+   gap stands there once for each piece of the band that it takes for certain, at least once; gaps that are larger than
+   the smallest ones with places for all pieces stand aside, as best fit would not use them.
 2. A sweep down the sizes keeps the gaps passed on a stack, so that each piece finds its successor: the smallest gap not
    smaller than it that no larger piece has taken. The sweep is distributed: a range reports its net count and lowest
    point, the stack's depth at the start of every range follows from these few numbers, and
@@ -12,11 +14,13 @@ long to short. A round has four steps:
    whole numbers up to SIZE, so one depth holds few rows for each size.
 4. Gaps shrink by what they took and return to the band.
 
-Rounds repeat until no gap takes any piece of the band. Only then sequences are opened, in sorted order, by the pieces of
-which the fewest fit one sequence; what room these leave is offered to the others of the band in the next round.
+Rounds repeat until no gap takes any piece of the band. Only then sequences are opened, and no more than the pieces need
+that are left. Pieces of which the same number fits a sequence, eight at most, open them in sorted order: what such a
+sequence leaves takes none of them. Of smaller ones the longest open as many as their lengths add up to, one piece each,
+and the next round fills these.
 
 Defined cases: null and empty texts are one piece, the end id alone; repeated rows are packed one by one; an empty
-table gives an empty result; further columns are ignored."""
+table gives an empty result; documents without a doc_id are packed as others; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -36,9 +40,12 @@ SIZE = 4096
 END_ID = 1
 #: Rows of a range, about.
 RANGE_ROWS = 250_000
-#: Bands of lengths end at these parts of a sequence. Pieces of which `MANY` or more fit a sequence open all at once.
+#: Bands of lengths end at these parts of a sequence.
 PARTS = (2, 3, 4, 6, 12, 48)
-MANY = 4
+#: Pieces of which so many or fewer fit a sequence open sequences in classes.
+FEW = 8
+#: Into so many parts pieces of one length are dealt where only some of them open sequences.
+PARTS_OF_TIES = 1024
 
 
 def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
@@ -83,13 +90,13 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("kind", "id", "size")), *(pa.array(x, pa.int64()) for x in own)], ["kind", "id", "size", "part", "at", "after", "least", "count", "low"])
 
 
-def _matched(gaps: DataFrame, pieces: DataFrame, n: int, longest: int, size: int, scratch: Scratch) -> DataFrame:
-    """One sweep: (pid, seq, length, offset) of the pieces (pid, length) that a gap (seq, room) takes."""
-    slots = F.explode(F.sequence(F.lit(1), F.greatest(F.floor(F.col("room") / longest), F.lit(1)).cast("int")))
-    g = gaps.select(F.lit(0).alias("kind"), F.col("seq").alias("id"), F.col("room").alias("size"), slots.alias("slot")).drop("slot")
+def _matched(gaps: DataFrame, pieces: DataFrame, n: int, slots: int, longest: int, size: int, scratch: Scratch) -> DataFrame:
+    """One sweep: (pid, seq, length, offset) of the n pieces (pid, length) that a gap (seq, room) takes."""
+    each = F.least(F.greatest(F.floor(F.col("room") / longest), F.lit(1)), F.lit(n)).cast("int")
+    g = gaps.select(F.lit(0).alias("kind"), F.col("seq").alias("id"), F.col("room").alias("size"), F.explode(F.sequence(F.lit(1), each)).alias("slot")).drop("slot")
     u = g.unionByName(pieces.select(F.lit(1).alias("kind"), F.col("pid").alias("id"), F.col("length").alias("size")))
     order = [F.col("size").desc(), F.col("kind"), F.col("id")]
-    u = u.repartitionByRange(max(1, -(-n // RANGE_ROWS)), *order).sortWithinPartitions(*order)
+    u = u.repartitionByRange(max(1, -(-(n + slots) // RANGE_ROWS)), *order).sortWithinPartitions(*order)
     u = scratch.table(u.mapInArrow(_sweep, "kind int, id long, size long, part long, at long, after long, least long, count long, low long"), "sweep")
     depth, starts = 0, [(-1, 0)]
     ends = u.groupBy("part").agg(F.max(F.struct("at", "after"))["after"].alias("net"), F.min("least").alias("low")).orderBy("part")
@@ -102,21 +109,23 @@ def _matched(gaps: DataFrame, pieces: DataFrame, n: int, longest: int, size: int
     w = Window.partitionBy("level").orderBy("part", "at")
     met = x.select("kind", "id", "size", F.lag("id").over(w).alias("seq"), F.lag("size").over(w).alias("room")).where("kind = 1")
     w = Window.partitionBy("seq").orderBy(F.col("size").desc(), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return scratch.table(met.select(F.col("id").alias("pid"), "seq", F.col("size").alias("length"), (size - F.col("room") + F.sum("size").over(w) - F.col("size")).alias("offset")), "placed")
+    placed = scratch.table(met.select(F.col("id").alias("pid"), "seq", F.col("size").alias("length"), (size - F.col("room") + F.sum("size").over(w) - F.col("size")).alias("offset")), "placed")
+    scratch.drop(u)
+    return placed
 
 
-def _opened(pieces: DataFrame, n: int, size: int, number: int, scratch: Scratch) -> DataFrame:
-    """(pid, seq, length, offset) of pieces (pid, length) that open sequences, each range its own, in sorted order."""
+def _filled(pieces: DataFrame, n: int, size: int, scratch: Scratch) -> DataFrame:
+    """(pid, seq, length, offset) of n pieces (pid, length) that open sequences, in sorted order, each range its own. A
+    sequence has the number of its first piece, below zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = -(((number + 1) << 54) + (TaskContext.get().partitionId() << 30))  # below zero: no piece's number
-        opened, fill = 0, size
+        seq, fill = 0, size
         for b in batches:
             out = []
             for pid, length in zip(b.column("pid").to_pylist(), b.column("length").to_pylist(), strict=True):
                 if fill + length > size:
-                    opened, fill = opened + 1, 0
-                out.append((pid, first - opened, length, fill))
+                    seq, fill = -1 - pid, 0
+                out.append((pid, seq, length, fill))
                 fill += length
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, ["pid", "seq", "length", "offset"])
 
@@ -125,6 +134,34 @@ def _opened(pieces: DataFrame, n: int, size: int, number: int, scratch: Scratch)
     return scratch.table(u.mapInArrow(run, "pid long, seq long, length long, offset long"), "placed")
 
 
+def _opened(left: DataFrame, lengths: dict[int, int], size: int, scratch: Scratch) -> DataFrame:
+    """(pid, seq, length, offset) of the pieces of left (pid, length) that open sequences; lengths: their counts by length."""
+    longest = max(lengths)
+    fit = size // longest
+    if fit <= FEW:
+        least = size // (fit + 1)
+        return _filled(left.where(F.col("length") > least), sum(c for x, c in lengths.items() if x > least), size, scratch)
+    need, n, above = -(-sum(x * c for x, c in lengths.items()) // size), 0, longest
+    for x in sorted(lengths, reverse=True):
+        if n + lengths[x] > need:
+            break
+        n, above = n + lengths[x], x - 1
+    some = left.where(F.col("length") > above)
+    if not n:  # the longest are more than that: so many of them, by parts of their numbers
+        part = F.pmod(F.xxhash64("pid"), F.lit(PARTS_OF_TIES)).cast("int")
+        alike = left.where(F.col("length") == longest)
+        keep = []
+        for r in sorted(alike.groupBy(part.alias("part")).count().collect(), key=lambda r: (r["count"], r.part)):
+            if n + r["count"] > need:
+                break
+            n += r["count"]
+            keep.append(r.part)
+        if not n:
+            return _filled(alike, lengths[longest], size, scratch)
+        some = alike.where(part.isin(keep))
+    return scratch.table(some.select("pid", (-1 - F.col("pid")).alias("seq"), "length", F.lit(0).cast("long").alias("offset")), "placed")
+
+
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """pieces with sequence_id and offset. pieces: any DataFrame with a column length, from 1 to size."""
     scratch = Scratch(pieces.sparkSession)
@@ -135,29 +172,35 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     gaps = own.where(F.col("length") < size).select(F.col("pid").alias("seq"), (size - F.col("length")).alias("room"))
     ends = [size // k for k in PARTS if size // k] + [0]
     bands = [(lo, hi) for hi, lo in zip(ends, ends[1:], strict=False) if lo < hi]
-    many = p.where(F.col("length") <= size // 2).groupBy(sum((F.when(F.col("length") <= lo, 1).otherwise(0) for lo, _ in bands), F.lit(0)).alias("band")).count().collect()  # a row for each band
-    for band, n in sorted(tuple(r) for r in many):
+    some = p.where(F.col("length") <= size // 2).groupBy(sum((F.when(F.col("length") <= lo, 1).otherwise(0) for lo, _ in bands), F.lit(0)).alias("band")).count().collect()  # a row for each band
+    for band in sorted(r.band for r in some):
         lo, hi = bands[band]
         left = p.where((F.col("length") > lo) & (F.col("length") <= hi))
-        while n:
-            sizes = left.agg(F.min("length"), F.max("length")).first()
-            able = gaps.where(F.col("room") >= sizes[0])
-            room = able.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.floor(F.col("room") / sizes[1]), F.lit(1))), F.lit(0))).first()
-            if room[0]:
-                new = _matched(able, left, n + room[1], sizes[1], size, scratch)
-            fits = new.count() if room[0] else 0
-            if not fits:
-                class_ = size // sizes[1]
-                some = left if class_ >= MANY else left.where(F.col("length") > size // (class_ + 1))
-                new = _opened(some, n, size, len(placed), scratch)
-                fits = new.count()
+        while True:
+            both = gaps.where(F.col("room") > lo).select(F.lit(0).alias("kind"), F.col("room").alias("size")).unionByName(left.select(F.lit(1).alias("kind"), F.col("length").alias("size")))
+            counts = both.groupBy("kind", "size").count().collect()  # two rows for each size at most
+            lengths = {r["size"]: r["count"] for r in counts if r.kind}
+            if not lengths:
+                break
+            n, longest = sum(lengths.values()), max(lengths)
+            rooms = {r["size"]: r["count"] for r in counts if not r.kind and r["size"] >= min(lengths)}
+            if rooms:
+                slots, certain, upto = 0, 0, 0
+                for room in sorted(rooms):
+                    upto, takes = room, min(max(room // longest, 1), n) * rooms[room]
+                    slots, certain = slots + takes, certain + (takes if room >= longest else 0)
+                    if certain >= n:
+                        break
+                new = _matched(gaps.where(F.col("room").between(min(lengths), upto)), left, n, slots, longest, size, scratch)
+            else:
+                new = _opened(left, lengths, size, scratch)
             placed.append(new)
             taken = new.groupBy("seq").agg(F.sum("length").alias("taken"))
-            both = gaps.join(taken, "seq", "full").select("seq", (F.coalesce("room", F.lit(size)) - F.coalesce("taken", F.lit(0))).alias("room"))
-            gaps = scratch.table(both.where("room > 0"), "gaps")
-            n -= fits
-            if n:
-                left = scratch.table(left.join(new.select("pid"), "pid", "left_anti"), "left")
+            shrunk = gaps.join(taken, "seq", "full").select("seq", (F.coalesce("room", F.lit(size)) - F.coalesce("taken", F.lit(0))).alias("room"))
+            old, gaps = (gaps, left), scratch.table(shrunk.where("room > 0"), "gaps")
+            left = scratch.table(left.join(new.select("pid"), "pid", "left_anti"), "left")
+            scratch.drop(*old)
+        scratch.drop(left)
     every = placed[0]
     for x in placed[1:]:
         every = every.unionByName(x)
