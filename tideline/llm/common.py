@@ -76,6 +76,9 @@ class Scratch:
         self.paths[id(out)] = (out, path)
         return out
 
+    def tables(self, name: str) -> list[DataFrame]:
+        return [t for t, path in self.paths.values() if path.rsplit("/", 1)[1].startswith(f"{name}-")]
+
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that nothing reads any more."""
         for t in tables:

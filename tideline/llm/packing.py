@@ -33,11 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, remove, scratch_path
 from .tokens import encoder, vocabulary
 
 SIZE = 4096
 END_ID = 1
+#: Kinds of rows of a round: a gap (its sequence, its room), a piece that is left, a piece that has its place.
+GAP, LEFT, PLACED = 0, 1, 2
+ROUND = "kind int, id long, size long, seq long, offset long"
 #: Rows of a range, about.
 RANGE_ROWS = 250_000
 #: Bands of lengths end at these parts of a sequence.
@@ -90,100 +93,126 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("kind", "id", "size")), *(pa.array(x, pa.int64()) for x in own)], ["kind", "id", "size", "part", "at", "after", "least", "count", "low"])
 
 
-def _matched(gaps: DataFrame, pieces: DataFrame, n: int, slots: int, longest: int, size: int, scratch: Scratch) -> DataFrame:
-    """One sweep: (pid, seq, length, offset) of the n pieces (pid, length) that a gap (seq, room) takes."""
-    each = F.least(F.greatest(F.floor(F.col("room") / longest), F.lit(1)), F.lit(n)).cast("int")
-    g = gaps.select(F.lit(0).alias("kind"), F.col("seq").alias("id"), F.col("room").alias("size"), F.explode(F.sequence(F.lit(1), each)).alias("slot")).drop("slot")
-    u = g.unionByName(pieces.select(F.lit(1).alias("kind"), F.col("pid").alias("id"), F.col("length").alias("size")))
-    order = [F.col("size").desc(), F.col("kind"), F.col("id")]
-    u = u.repartitionByRange(max(1, -(-(n + slots) // RANGE_ROWS)), *order).sortWithinPartitions(*order)
-    u = scratch.table(u.mapInArrow(_sweep, "kind int, id long, size long, part long, at long, after long, least long, count long, low long"), "sweep")
-    depth, starts = 0, [(-1, 0)]
-    ends = u.groupBy("part").agg(F.max(F.struct("at", "after"))["after"].alias("net"), F.min("least").alias("low")).orderBy("part")
-    for r in ends.collect():  # a row for each range
-        starts.append((r.part, depth))
-        depth = max(depth + r.net, r.net - r.low)
-    starts = u.sparkSession.createDataFrame(starts, "part long, depth long")
+def _swept(gaps: DataFrame, pieces: DataFrame, n: int, slots: int, longest: int, size: int, scratch: Scratch) -> DataFrame:
+    """One sweep over gaps and n pieces (both kind, id, size), as rows of a round: pieces placed, pieces left, and the gaps
+    with what remains of them."""
+    each = F.least(F.greatest(F.floor(F.col("size") / longest), F.lit(1)), F.lit(n)).cast("int")
+    u = gaps.select("kind", "id", "size", F.explode(F.sequence(F.lit(1), each)).alias("slot")).drop("slot").unionByName(pieces)
+    order, ranges = [F.col("size").desc(), F.col("kind"), F.col("id")], max(1, -(-(n + slots) // RANGE_ROWS))
+    u = u.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    u = u.mapInArrow(_sweep, "kind int, id long, size long, part long, at long, after long, least long, count long, low long")
+    if ranges > 1:  # a single range starts at depth 0; of several each starts where those before it end
+        u = scratch.table(u, "sweep")
+        depth, starts = 0, [(-1, 0)]
+        ends = u.groupBy("part").agg(F.max(F.struct("at", "after"))["after"].alias("net"), F.min("least").alias("low")).orderBy("part")
+        for r in ends.collect():  # a row for each range
+            starts.append((r.part, depth))
+            depth = max(depth + r.net, r.net - r.low)
+        u = u.join(F.broadcast(u.sparkSession.createDataFrame(starts, "part long, depth long")), "part")  # a row for each range
+    else:
+        u = u.withColumn("depth", F.lit(0).cast("long"))
     level = F.col("depth") + F.col("count") - F.least(F.col("depth") + F.col("low"), F.lit(0))
-    x = u.join(F.broadcast(starts), "part").withColumn("level", level).where("level > 0")  # starts: a row for each range
-    w = Window.partitionBy("level").orderBy("part", "at")
-    met = x.select("kind", "id", "size", F.lag("id").over(w).alias("seq"), F.lag("size").over(w).alias("room")).where("kind = 1")
-    w = Window.partitionBy("seq").orderBy(F.col("size").desc(), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = scratch.table(met.select(F.col("id").alias("pid"), "seq", F.col("size").alias("length"), (size - F.col("room") + F.sum("size").over(w) - F.col("size")).alias("offset")), "placed")
-    scratch.drop(u)
-    return placed
-
-
-def _filled(pieces: DataFrame, n: int, size: int, scratch: Scratch) -> DataFrame:
-    """(pid, seq, length, offset) of n pieces (pid, length) that open sequences, in sorted order, each range its own. A
-    sequence has the number of its first piece, below zero."""
+    x = u.withColumn("level", F.greatest(level, F.lit(0))).withColumn("alone", F.when(F.col("level") == 0, F.col("id")))  # no gap is left for these
+    w, piece = Window.partitionBy("level", "alone").orderBy("part", "at"), F.col("kind") == LEFT
+    met = x.select("kind", "id", "size", F.when(piece, F.lag("id").over(w)).alias("seq"), F.when(piece, F.lag("size").over(w)).alias("room"))
+    w = Window.partitionBy("key")
+    down, length = w.orderBy("kind", F.col("size").desc(), "id"), F.when(piece, F.col("size")).otherwise(F.lit(0))
+    upto = F.sum(length).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    y = met.withColumn("key", F.coalesce("seq", "id")).select("*", F.row_number().over(down).alias("nth"), upto.alias("upto"), F.sum(length).over(w).alias("taken"))
+    y = y.where(piece | ((F.col("nth") == 1) & (F.col("size") > F.col("taken"))))
+    kind = F.when(F.col("seq").isNotNull(), F.lit(PLACED)).otherwise(F.col("kind"))
+    return y.select(kind.alias("kind"), "id", F.when(piece, F.col("size")).otherwise(F.col("size") - F.col("taken")).alias("size"), "seq", (size - F.col("room") + F.col("upto") - F.col("size")).alias("offset"))
+
+
+def _filled(pieces: DataFrame, n: int, size: int) -> DataFrame:
+    """n pieces open sequences, in sorted order, each range its own: rows of a round, pieces placed and the gaps beside
+    them. A sequence has the number of its first piece, below zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, fill = 0, size
         for b in batches:
             out = []
-            for pid, length in zip(b.column("pid").to_pylist(), b.column("length").to_pylist(), strict=True):
+            for pid, length in zip(b.column("id").to_pylist(), b.column("size").to_pylist(), strict=True):
                 if fill + length > size:
+                    if fill < size:
+                        out.append((GAP, seq, size - fill, None, None))
                     seq, fill = -1 - pid, 0
-                out.append((pid, seq, length, fill))
+                out.append((PLACED, pid, length, seq, fill))
                 fill += length
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, ["pid", "seq", "length", "offset"])
+            yield _round_rows(out)
+        yield _round_rows([(GAP, seq, size - fill, None, None)] if fill < size else [])
+
+    order = [F.col("size").desc(), F.col("id")]
+    u = pieces.select("id", "size").repartitionByRange(max(1, -(-n // RANGE_ROWS)), *order).sortWithinPartitions(*order)
+    return u.mapInArrow(run, ROUND)
 
-    order = [F.col("length").desc(), F.col("pid")]
-    u = pieces.select("pid", "length").repartitionByRange(max(1, -(-n // RANGE_ROWS)), *order).sortWithinPartitions(*order)
-    return scratch.table(u.mapInArrow(run, "pid long, seq long, length long, offset long"), "placed")
 
+def _round_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), *[pa.int64()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "id", "size", "seq", "offset"])
 
-def _opened(left: DataFrame, lengths: dict[int, int], size: int, scratch: Scratch) -> DataFrame:
-    """(pid, seq, length, offset) of the pieces of left (pid, length) that open sequences; lengths: their counts by length."""
+
+def _opened(left: DataFrame, lengths: dict[int, int], size: int) -> DataFrame:
+    """Rows of a round: pieces of left that open sequences, the gaps beside them, and those still left. lengths: the counts
+    of pieces by length."""
     longest = max(lengths)
     fit = size // longest
     if fit <= FEW:
         least = size // (fit + 1)
-        return _filled(left.where(F.col("length") > least), sum(c for x, c in lengths.items() if x > least), size, scratch)
-    need, n, above = -(-sum(x * c for x, c in lengths.items()) // size), 0, longest
-    for x in sorted(lengths, reverse=True):
-        if n + lengths[x] > need:
-            break
-        n, above = n + lengths[x], x - 1
-    some = left.where(F.col("length") > above)
-    if not n:  # the longest are more than that: so many of them, by parts of their numbers
-        part = F.pmod(F.xxhash64("pid"), F.lit(PARTS_OF_TIES)).cast("int")
-        alike = left.where(F.col("length") == longest)
-        keep = []
-        for r in sorted(alike.groupBy(part.alias("part")).count().collect(), key=lambda r: (r["count"], r.part)):
-            if n + r["count"] > need:
+        opens, n = F.col("size") > least, sum(c for x, c in lengths.items() if x > least)
+    else:
+        need, n, above = -(-sum(x * c for x, c in lengths.items()) // size), 0, longest
+        for x in sorted(lengths, reverse=True):
+            if n + lengths[x] > need:
                 break
-            n += r["count"]
-            keep.append(r.part)
-        if not n:
-            return _filled(alike, lengths[longest], size, scratch)
-        some = alike.where(part.isin(keep))
-    return scratch.table(some.select("pid", (-1 - F.col("pid")).alias("seq"), "length", F.lit(0).cast("long").alias("offset")), "placed")
+            n, above = n + lengths[x], x - 1
+        opens, one = F.col("size") > above, bool(n)
+        if not n:  # the longest are more than that: so many of them, by parts of their numbers
+            part = F.pmod(F.xxhash64("id"), F.lit(PARTS_OF_TIES)).cast("int")
+            keep = []
+            for r in sorted(left.where(F.col("size") == longest).groupBy(part.alias("part")).count().collect(), key=lambda r: (r["count"], r.part)):
+                if n + r["count"] > need:
+                    break
+                n += r["count"]
+                keep.append(r.part)
+            opens, one = F.col("size") == longest, bool(n)
+            if n:
+                opens = opens & part.isin(keep)
+        if one:  # a sequence for each
+            seq, none = -1 - F.col("id"), F.lit(None).cast("long")
+            placed = F.struct(F.lit(PLACED).alias("kind"), F.col("id"), F.col("size"), seq.alias("seq"), F.lit(0).cast("long").alias("offset"))
+            gap = F.struct(F.lit(GAP).alias("kind"), seq.alias("id"), (size - F.col("size")).alias("size"), none.alias("seq"), none.alias("offset"))
+            still = F.struct(F.lit(LEFT).alias("kind"), F.col("id"), F.col("size"), none.alias("seq"), none.alias("offset"))
+            return left.select(F.inline(F.when(opens, F.array(placed, gap)).otherwise(F.array(still))))
+        n = lengths[longest]
+    return _filled(left.where(opens), n, size).unionByName(left.where(~opens), allowMissingColumns=True)
 
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
-    """pieces with sequence_id and offset. pieces: any DataFrame with a column length, from 1 to size."""
-    scratch = Scratch(pieces.sparkSession)
+    """pieces with sequence_id and offset. pieces: any DataFrame with a column length, from 1 to size.
+
+    A round is one written table of gaps, pieces left and pieces placed, a folder for each; the first two go when the
+    next round is written."""
+    spark = pieces.sparkSession
+    scratch = Scratch(spark)
     t = scratch.table(pieces.withColumn("pid", F.monotonically_increasing_id()), "pieces")
-    p = t.select("pid", F.col("length").cast("long").alias("length"))
-    own = p.where(F.col("length") > size // 2)
-    placed = [own.select("pid", F.col("pid").alias("seq"), "length", F.lit(0).cast("long").alias("offset"))]
-    gaps = own.where(F.col("length") < size).select(F.col("pid").alias("seq"), (size - F.col("length")).alias("room"))
+    p = t.select(F.lit(LEFT).alias("kind"), F.col("pid").alias("id"), F.col("length").cast("long").alias("size"))
+    own = p.where(F.col("size") > size // 2)
+    gaps = own.where(F.col("size") < size).select(F.lit(GAP).alias("kind"), "id", (size - F.col("size")).alias("size"))
     ends = [size // k for k in PARTS if size // k] + [0]
     bands = [(lo, hi) for hi, lo in zip(ends, ends[1:], strict=False) if lo < hi]
-    some = p.where(F.col("length") <= size // 2).groupBy(sum((F.when(F.col("length") <= lo, 1).otherwise(0) for lo, _ in bands), F.lit(0)).alias("band")).count().collect()  # a row for each band
+    some = p.where(F.col("size") <= size // 2).groupBy(sum((F.when(F.col("size") <= lo, 1).otherwise(0) for lo, _ in bands), F.lit(0)).alias("band")).count().collect()  # a row for each band
+    rounds: list[str] = []
     for band in sorted(r.band for r in some):
         lo, hi = bands[band]
-        left = p.where((F.col("length") > lo) & (F.col("length") <= hi))
+        left = p.where((F.col("size") > lo) & (F.col("size") <= hi))
         while True:
-            both = gaps.where(F.col("room") > lo).select(F.lit(0).alias("kind"), F.col("room").alias("size")).unionByName(left.select(F.lit(1).alias("kind"), F.col("length").alias("size")))
-            counts = both.groupBy("kind", "size").count().collect()  # two rows for each size at most
-            lengths = {r["size"]: r["count"] for r in counts if r.kind}
+            counts = gaps.where(F.col("size") > lo).unionByName(left).groupBy("kind", "size").count().collect()  # two rows for each size at most
+            lengths = {r["size"]: r["count"] for r in counts if r.kind == LEFT}
             if not lengths:
                 break
             n, longest = sum(lengths.values()), max(lengths)
-            rooms = {r["size"]: r["count"] for r in counts if not r.kind and r["size"] >= min(lengths)}
+            rooms = {r["size"]: r["count"] for r in counts if r.kind == GAP and r["size"] >= min(lengths)}
             if rooms:
                 slots, certain, upto = 0, 0, 0
                 for room in sorted(rooms):
@@ -191,20 +220,22 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
                     slots, certain = slots + takes, certain + (takes if room >= longest else 0)
                     if certain >= n:
                         break
-                new = _matched(gaps.where(F.col("room").between(min(lengths), upto)), left, n, slots, longest, size, scratch)
+                able = F.col("size").between(min(lengths), upto)
+                new = _swept(gaps.where(able), left, n, slots, longest, size, scratch).unionByName(gaps.where(~able), allowMissingColumns=True)
             else:
-                new = _opened(left, lengths, size, scratch)
-            placed.append(new)
-            taken = new.groupBy("seq").agg(F.sum("length").alias("taken"))
-            shrunk = gaps.join(taken, "seq", "full").select("seq", (F.coalesce("room", F.lit(size)) - F.coalesce("taken", F.lit(0))).alias("room"))
-            old, gaps = (gaps, left), scratch.table(shrunk.where("room > 0"), "gaps")
-            left = scratch.table(left.join(new.select("pid"), "pid", "left_anti"), "left")
-            scratch.drop(*old)
-        scratch.drop(left)
-    every = placed[0]
-    for x in placed[1:]:
-        every = every.unionByName(x)
-    return t.join(every.select("pid", F.col("seq").alias("sequence_id"), "offset"), "pid").drop("pid")
+                new = _opened(left, lengths, size).unionByName(gaps, allowMissingColumns=True)
+            path = scratch_path(spark, "round")
+            new.write.partitionBy("kind").parquet(path)
+            scratch.drop(*scratch.tables("sweep"))
+            for kind in (GAP, LEFT) if rounds else ():
+                remove(spark, f"{rounds[-1]}/kind={kind}")
+            rounds.append(path)
+            now = spark.read.schema(ROUND).parquet(path).select("kind", "id", "size")
+            gaps, left = now.where(F.col("kind") == GAP), now.where(F.col("kind") == LEFT)
+    every = own.select("id", F.col("id").alias("seq"), F.lit(0).cast("long").alias("offset"))
+    if rounds:  # each round places a piece at least, so each has that folder
+        every = every.unionByName(spark.read.schema("id long, seq long, offset long").parquet(*(f"{r}/kind={PLACED}" for r in rounds)))
+    return t.join(every.select(F.col("id").alias("pid"), F.col("seq").alias("sequence_id"), "offset"), "pid").drop("pid")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
