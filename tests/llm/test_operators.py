@@ -104,6 +104,24 @@ def test_packing_many(spark):
         assert len(out) <= best + 1
 
 
+def test_packing_over_ranges(spark, monkeypatch):
+    """Sweeps of many ranges: pieces take places that earlier ranges left, and no round is without a place."""
+    monkeypatch.setattr(packing, "RANGE_ROWS", 97)
+    r = random.Random(8)
+    for sizes in ([1366] * 400 + [1300] * 200 + [1100] * 200, [r.randint(1, 4096) for _ in range(900)], [2100] * 300 + [32] * 3000):
+        places = {}
+        for x in packing.pack(spark.createDataFrame([(n,) for n in sizes], "length long").repartition(3)).collect():
+            places.setdefault(x.sequence_id, []).append((x.offset, x.length))
+        for p in places.values():
+            assert [o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:i]) for i in range(len(p))] and sum(n for _, n in p) <= 4096
+        assert Counter(n for p in places.values() for _, n in p) == Counter(sizes)
+        rooms = []
+        for n in sorted(sizes, reverse=True):
+            i = bisect.bisect_left(rooms, n)
+            bisect.insort(rooms, (rooms.pop(i) if i < len(rooms) else 4096) - n)
+        assert len(places) <= len(rooms) + 1
+
+
 def test_packing_as_sequential_best_fit(spark):
     r = random.Random(8)
     few_long = [2100] * 1000 + [32] * 100_000

@@ -5,13 +5,14 @@ long to short. A round begins with the counts of pieces and gaps by size, at mos
 four steps:
 
 1. The pieces of the band that are left and the gaps that could take one are range-sorted by size, the largest first. A
-   gap stands there once for each piece of the band that it takes for certain, at least once; gaps that are larger than
-   the smallest ones with places for all pieces stand aside, as best fit would not use them.
+   gap has a place for each piece of the band that it takes for certain, at least one; gaps that are larger than the
+   smallest ones with places for all pieces stand aside, as best fit would not use them.
 2. A sweep down the sizes keeps the gaps passed on a stack, so that each piece finds its successor: the smallest gap not
-   smaller than it that no larger piece has taken. The sweep is distributed: a range reports its net count and lowest
-   point, the stack's depth at the start of every range follows from these few numbers, and
-3. conflicts resolve by rank: a piece takes the last gap before it that stands at the stack's depth it finds. Sizes are
-   whole numbers up to SIZE, so one depth holds few rows for each size.
+   smaller than it whose places no larger pieces have taken. Each range is swept by its own task. What is open at its end,
+   pieces that found the stack empty and gaps with places left, meets over ranges:
+3. a range reports how many pieces and places are open, the stack's depth at the start of every range follows from these
+   few numbers, and conflicts resolve by rank: the k-th open piece of a range takes the place at the k-th depth from the
+   top, the last that an earlier range left there. One depth holds two rows of a range at most.
 4. Gaps shrink by what they took and return to the band.
 
 Rounds repeat until no gap takes any piece of the band. Only then sequences are opened, and no more than the pieces need
@@ -41,6 +42,8 @@ END_ID = 1
 #: Kinds of rows of a round: a gap (its sequence, its room), a piece that is left, a piece that has its place.
 GAP, LEFT, PLACED = 0, 1, 2
 ROUND = "kind int, id long, size long, seq long, offset long"
+SWEPT = f"{ROUND}, part int, at long, slots long"
+ARROW = {"int": pa.int32(), "long": pa.int64()}
 #: Rows of a range, about.
 RANGE_ROWS = 250_000
 #: Bands of lengths end at these parts of a sequence.
@@ -76,52 +79,78 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str |
     return d.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers a range's rows and adds the count of the stack there, from 0 at the range's start, and its lowest point so
-    far: after a gap is pushed, before a piece takes one."""
-    part, count, low, done = TaskContext.get().partitionId(), 0, 0, 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        step = 1 - 2 * b.column("kind").to_numpy(zero_copy_only=False).astype(np.int64)
-        after = count + np.cumsum(step)
-        least = np.minimum(low, np.minimum.accumulate(after))
-        before, least_before = np.concatenate([[count], after[:-1]]), np.concatenate([[low], least[:-1]])
-        piece = step < 0
-        own = (np.full(len(step), part), done + np.arange(len(step)), after, least, np.where(piece, before, after), np.where(piece, least_before, least))
-        count, low, done = int(after[-1]), int(least[-1]), done + len(step)
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("kind", "id", "size")), *(pa.array(x, pa.int64()) for x in own)], ["kind", "id", "size", "part", "at", "after", "least", "count", "low"])
-
-
-def _swept(gaps: DataFrame, pieces: DataFrame, n: int, slots: int, longest: int, size: int, scratch: Scratch) -> DataFrame:
-    """One sweep over gaps and n pieces (both kind, id, size), as rows of a round: pieces placed, pieces left, and the gaps
-    with what remains of them."""
-    each = F.least(F.greatest(F.floor(F.col("size") / longest), F.lit(1)), F.lit(n)).cast("int")
-    u = gaps.select("kind", "id", "size", F.explode(F.sequence(F.lit(1), each)).alias("slot")).drop("slot").unionByName(pieces)
-    order, ranges = [F.col("size").desc(), F.col("kind"), F.col("id")], max(1, -(-(n + slots) // RANGE_ROWS))
-    u = u.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    u = u.mapInArrow(_sweep, "kind int, id long, size long, part long, at long, after long, least long, count long, low long")
-    if ranges > 1:  # a single range starts at depth 0; of several each starts where those before it end
-        u = scratch.table(u, "sweep")
-        depth, starts = 0, [(-1, 0)]
-        ends = u.groupBy("part").agg(F.max(F.struct("at", "after"))["after"].alias("net"), F.min("least").alias("low")).orderBy("part")
-        for r in ends.collect():  # a row for each range
-            starts.append((r.part, depth))
-            depth = max(depth + r.net, r.net - r.low)
-        u = u.join(F.broadcast(u.sparkSession.createDataFrame(starts, "part long, depth long")), "part")  # a row for each range
-    else:
-        u = u.withColumn("depth", F.lit(0).cast("long"))
-    level = F.col("depth") + F.col("count") - F.least(F.col("depth") + F.col("low"), F.lit(0))
-    x = u.withColumn("level", F.greatest(level, F.lit(0))).withColumn("alone", F.when(F.col("level") == 0, F.col("id")))  # no gap is left for these
-    w, piece = Window.partitionBy("level", "alone").orderBy("part", "at"), F.col("kind") == LEFT
-    met = x.select("kind", "id", "size", F.when(piece, F.lag("id").over(w)).alias("seq"), F.when(piece, F.lag("size").over(w)).alias("room"))
-    w = Window.partitionBy("key")
-    down, length = w.orderBy("kind", F.col("size").desc(), "id"), F.when(piece, F.col("size")).otherwise(F.lit(0))
-    upto = F.sum(length).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    y = met.withColumn("key", F.coalesce("seq", "id")).select("*", F.row_number().over(down).alias("nth"), upto.alias("upto"), F.sum(length).over(w).alias("taken"))
-    y = y.where(piece | ((F.col("nth") == 1) & (F.col("size") > F.col("taken"))))
-    kind = F.when(F.col("seq").isNotNull(), F.lit(PLACED)).otherwise(F.col("kind"))
-    return y.select(kind.alias("kind"), "id", F.when(piece, F.col("size")).otherwise(F.col("size") - F.col("taken")).alias("size"), "seq", (size - F.col("room") + F.col("upto") - F.col("size")).alias("offset"))
+def _ranged(rows: DataFrame, n: int, *order) -> DataFrame:
+    """n rows in ranges of about `RANGE_ROWS`, each sorted."""
+    ranges = -(-n // RANGE_ROWS)
+    return (rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.repartition(1)).sortWithinPartitions(*order)
+
+
+def _sweep(size: int):
+    """A sweep down one range: rows of a round, with the range's number. Pieces that find no gap in the range stay LEFT, at
+    says how many such pieces came before. A gap with places left has their number in slots, and in at how many places of
+    the range's other open gaps lie below it on the stack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, unmet, stack = TaskContext.get().partitionId(), 0, []
+        for b in batches:
+            out = []
+            for kind, row, length, slots in zip(*(b.column(c).to_pylist() for c in ("kind", "id", "size", "slots")), strict=True):
+                if kind == GAP:
+                    stack.append([row, length, slots])
+                elif not stack:
+                    out.append((LEFT, row, length, None, None, part, unmet, 0))
+                    unmet += 1
+                else:
+                    seq, room, places = stack[-1]
+                    out.append((PLACED, row, length, seq, size - room, part, 0, 0))
+                    stack[-1][1:] = room - length, places - 1
+                    if places == 1:
+                        stack.pop()
+                        if room > length:
+                            out.append((GAP, seq, room - length, None, None, part, 0, 0))
+            yield _rows(out, SWEPT)
+        below, out = 0, []
+        for seq, room, places in stack:
+            out.append((GAP, seq, room, None, None, part, below, places))
+            below += places
+        yield _rows(out, SWEPT)
+
+    return run
+
+
+def _swept(gaps: DataFrame, pieces: DataFrame, n: int, n_gaps: int, longest: int, size: int, scratch: Scratch) -> DataFrame:
+    """One sweep over n_gaps gaps and n pieces (both kind, id, size), as rows of a round: pieces placed, pieces left, and the
+    gaps with what remains of them."""
+    each = F.least(F.greatest(F.floor(F.col("size") / longest), F.lit(1)), F.lit(n)).cast("long")
+    u = gaps.select("kind", "id", "size", each.alias("slots")).unionByName(pieces.select("kind", "id", "size"), allowMissingColumns=True)
+    u = _ranged(u, n + n_gaps, F.col("size").desc(), "kind", "id").mapInArrow(_sweep(size), SWEPT)
+    names = ["kind", "id", "size", "seq", "offset"]
+    if n + n_gaps <= RANGE_ROWS:  # one range
+        return u.select(*names)
+    u = scratch.table(u, "sweep")
+    piece, free = F.col("kind") == LEFT, F.col("slots") > 0
+    ends = u.groupBy("part").agg(F.count(F.when(piece, 1)).alias("unmet"), F.sum("slots").alias("free")).orderBy("part")
+    depth, starts = 0, []
+    for r in ends.collect():  # a row for each range: the stack's depth at its start, and below the gaps that it adds
+        below = max(depth - r.unmet, 0)
+        starts.append((r.part, depth, below))
+        depth = below + r.free
+    u = u.join(F.broadcast(u.sparkSession.createDataFrame(starts, "part int, depth long, below long")), "part")  # a row for each range
+    asks = u.where(piece & (F.col("at") < F.col("depth"))).select("part", "kind", "id", "size", (F.col("depth") - F.col("at")).alias("level"))
+    first = F.col("below") + F.col("at") + 1
+    stand = u.where(free).select("part", "kind", "id", "size", F.explode(F.sequence(first, first + F.col("slots") - 1)).alias("level"))
+    last = F.lag("id").over(Window.partitionBy("level").orderBy("part", F.col("kind").desc()))  # a range takes before it adds
+    met = stand.unionByName(asks).withColumn("seq", last).where(piece).select("kind", "id", "size", "seq")
+    w = Window.partitionBy(F.coalesce("seq", "id"))
+    length, room = F.when(piece, F.col("size")).otherwise(F.lit(0)), F.max(F.when(~piece, F.col("size"))).over(w)
+    upto = F.sum(length).over(w.orderBy("kind", F.col("size").desc(), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shrunk = u.where(free).select("kind", "id", "size").unionByName(met, allowMissingColumns=True)
+    shrunk = shrunk.select("*", room.alias("room"), upto.alias("upto"), F.sum(length).over(w).alias("taken")).where(piece | (F.col("size") > F.col("taken")))
+    shrunk = shrunk.select(
+        F.when(piece, F.lit(PLACED)).otherwise(F.lit(GAP)).alias("kind"), "id", F.when(piece, F.col("size")).otherwise(F.col("size") - F.col("taken")).alias("size"),
+        "seq", F.when(piece, size - F.col("room") + F.col("upto") - F.col("size")).alias("offset"),
+    )
+    return u.where(~free & ~(piece & (F.col("at") < F.col("depth")))).select(*names).unionByName(shrunk)
 
 
 def _filled(pieces: DataFrame, n: int, size: int) -> DataFrame:
@@ -139,17 +168,15 @@ def _filled(pieces: DataFrame, n: int, size: int) -> DataFrame:
                     seq, fill = -1 - pid, 0
                 out.append((PLACED, pid, length, seq, fill))
                 fill += length
-            yield _round_rows(out)
-        yield _round_rows([(GAP, seq, size - fill, None, None)] if fill < size else [])
+            yield _rows(out, ROUND)
+        yield _rows([(GAP, seq, size - fill, None, None)] if fill < size else [], ROUND)
 
-    order = [F.col("size").desc(), F.col("id")]
-    u = pieces.select("id", "size").repartitionByRange(max(1, -(-n // RANGE_ROWS)), *order).sortWithinPartitions(*order)
-    return u.mapInArrow(run, ROUND)
+    return _ranged(pieces.select("id", "size"), n, F.col("size").desc(), "id").mapInArrow(run, ROUND)
 
 
-def _round_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), *[pa.int64()] * 4)
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "id", "size", "seq", "offset"])
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = [field.split() for field in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], ARROW[kind]) for i, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
 
 
 def _opened(left: DataFrame, lengths: dict[int, int], size: int) -> DataFrame:
@@ -214,14 +241,14 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
             n, longest = sum(lengths.values()), max(lengths)
             rooms = {r["size"]: r["count"] for r in counts if r.kind == GAP and r["size"] >= min(lengths)}
             if rooms:
-                slots, certain, upto = 0, 0, 0
+                n_gaps, certain, upto = 0, 0, 0
                 for room in sorted(rooms):
-                    upto, takes = room, min(max(room // longest, 1), n) * rooms[room]
-                    slots, certain = slots + takes, certain + (takes if room >= longest else 0)
+                    upto, n_gaps = room, n_gaps + rooms[room]
+                    certain += min(room // longest, n) * rooms[room]
                     if certain >= n:
                         break
                 able = F.col("size").between(min(lengths), upto)
-                new = _swept(gaps.where(able), left, n, slots, longest, size, scratch).unionByName(gaps.where(~able), allowMissingColumns=True)
+                new = _swept(gaps.where(able), left, n, n_gaps, longest, size, scratch).unionByName(gaps.where(~able), allowMissingColumns=True)
             else:
                 new = _opened(left, lengths, size).unionByName(gaps, allowMissingColumns=True)
             path = scratch_path(spark, "round")
