@@ -162,3 +162,27 @@ def test_rolling_context_is_a_beginning(spark):
             assert texts[s][: x.context_chars] == "\n".join(before)
             before.append(f"[chunk {x.place}] coding — {x.activity}")
         assert texts[s] == "\n".join(before)
+
+
+# ---- shuffles
+
+
+def shuffled_bytes(spark, run):
+    """Bytes that the stages of a job write for shuffles."""
+    sc = spark.sparkContext
+    store, last = sc._jsc.sc().statusStore(), lambda: [sc._jsc.sc().listenerBus().waitUntilEmpty(), store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)][1]
+    known = {s.stageId() for s in (x.apply(i) for x in [last()] for i in range(x.size()))}
+    run()
+    return sum(s.shuffleWriteBytes() for s in (x.apply(i) for x in [last()] for i in range(x.size())) if s.stageId() not in known)
+
+
+def test_band_join_shuffles_no_pairs(spark):
+    """Two thousand utterances of five windows and three thousand frames: six million pairs."""
+    u = spark.range(2000).select((F.col("id") % 2).alias("stream"), F.col("id").alias("idx"), (F.col("id") % 5 * 1000).alias("start_ms"), (F.col("id") % 5 * 1000 + 5000).alias("end_ms"))
+    f = spark.range(3000).select((F.col("id") % 2).alias("stream"), F.col("id").alias("idx"), (F.col("id") * 7 % 15_000).alias("at_ms"))
+    got = {}
+    n = shuffled_bytes(spark, lambda: got.update({r.idx: (r.stream, r.frames) for r in O.align(u, f).collect()}))
+    assert n < 1_000_000, n
+    frames = sorted((i * 7 % 15_000, i) for i in range(3000))
+    windows = {(s, k): [i for t, i in frames if i % 2 == s and max(k * 1000 - 3000, 0) <= t <= k * 1000 + 8000] for s in (0, 1) for k in range(5)}
+    assert got == {i: (i % 2, windows[i % 2, i % 5]) for i in range(2000)}
