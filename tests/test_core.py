@@ -374,3 +374,15 @@ def test_windows_stream_with_controls(spark, tmp_path):
     q.stop()
     got = [(r.s // SEC, r.e // SEC, r.sample_count, r.reason) for r in spark.table("controlled").orderBy("sequence").collect()]
     assert got == [(0, 20, 2, "Paused"), (50, 80, 2, "IntervalChanged"), (90, 120, 2, "Stopped")]
+
+
+def test_sample_names_keep_long_sequences(spark, tmp_path):
+    """Sequences of more than six digits against the SQL."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW old AS SELECT * FROM '{SF}/events.parquet'")
+    con.execute(f"COPY (SELECT event_id * 12345 AS event_id, ts, user_id * 54321 AS user_id, * EXCLUDE (event_id, ts, user_id) FROM old) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    for name in ("src7_sample_filename", "src8_sample_files"):
+        df = QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, df.collect())) == sorted(want)

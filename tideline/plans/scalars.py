@@ -74,7 +74,7 @@ def byte_range(spark, sf_dir):
 @query("src7_sample_filename", """WITH n AS (SELECT event_id, 'd' || (user_id % 3) || '_w' || printf('%06d', event_id) || '_' || strftime(ts, '%Y%m%dT%H%M%S%g') || '.png' AS name FROM events)
 SELECT event_id, name, regexp_extract(name, '^d([0-9]+)_w([0-9]+)_', 1)::BIGINT AS display_id, regexp_extract(name, '^d([0-9]+)_w([0-9]+)_', 2)::BIGINT AS sequence FROM n""")
 def sample_filename(spark, sf_dir):
-    name = F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string"), F.lit("_w"), F.lpad(F.col("event_id").cast("string"), 6, "0"), F.lit("_"), F.date_format("ts", "yyyyMMdd'T'HHmmssSSS"), F.lit(".png"))
+    name = F.concat(S.sample_stem(F.col("user_id") % 3, F.col("event_id"), F.col("ts")), F.lit(".png"))
     e = _events(spark, sf_dir).select("event_id", name.alias("name"))
     part = lambda i: F.regexp_extract("name", r"^d(\d+)_w(\d+)_", i).cast("long")
     return e.select("event_id", "name", part(1).alias("display_id"), part(2).alias("sequence"))
