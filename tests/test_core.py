@@ -406,3 +406,16 @@ def test_identities_take_no_decimals(spark):
     """Decimal arithmetic took some hundreds of microseconds a row."""
     plan = spark.range(1).select(S.fnv1a(F.array(F.col("id"))))._jdf.queryExecution().optimizedPlan().toString()
     assert "decimal" not in plan
+
+
+def test_compression_of_common_beginnings():
+    """Each place had 128 earlier ones to be compared with."""
+    import time
+
+    r = random.Random(9)
+    words = ["".join(r.choice("etaoin") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    data = " ".join(r.choice(words) for _ in range(60_000)).encode()
+    began = time.time()
+    assert 0 < X.compression(data) < 1 and time.time() - began < 3
+    short = data[:3000]
+    assert abs(X.compression(short) - slow_compression(short)) < 1e-9

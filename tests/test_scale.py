@@ -186,3 +186,33 @@ def test_band_join_shuffles_no_pairs(spark):
     frames = sorted((i * 7 % 15_000, i) for i in range(3000))
     windows = {(s, k): [i for t, i in frames if i % 2 == s and max(k * 1000 - 3000, 0) <= t <= k * 1000 + 8000] for s in (0, 1) for k in range(5)}
     assert got == {i: (i % 2, windows[i % 2, i % 5]) for i in range(2000)}
+
+
+def test_reading_order_of_many_small_frames(spark):
+    """A frame took about 8 ms when each was a pandas frame of its own."""
+    frames = spark.range(36_000).select(F.floor(F.col("id") / 12).alias("frame_id"), (F.col("id") % 12).alias("idx"), (F.col("id") * 37 % 400).alias("x"), (F.col("id") * 53 % 300).alias("y"), F.lit(30).alias("w"), F.lit(20).alias("h"), F.lit(0).alias("display_id"), F.lit(None).cast("long").alias("parent"))
+    frames = frames.coalesce(1).persist()
+    frames.count()
+    began = time.time()
+    got = O.reading_order(frames).groupBy("frame_id").agg(F.sort_array(F.collect_list("place")).alias("p"), F.sort_array(F.collect_list("idx")).alias("i")).where("p = i and size(p) = 12").count()
+    assert got == 3000 and time.time() - began < 12
+
+
+def test_few_boxes_as_many():
+    r = random.Random(6)
+    for _ in range(500):
+        boxes = [box(r, 60, 30) for _ in range(r.randrange(1, 20))]
+        assert O._ordered_few(boxes) == by_recursion(boxes)
+
+
+def test_long_texts_are_folded_by_pieces():
+    import pyarrow as pa
+
+    from tideline.operators import folds
+
+    b = pa.RecordBatch.from_pydict({"k": list(range(300)), "text": ["x" * (100_000 if i % 3 else 0) if i % 7 else None for i in range(300)]})
+    parts = list(folds.pieces(b))
+    assert pa.Table.from_batches(parts).to_pylist() == b.to_pylist() and len(parts) > 3
+    assert max(sum(len(t or "") for t in p.column("text").to_pylist()) for p in parts) <= folds.PIECE + 100_000
+    assert [p.num_rows for p in folds.pieces(pa.RecordBatch.from_pydict({"text": ["y" * 9_000_000] * 3}))] == [1, 1, 1]
+    assert list(folds.pieces(b.slice(0, 0))) == []
