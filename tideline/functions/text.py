@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ..operators.folds import ordered_fold
+from ..operators.folds import ordered_fold, pieces
 
 #: Control characters, line separators and the marks that change direction.
 CONTROLS = r"[\p{Cc}  ‪-‮⁦-⁩]"
@@ -232,10 +232,13 @@ def with_overlaps(pairs: DataFrame, like: float = 1.0) -> DataFrame:
     """pairs (..., block, text) with coverage and merged, of each text as a reading over its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [overlap(x or "", y or "", like) for x, y in zip(b.column("block").to_pylist(), b.column("text").to_pylist(), strict=True)]
-            merged = [("\n".join(o.merged()) if o.added else x or "") for o, x in zip(found, b.column("block").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([o.coverage for o in found], pa.float64()), pa.array(merged, pa.string())], [*b.schema.names, "coverage", "merged"])
+        for b in (p for whole in batches for p in pieces(whole)):
+            covered, merged = [], []
+            for x, y in zip(b.column("block").to_pylist(), b.column("text").to_pylist(), strict=True):
+                o = overlap(x or "", y or "", like)
+                covered.append(o.coverage)
+                merged.append("\n".join(o.merged()) if o.added else x or "")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(covered, pa.float64()), pa.array(merged, pa.string())], [*b.schema.names, "coverage", "merged"])
 
     return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField("coverage", DoubleType()), StructField("merged", StringType())]))
 
@@ -312,26 +315,60 @@ def compression(data: bytes) -> float:
     share = np.bincount(np.frombuffer(data, np.uint8), minlength=256) / n
     share = share[share > 0]
     literal = float(-(share * np.log2(share)).sum())
-    seen: dict[bytes, list[int]] = {}
-    bits, i = 0.0, 0
-    while i < n:
-        best, most = 0, min(n - i, LONGEST)
-        for c in reversed(seen.get(data[i : i + SHORTEST], ())[-CHAIN:] if most >= SHORTEST else ()):
-            if i - c > WINDOW or best == most:
-                break
-            if best and data[c + best] != data[i + best]:
-                continue  # it can't be longer than the best
-            low, high = (best if data[c : c + best] == data[i : i + best] else 0), most
-            while low < high:  # the longest common beginning, by halves
-                half = (low + high + 1) // 2
-                low, high = (half, high) if data[c : c + half] == data[i : i + half] else (low, half - 1)
-            best = max(best, low)
-        copied = best >= SHORTEST and COPY_BITS < best * literal
-        step, cost = (best, COPY_BITS) if copied else (1, literal)
-        for p in range(i, min(i + step, n - SHORTEST + 1)):
-            seen.setdefault(data[p : p + SHORTEST], []).append(p)
-        bits, i = bits + cost, i + step
-    return bits / 8 / n
+    costs = np.full(n, literal)  # of each byte, in the order in which they are added
+    for i, length in _copies(data, literal):
+        costs[i], costs[i + 1 : i + length] = COPY_BITS, 0.0
+    return float(np.cumsum(costs)[-1]) / 8 / n
+
+
+def _grams(data: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the m-grams (m up to 8) of some bytes in order of gram and place, and whether each but the first has
+    the same gram as the one before."""
+    codes = np.zeros(max(len(data) - m + 1, 0), np.uint64)
+    for k in range(m):
+        codes = codes << np.uint64(8) | data[k : k + len(codes)]
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    return order, codes[1:] == codes[:-1]
+
+
+def _copies(data: bytes, literal: float) -> Iterator[tuple[int, int]]:
+    """(place, length) of the copies, from left to right. A place is compared with the last CHAIN earlier ones with its
+    first SHORTEST bytes, but only those of them with as many equal bytes (up to 8) as make a copy the cheaper are looked
+    at: no other can become a copy."""
+    n, least = len(data), SHORTEST
+    while least <= LONGEST and not COPY_BITS < least * literal:
+        least += 1
+    if least > min(LONGEST, n):
+        return
+    raw = np.frombuffer(data, np.uint8)
+    order, same = _grams(raw, SHORTEST)
+    at = np.arange(len(order))
+    number = np.empty(len(order), np.int64)  # which occurrence of its first bytes a place is
+    number[order] = at - np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), at, 0))
+    order, same = _grams(raw, min(least, 8))
+    before = np.full(len(order), -1, np.int64)  # the last place with the same bytes
+    before[order[1:][same]] = order[:-1][same]
+    places = np.flatnonzero(before >= 0)
+    near = before[places]
+    places = places[(places - near <= WINDOW) & (number[places] - number[near] <= CHAIN)]
+    before, number, end = before.tolist(), number.tolist(), 0
+    for i in places.tolist():
+        most = min(n - i, LONGEST)
+        if i < end or most < least:
+            continue
+        best, c, first, oldest = 0, before[i], i - WINDOW, number[i] - CHAIN
+        while c >= 0 and c >= first and number[c] >= oldest and best < most:
+            if not best or data[c + best] == data[i + best]:  # else it can't be longer than the best
+                low, high = (best if data[c : c + best] == data[i : i + best] else 0), most
+                while low < high:  # the longest common beginning, by halves
+                    half = (low + high + 1) // 2
+                    low, high = (half, high) if data[c : c + half] == data[i : i + half] else (low, half - 1)
+                best = max(best, low)
+            c = before[c]
+        if best >= least:
+            yield i, best
+            end = i + best
 
 
 def quality(texts: DataFrame, key: str) -> DataFrame:
@@ -339,7 +376,7 @@ def quality(texts: DataFrame, key: str) -> DataFrame:
     without the blanks around them and of tokens; all zero for a blank text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole)):
             found = [compression(t.encode("utf-8", "surrogatepass")) if t and t.strip() else 0.0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, "compression"])
 
