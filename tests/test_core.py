@@ -419,3 +419,14 @@ def test_compression_of_common_beginnings():
     assert 0 < X.compression(data) < 1 and time.time() - began < 3
     short = data[:3000]
     assert abs(X.compression(short) - slow_compression(short)) < 1e-9
+
+
+def test_rolling_context_is_given_whole(spark, tmp_path):
+    """Crowded days against the SQL: every chunk has the lines of all before it."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT event_id, ts, user_id % 3 AS user_id, * EXCLUDE (event_id, ts, user_id) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = QUERIES["stm14_rolling_context"](spark, str(tmp_path))
+    assert df.columns == ["session_id", "id", "context"]
+    got = sorted(map(tuple, df.collect()))
+    assert got == sorted(con.execute(ORACLES["stm14_rolling_context"]).fetchall()) and any(c.count("\n") > 0 for _, _, c in got)

@@ -169,13 +169,13 @@ def request_result(spark, sf_dir):
     return c.join(o, "request", "left").select("request", F.coalesce("results", F.lit(0)).cast("long").alias("results"))
 
 
-@query("stm14_rolling_context", f"""WITH {A.ENTRIES_SQL}, n AS (SELECT session_id, s // {DAY} AS day, id, row_number() OVER (PARTITION BY session_id, s // {DAY} ORDER BY s, id) AS i, category, activity FROM entries),
-c AS (SELECT session_id, day, i, id, '[chunk ' || i || '] ' || category || ' — ' || activity AS line FROM n), t AS (SELECT session_id, day, string_agg(line, chr(10) ORDER BY i) AS text FROM c GROUP BY ALL),
-u AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY session_id, day ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1, 0)::BIGINT AS context_chars FROM c)
-SELECT u.session_id, u.id, context_chars, md5(text) AS day_text FROM u JOIN t USING (session_id, day)""")
+@query("stm14_rolling_context", f"""WITH {A.ENTRIES_SQL}, n AS (SELECT session_id, s // {DAY} AS day, id, row_number() OVER (PARTITION BY session_id, s // {DAY} ORDER BY s, id) AS i, category, activity FROM entries)
+SELECT b.session_id, b.id, coalesce(string_agg('[chunk ' || a.i || '] ' || a.category || ' — ' || a.activity, chr(10) ORDER BY a.i), '') AS context
+FROM n b LEFT JOIN n a ON a.session_id = b.session_id AND a.day = b.day AND a.i < b.i GROUP BY ALL""")
 def rolling_context(spark, sf_dir):
-    """How much of its day's text is a chunk's context, and a digest of that text, which is there once a day."""
+    """What came before a chunk in its day's run, in order: the beginning of its day's text, which is gathered and
+    shuffled once a day and cut for each chunk."""
     by = ["session_id", "day"]
     c = T.rolling_context(A.entries(spark, sf_dir).withColumn("day", F.floor(F.col("s") / DAY)), by, ["s", "id"])
-    texts = T.context_texts(c, by).select(*by, F.md5("context").alias("day_text"))
-    return c.join(texts, by).select("session_id", "id", "context_chars", "day_text")
+    texts = T.context_texts(c, by).withColumnRenamed("context", "day_text")
+    return c.join(texts, by).select("session_id", "id", F.substr("day_text", F.lit(1), F.col("context_chars").cast("int")).alias("context"))
