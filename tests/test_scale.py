@@ -1,8 +1,12 @@
 """Rules that had grown with the square of their input, against their first, plain form; and long inputs."""
 
+import os
 import random
+import subprocess
+import sys
 import time
-from itertools import accumulate
+from itertools import accumulate, groupby
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,6 +192,48 @@ def test_band_join_shuffles_no_pairs(spark):
     assert got == {i: (i % 2, windows[i % 2, i % 5]) for i in range(2000)}
 
 
+DENSE = """
+from pyspark.sql import SparkSession, functions as F
+from tideline.operators import frames as O
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+f = s.range(4_000_000).select(F.lit(1).alias("stream"), F.col("id").alias("idx"), (F.col("id") * 37 % 6000).alias("at_ms"))
+u = s.createDataFrame([(1, i, 0, 3 * i - 3000) for i in range(3)], "stream int, idx long, start_ms long, end_ms long")
+print([(r.n, r.first, r.last, r.idx) for r in O.align(u, f, of=lambda m: {"n": F.size(m), "first": F.get(m, 0), "last": F.get(m, F.size(m) - 1)}).orderBy("idx").collect()])
+"""
+
+
+def test_band_join_of_a_dense_bucket_in_little_memory():
+    """Four million frames of one bucket, in a JVM of 600 MB; as one row of structs they didn't fit."""
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parent.parent), "PYSPARK_SUBMIT_ARGS": "--driver-memory 600m pyspark-shell"}
+    run = subprocess.run([sys.executable, "-c", DENSE], env=env, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
+    at = sorted((i * 37 % 6000, i) for i in range(4_000_000) if i * 37 % 6000 <= 6)
+    want = [[i for t, i in at if t <= 3 * k] for k in range(3)]
+    assert run.stdout.strip() == str([(len(w), w[0], w[-1], k) for k, w in enumerate(want)])
+
+
+def test_band_join_mixes_windows(spark):
+    """Equal lists in a row hide their size from Parquet's writer, which then ran out of memory."""
+    u = spark.range(4000).select(F.lit(1).alias("stream"), F.col("id").alias("idx"), (F.col("id") % 40 * 1000).alias("start_ms"), (F.col("id") % 40 * 1000).alias("end_ms"))
+    f = spark.range(500).select(F.lit(1).alias("stream"), F.col("id").alias("idx"), (F.col("id") * 100).alias("at_ms"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = O.align(u, f).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 4000 and max(len(list(g)) for _, g in groupby(r.frames for r in rows)) < 20
+
+
+def test_band_join_cuts_chunks_at_windows_ends(spark, monkeypatch):
+    """Chunks of three frames against a filter: equal times over several chunks, windows that end between and within them."""
+    monkeypatch.setattr(O, "CHUNK", 3)
+    r = random.Random(4)
+    frames = [(r.randrange(2), i, r.choice((0, 5, 5, 5, 7, 12, 20, 21, 33, r.randrange(60)))) for i in range(150)]
+    spoken = [(r.randrange(3), i, (s := r.randrange(-10, 50)), s + r.choice((-30, -5, 0, 3, 25))) for i in range(80)]
+    got = {x.idx: x.frames for x in O.align(spark.createDataFrame(spoken, "stream long, idx long, start_ms long, end_ms long"), spark.createDataFrame(frames, "stream long, idx long, at_ms long"), 4, 3).collect()}
+    assert got == {i: [k for t, k in sorted((t, k) for q, k, t in frames if q == p and max(s - 4, 0) <= t <= e + 3)] for p, i, s, e in spoken}
+
+
 def test_reading_order_of_many_small_frames(spark):
     """A frame took about 8 ms when each was a pandas frame of its own."""
     frames = spark.range(36_000).select(F.floor(F.col("id") / 12).alias("frame_id"), (F.col("id") % 12).alias("idx"), (F.col("id") * 37 % 400).alias("x"), (F.col("id") * 53 % 300).alias("y"), F.lit(30).alias("w"), F.lit(20).alias("h"), F.lit(0).alias("display_id"), F.lit(None).cast("long").alias("parent"))
